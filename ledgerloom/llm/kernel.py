@@ -54,44 +54,44 @@ class Words:
         return _DIGIT[self.data[self.start]] if len(self.start) else np.zeros(0, bool)
 
 
+def _edit(texts: pa.Array, mask: pa.Array, change) -> pa.Array:
+    """Apply ``change`` to the texts under ``mask`` only."""
+    return pc.replace_with_mask(texts, mask, change(texts.filter(mask))) if pc.any(mask).as_py() else texts
+
+
 def clean(texts: pa.Array, han: bool = True) -> pa.Array:
     """Escape residue and Unicode punctuation become spaces, letters lower case, each Han or kana sign a word of its own.
 
-    The regular expressions are applied only where a batch holds such characters. Null becomes the empty text.
+    The regular expressions are applied only to texts that hold such characters. Null becomes the empty text.
     """
     texts = pc.fill_null(texts, "")
     if pa.types.is_string(texts.type):
         texts = texts.cast(pa.large_string())
-    if pc.any(pc.match_substring(texts, "\\")).as_py():
-        texts = pc.replace_substring_regex(texts, r"\\+[nrt]", " ")
-    size = texts.buffers()[2].size if texts.buffers()[2] is not None else 0
-    if size and (np.frombuffer(texts.buffers()[2], np.uint8) >= 128).any():
-        texts = pc.utf8_lower(texts)
-        texts = pc.replace_substring_regex(texts, r"[^\p{L}\p{N}\p{M}\x00-\x7f]+", " ")
-        if han:
-            texts = pc.replace_substring_regex(texts, r"([\p{Han}\p{Hiragana}\p{Katakana}])", r" \1 ")
-    return texts
+    texts = _edit(texts, pc.match_substring(texts, "\\"), lambda t: pc.replace_substring_regex(t, r"\\+[nrt]", " "))
+
+    def unfold(t: pa.Array) -> pa.Array:
+        t = pc.replace_substring_regex(pc.utf8_lower(t), r"[^\p{L}\p{N}\p{M}\x00-\x7f]+", " ")
+        return pc.replace_substring_regex(t, r"([\p{Han}\p{Hiragana}\p{Katakana}])", r" \1 ") if han else t
+
+    return _edit(texts, pc.invert(pc.string_is_ascii(texts)), unfold)
 
 
 def words(texts: pa.Array, join_figures: bool = True, han: bool = True) -> Words:
-    """Words as runs of letters and digits, hashed; thousands separators and apostrophes inside a word are skipped if asked."""
+    """Words as runs of letters and digits, hashed eight bytes at a time; thousands separators inside a figure are skipped if asked."""
     texts = clean(texts, han)
     n = len(texts)
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
-    raw = texts.buffers()[2]
-    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and n else np.zeros(0, np.uint8)
-    offsets = offsets - offsets[0] if n else np.zeros(1, np.int64)
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int64)
+    raw = texts.buffers()[2] if n else None
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
     low = _MAP[data]
     if join_figures and len(data) > 2:
-        digit = _DIGIT[data]
-        skip = np.zeros(len(data), bool)
-        skip[1:-1] = (data[1:-1] == 44) & digit[:-2] & digit[2:]
-        bounds = offsets[1:-1]
-        skip[bounds[bounds < len(data)]] = False
-        if skip.any():
-            keep = ~skip
-            shift = np.concatenate([[0], np.cumsum(skip)])
-            low, offsets = low[keep], offsets - shift[offsets]
+        comma = np.flatnonzero(data[1:-1] == 44) + 1
+        comma = comma[_DIGIT[data[comma - 1]] & _DIGIT[data[comma + 1]]]
+        comma = comma[~np.isin(comma, offsets) & ~np.isin(comma + 1, offsets)] if len(comma) else comma
+        if len(comma):
+            low = np.delete(low, comma)
+            offsets = offsets - np.searchsorted(comma, offsets)
     inside = low != 0
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -102,22 +102,28 @@ def words(texts: pa.Array, join_figures: bool = True, han: bool = True) -> Words
     if not len(start):
         z = np.zeros(0, np.int64)
         return Words(np.zeros(0, np.uint64), z, z, z, low)
-    ends = inside.copy()
+    ends = inside
     ends[:-1] &= ~inside[1:] | begins[1:]
     length = np.flatnonzero(ends) + 1 - start
-    at = np.flatnonzero(inside)
-    place = np.arange(len(at)) - np.repeat(np.cumsum(length) - length, length)
-    power = np.cumprod(np.full(int(length.max()), _PRIME, np.uint64))
-    weighted = (low[at].astype(np.uint64) + _U(1)) * power[place]
-    first = np.cumsum(length) - length
-    hashed = mix(np.add.reduceat(weighted, first))
-    row = np.searchsorted(offsets, start, side="right") - 1
-    return Words(hashed, row, start, length, low)
-
-
-def one_array(column: pa.ChunkedArray | pa.Array) -> pa.Array:
-    """A column of a batch as one contiguous array."""
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    row = np.repeat(np.arange(n), np.diff(np.searchsorted(start, offsets)))
+    return Words(_hash_words(low, start, length), row, start, length, low)
+
+
+_LOW_BYTES = np.array([0xFFFFFFFFFFFFFFFF >> (8 * (8 - k)) for k in range(1, 9)], np.uint64)
+
+
+def _hash_words(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word, from its bytes in groups of eight."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(padded) - 7,), np.uint64, padded, strides=(1,))
+    hashed = mix((eight[start] & _LOW_BYTES[np.minimum(length, 8) - 1]) + length.astype(np.uint64))
+    todo, done = np.flatnonzero(length > 8), 8
+    while len(todo):
+        left = length[todo] - done
+        chunk = eight[start[todo] + done] & _LOW_BYTES[np.minimum(left, 8) - 1]
+        hashed[todo] = mix(hashed[todo] * _PRIME + chunk)
+        todo, done = todo[left > 8], done + 8
+    return hashed
 
 
 def suffix_ranks(symbols: np.ndarray) -> list[np.ndarray]:

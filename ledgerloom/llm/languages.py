@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 #: Function and question words by language (fixed lists; words shared by languages count for each in part).
 FUNCTION_WORDS = {
@@ -41,9 +41,9 @@ _LETTER = {"ß": "de", "ñ": "es", "¿": "es", "¡": "es", "ã": "pt", "õ": "pt
 LEAST_WEIGHT, LEAST_RATIO = 1.5, 1.4
 
 
-def scores(text: str) -> Counter:
-    """Weight of each language in ``text``, quoted terms left out."""
-    found: Counter = Counter()
+def scores(text: str, counts: Counter | None = None) -> dict[str, float]:
+    """Weight of each language in ``text``, quoted terms left out; ``counts`` are its lower-case words where they are known already."""
+    found: dict[str, float] = defaultdict(float)
     if not text.isascii():
         text = _QUOTED.sub(" ", text)
         for lang, rx in _SCRIPTS:
@@ -55,17 +55,18 @@ def scores(text: str) -> Counter:
                 found[lang] += 0.7
     elif '"' in text or "`" in text:
         text = _QUOTED.sub(" ", text)
-    for w in _TOKENS.findall(text.lower()):
-        for lang, weight in _WEIGHT.get(w, ()):
-            found[lang] += weight
+    for w, n in (Counter(_TOKENS.findall(text.lower())) if counts is None else counts).items():
+        if w in _WEIGHT:
+            for lang, weight in _WEIGHT[w]:
+                found[lang] += n * weight
     return found
 
 
-def language(text: str | None) -> str | None:
+def language(text: str | None, counts: Counter | None = None) -> str | None:
     """The language of ``text``, or None where the dictionaries cannot tell; null and wordless texts give None."""
     if not text:
         return None
-    ranked = scores(text).most_common(2)
+    ranked = sorted(scores(text, counts).items(), key=lambda x: -x[1])[:2]
     if not ranked or ranked[0][1] < LEAST_WEIGHT:
         return None
     return ranked[0][0] if len(ranked) == 1 or ranked[0][1] >= LEAST_RATIO * ranked[1][1] else None

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import pairs, repetition, truncation
+from ledgerloom.llm import leakage, pairs, quality, repetition, truncation
 from ledgerloom.session import table
 
 
@@ -41,5 +41,27 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_rates(table(spark, sf_dir, "run_log"), table(spark, sf_dir, "examples"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_shares, p4_found, p4_rates)}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of a held-out item."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per held-out item: its evaluation set and the number of documents it leaked into."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "eval_set")
+    return p7_found(spark, sf_dir).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs")).join(items, "item_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are no natural prose, with their kind."""
+    return quality.not_prose(table(spark, sf_dir, "documents")).select("doc_id", "kind")
+
+
+def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of every document, its distance from prose, and each statistic's part of the distance (6 places)."""
+    rows = quality.prose_distance(table(spark, sf_dir, "documents"))
+    return rows.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_shares, p4_found, p4_rates, p7_found, p7_report, p8_found, p8_statistics)}
 SQL: dict[str, str] = {}

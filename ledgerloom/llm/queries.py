@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import leakage, pairs, quality, repetition, truncation
+from ledgerloom.llm import leakage, pairs, quality, repetition, splits, truncation
 from ledgerloom.session import table
 
 
@@ -20,6 +20,17 @@ def p1_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("defect", "status").agg(F.count(F.lit(1)).alias("n_rows"), F.count("extracted").alias("n_extracted"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a train record and a dev or test record that are the same or nearly so."""
+    rows = splits.overlaps(table(spark, sf_dir, "examples"))
+    return rows.select(F.least("train_id", "eval_id").alias("id_a"), F.greatest("train_id", "eval_id").alias("id_b"))
+
+
+def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps per split and gold source."""
+    return splits.overlap_counts(table(spark, sf_dir, "examples"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run-log rows of which at least 40 percent repeats."""
     return repetition.repetitive(table(spark, sf_dir, "run_log"), "output", ("row_id",)).select("row_id")
@@ -63,5 +74,5 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p3_found, p3_shares, p4_found, p4_rates, p7_found, p7_report, p8_found, p8_statistics)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_shares, p4_found, p4_rates, p7_found, p7_report, p8_found, p8_statistics)}
 SQL: dict[str, str] = {}

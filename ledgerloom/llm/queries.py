@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import leakage, pairs, quality, repetition, splits, truncation
-from ledgerloom.session import table
+from ledgerloom.llm import leakage, packing, pairs, quality, repetition, splits, truncation
+from ledgerloom.session import durable, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +52,21 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_rates(table(spark, sf_dir, "run_log"), table(spark, sf_dir, "examples"))
 
 
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The container of every document for every capacity, sizes in tokens of a public tokenizer."""
+    return packing.pack(durable(packing.token_sizes(table(spark, sf_dir, "documents")), "sizes"), table(spark, sf_dir, "pack_limits"))
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return packing.fill_report(p6_containers(spark, sf_dir), table(spark, sf_dir, "pack_limits"))
+
+
+def p6_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The size of every document by the project's own estimate."""
+    return table(spark, sf_dir, "documents").select("doc_id", packing.estimated_tokens(F.length("text")).alias("tokens"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a held-out item."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -74,5 +89,7 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_shares, p4_found, p4_rates, p7_found, p7_report, p8_found, p8_statistics)}
-SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_shares, p4_found, p4_rates, p6_containers, p6_report, p6_estimates, p7_found, p7_report, p8_found, p8_statistics)}
+SQL = {
+    "p6_estimates": "SELECT doc_id, CAST(greatest(1, round_even(length(text) / 3.6, 0)) AS BIGINT) AS tokens FROM documents",
+}

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import strip
+from ledgerloom.functions.text import let, strip
 
 #: Fixed values of the scoring contract: statuses, the form of an answer line, tolerances.
 OK, NO_LINE, NON_NUMERIC = "ok", "no_answer_line", "non_numeric_answer"
+PLAIN_NUMBER = r"^-?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
 ANSWER_LINE = r"(?imdU)^\s*answer\b\s*[:\-–]?\s*(.*?)\s*$"
 REL_TOL, REL_FROM, ABS_TOL = "0.001", "1000", "0.01"
 #: Digits of exact values. Anything larger or finer is compared as a double.
@@ -26,41 +27,47 @@ def parse_number(raw: Column) -> Column:
     s = strip(F.regexp_replace(s, "^`+|`+$", ""))
     s = strip(F.regexp_replace(s, "^[\"']+|[\"']+$", ""))
     s = strip(F.regexp_replace(s, r"\\{1,2}[nt]", " "))
-    whole = F.transform(F.array(s), lambda t: F.struct(t.alias("t"), (t.startswith("(") & t.endswith(")") & (F.length(t) > 1)).alias("neg")))[0]
-    body = F.transform(F.array(whole), lambda w: F.struct(F.when(w["neg"], strip(F.substring(w["t"], F.lit(2), F.length(w["t"]) - 2))).otherwise(w["t"]).alias("t"), w["neg"].alias("neg")))[0]
+
+    def unwrap(t: Column) -> Column:
+        negative = t.startswith("(") & t.endswith(")") & (F.length(t) > 1)
+        inner = F.when(negative, strip(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+        return F.struct(inner.alias("t"), negative.alias("negative"))
 
     def unpercent(b: Column) -> Column:
         t = b["t"]
         sign, word = t.endswith("%"), F.lower(t).endswith("percent")
         cut = F.when(sign, strip(F.substring(t, F.lit(1), F.length(t) - 1))).when(word, strip(F.substring(t, F.lit(1), F.length(t) - 7))).otherwise(t)
-        return F.struct(F.replace(F.regexp_replace(cut, r"(?U)^[$€£]\s*", ""), F.lit(","), F.lit("")).alias("t"), b["neg"].alias("neg"), (sign | word).alias("pct"))
-
-    read = F.transform(F.array(body), unpercent)[0]
+        return F.struct(F.replace(F.regexp_replace(cut, r"(?U)^[$€£]\s*", ""), F.lit(","), F.lit("")).alias("t"), b["negative"].alias("negative"), (sign | word).alias("percent"))
 
     def value(r: Column) -> Column:
-        exact, approx = r["t"].try_cast(DECIMAL), r["t"].try_cast("double")
         # A value with more than 12 places would be rounded by the cast: it has no exact form here.
         places = F.length(F.regexp_extract(r["t"], r"\.(\d*)", 1))
-        exact = F.when((places > 12) | F.lower(r["t"]).contains("e-1"), F.lit(None).cast(DECIMAL)).otherwise(exact)
-        exact, approx = F.when(r["neg"], -exact).otherwise(exact), F.when(r["neg"], -approx).otherwise(approx)
-        exact = F.when(r["pct"], exact * F.lit("0.01").cast("decimal(3,2)")).otherwise(exact.cast("decimal(29,14)"))
-        return F.struct(exact.cast("decimal(29,14)").alias("exact"), F.when(r["pct"], approx / 100).otherwise(approx).alias("approx"), r["pct"].alias("is_percent"))
+        exact = F.when((places <= 12) & ~F.lower(r["t"]).contains("e-1"), r["t"].try_cast(DECIMAL))
+        approx = r["t"].try_cast("double")
+        exact, approx = F.when(r["negative"], -exact).otherwise(exact), F.when(r["negative"], -approx).otherwise(approx)
+        exact = F.when(r["percent"], (exact * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(29,14)")).otherwise(exact.cast("decimal(29,14)"))
+        number = F.struct(exact.alias("exact"), F.when(r["percent"], approx / 100).otherwise(approx).alias("approx"), r["percent"].alias("is_percent"))
+        return F.when(r["t"].rlike(PLAIN_NUMBER), number).otherwise(F.lit(None).cast(_NULL_NUMBER))
 
-    plain = r"^-?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?$"
-    return F.when(read["t"].rlike(plain), F.transform(F.array(read), value)[0]).otherwise(F.lit(None).cast(_NULL_NUMBER))
+    return let(let(let(s, unwrap), unpercent), value)
 
 
 def extract_answer(output: Column) -> Column:
     """A struct ``status, raw, number, n_answer_lines`` for the last answer line of an output that has something on it."""
-    found = F.when(strip(F.coalesce(output, F.lit(""))) == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(output, F.lit(ANSWER_LINE), F.lit(1)))
+    none = F.array().cast("array<string>")
+    found = F.when(strip(F.coalesce(output, F.lit(""))) == "", none).otherwise(F.regexp_extract_all(output, F.lit(ANSWER_LINE), F.lit(1)))
+
+    def last(lines: Column) -> Column:
+        return F.struct(F.size(lines).alias("n"), F.try_element_at(F.filter(F.transform(lines, strip), lambda x: x != ""), F.lit(-1)).alias("raw"))
+
+    def number(g: Column) -> Column:
+        return F.struct(g["n"].alias("n"), g["raw"].alias("raw"), parse_number(g["raw"]).alias("number"))
 
-    def read(lines: Column) -> Column:
-        raw = F.try_element_at(F.filter(F.transform(lines, strip), lambda x: x != ""), F.lit(-1))
-        return F.struct(F.size(lines).alias("n"), raw.alias("raw"), parse_number(raw).alias("number"))
+    def finish(g: Column) -> Column:
+        status = F.when(g["n"] == 0, NO_LINE).when(g["number"].isNull(), NON_NUMERIC).otherwise(OK)
+        return F.struct(status.alias("status"), g["raw"].alias("raw"), g["number"].alias("number"), g["n"].alias("n_answer_lines"))
 
-    got = F.transform(F.array(F.coalesce(found, F.array().cast("array<string>"))), read)[0]
-    status = F.when(got["n"] == 0, NO_LINE).when(got["number"].isNull(), NON_NUMERIC).otherwise(OK)
-    return F.struct(status.alias("status"), got["raw"].alias("raw"), got["number"].alias("number"), got["n"].alias("n_answer_lines"))
+    return let(let(let(F.coalesce(found, none), last), number), finish)
 
 
 def within_tolerance(value: Column, gold: Column) -> Column:
@@ -74,7 +81,7 @@ def within_tolerance(value: Column, gold: Column) -> Column:
 
 def score(output: Column, gold: Column) -> Column:
     """A struct ``correct, status, raw, value, gold_value, diff, n_answer_lines``; never raises, null and junk are incorrect."""
-    both = F.transform(F.array(F.struct(extract_answer(output).alias("e"), parse_number(gold).alias("g"))), lambda x: x)[0]
+    both = F.struct(extract_answer(output).alias("e"), parse_number(gold).alias("g"))
 
     def judge(b: Column) -> Column:
         e, g = b["e"], b["g"]
@@ -89,7 +96,7 @@ def score(output: Column, gold: Column) -> Column:
             e["n_answer_lines"].alias("n_answer_lines"),
         )
 
-    return F.transform(F.array(both), judge)[0]
+    return let(both, judge)
 
 
 def select_gold(exe: Column, answer: Column) -> Column:

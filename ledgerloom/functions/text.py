@@ -29,16 +29,27 @@ def tokens(c: Column) -> Column:
     return F.coalesce(F.regexp_extract_all(F.lower(c), F.lit(f"({TOKEN_PATTERN})"), F.lit(1)), F.array().cast("array<string>"))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, however often the body uses it, also within its own lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _runs(words: Column, n: int, make, kind: str) -> Column:
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: make(F.slice(w, i, n)))
+        return F.array_distinct(F.when(F.size(w) >= n, runs).otherwise(F.array().cast(f"array<{kind}>")))
+
+    return let(words, of)
+
+
 def shingles(words: Column, n: int) -> Column:
     """Distinct runs of ``n`` tokens joined by a space; none where there are fewer tokens."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.array_distinct(F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<string>")))
+    return _runs(words, n, lambda run: F.array_join(run, " "), "string")
 
 
 def shingle_hashes(words: Column, n: int) -> Column:
     """As ``shingles``, each as a 64-bit hash: an eighth of the bytes to shuffle."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.slice(words, i, n)))
-    return F.array_distinct(F.when(F.size(words) >= n, runs).otherwise(F.array().cast("array<bigint>")))
+    return _runs(words, n, F.xxhash64, "bigint")
 
 
 def leading_op(program: Column) -> Column:
@@ -70,11 +81,19 @@ def head(c: Column, n: int) -> Column:
 
 
 def significant(c: Column, digits: int = 5) -> Column:
-    """General number format: ``digits`` significant digits, no trailing zeros, an exponent below 1e-4 and from 10**digits on."""
-    raw = F.format_string(f"%.{digits}g", c)
-    raw = F.regexp_replace(raw, r"(\.\d*?)0+(?=e|$)", "$1")
-    plain = F.regexp_replace(raw, r"\.(?=e|$)", "")
-    return F.when(c == 0, F.lit("0")).otherwise(plain)
+    """General number format: ``digits`` significant digits (ties to even), no trailing zeros, an exponent below 1e-4 and from 10**digits on."""
+
+    def of(x: Column) -> Column:
+        size = F.floor(F.log10(F.abs(x)))
+        # Java rounds ties up; rounding half to even beforehand leaves no tie. The scale of a rounding has to be a literal.
+        even = F.lit(None).cast("double")
+        for e in range(-6, 12):
+            even = F.when(size == e, F.bround(x, digits - 1 - e)).otherwise(even)
+        raw = F.format_string(f"%.{digits}g", F.coalesce(even, x))
+        raw = F.regexp_replace(raw, r"(\.\d*?)0+(?=e|$)", "$1")
+        return F.when(x == 0, F.lit("0")).otherwise(F.regexp_replace(raw, r"\.(?=e|$)", ""))
+
+    return let(c, of)
 
 
 def contains_any(c: Column, parts: tuple[str, ...]) -> Column:

@@ -65,7 +65,7 @@ def changes(facts: DataFrame) -> DataFrame:
     question = F.concat(F.lit("by what percentage did "), F.col("label"), F.lit(" change between the period to "), F.col("a_end"), F.lit(" and the period to "), F.col("end"), F.lit("?"))
     program = F.concat(F.lit("subtract("), b, F.lit(", "), a, F.lit("), divide(#0, "), base, F.lit(")"))
     lines = F.array(*[F.concat_ws(" | ", "label", e, v) for e, v in (("a_end", a), ("end", b))])
-    return pairs.select("cik", "title", "concept", question.alias("question"), program.alias("program"), F.bround("g", 5).alias("gold"), "filed", lines.alias("lines"), F.col("end"), F.col("a_end"))
+    return pairs.select("cik", "title", "concept", question.alias("question"), program.alias("program"), F.bround("g", 5).alias("gold"), F.col("g").alias("ratio"), "filed", lines.alias("lines"), "end", "a_end")
 
 
 def portions(facts: DataFrame, part: str = "CashAndCashEquivalentsAtCarryingValue", whole: str = "Assets") -> DataFrame:
@@ -77,7 +77,7 @@ def portions(facts: DataFrame, part: str = "CashAndCashEquivalentsAtCarryingValu
     question = F.concat(F.lit("which share of "), F.col("a_label"), F.lit(" was "), F.col("c_label"), F.lit(" at "), F.col("end"), F.lit("?"))
     program = F.concat(F.lit("divide("), number_text(F.col("c")), F.lit(", "), number_text(F.col("a")), F.lit(")"))
     lines = F.array(F.concat_ws(" | ", "c_label", "end", number_text(F.col("c"))), F.concat_ws(" | ", "a_label", "end", number_text(F.col("a"))))
-    return both.select("cik", "title", F.lit("portion").alias("concept"), question.alias("question"), program.alias("program"), F.bround("g", 5).alias("gold"), "filed", lines.alias("lines"), "end", F.lit(None).cast("string").alias("a_end"))
+    return both.select("cik", "title", F.lit("portion").alias("concept"), question.alias("question"), program.alias("program"), F.bround("g", 5).alias("gold"), F.col("g").alias("ratio"), "filed", lines.alias("lines"), "end", F.lit(None).cast("string").alias("a_end"))
 
 
 def context_text(title: Column, lines: Column) -> Column:

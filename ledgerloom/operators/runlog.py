@@ -52,7 +52,7 @@ def cost_estimate(prompts: DataFrame, prompt: str, group: str, max_out: int = MA
 def manifest(log: DataFrame) -> DataFrame:
     """Progress per model and evaluation set, derived from the log rather than kept beside it."""
     return log.groupBy("model", "eval_set").agg(
-        F.countDistinct("id").alias("n_done"), F.round(F.sum(F.coalesce("cost_usd", F.lit(0.0))), 4).alias("cost_usd"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+        F.countDistinct("id").alias("n_done"), F.round(F.sum(F.coalesce("cost_usd", F.lit(0.0))), 6).alias("cost_usd"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
     )
 
 

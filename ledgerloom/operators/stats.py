@@ -8,52 +8,44 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.answers import NO_LINE, NON_NUMERIC, OK
+from ledgerloom.functions.text import let
 
 #: Fixed values of the gates, in percentage points.
 GATE_POINTS, PHASE1_POINTS, PHASE1_PARTIAL = 8.0, 3.5, 1.0
 
 
-def _binomial_step(acc: Column, i: Column, n: Column, odds: Column) -> Column:
-    """Next log-probability of Binomial(n, p) from the one before."""
-    return acc + F.log((n - i + 1).cast("double")) - F.log(i.cast("double")) + odds
-
-
-def binomial_quantile(n: Column, k: Column, q: float) -> Column:
-    """Least count whose cumulative probability under Binomial(n, k/n) reaches ``q``, by n.
+def binomial_interval(n: Column, k: Column, lower: float = 0.025, upper: float = 0.975) -> Column:
+    """A struct ``lo, hi``: the least counts whose cumulative probability under Binomial(n, k/n) reaches each share, by n.
 
     It is what a percentile bootstrap of 0/1 flags tends to as resamples grow: no resampling, and nothing random. Counts are
-    walked within ten standard deviations of k, so the work grows with the square root of n.
+    walked within ten standard deviations of k, each probability from the one before, so the work grows with the square root
+    of n and nothing is stored. Null for n = 0.
     """
-    p = k / n
-    spread = F.ceil(F.sqrt(n * p * (1 - p)) * 10 + 10).cast("long")
-    lo, hi = F.greatest(F.lit(0), k - spread).cast("long"), F.least(n, k + spread).cast("long")
+    spread = F.ceil(F.sqrt(n * (k / n) * (1 - k / n)) * 10 + 10).cast("long")
+    bound = F.struct(n.cast("long").alias("n"), k.cast("long").alias("k"), F.greatest(F.lit(0), k - spread).cast("long").alias("lo"), F.least(n, k + spread).cast("long").alias("hi"))
 
     def walk(b: Column) -> Column:
-        odds = F.log(b["p"]) - F.log1p(-b["p"])
-        m, kk = b["n"], b["k"]
-        # Log-probabilities relative to the mode k, then normed over the window.
-        start = F.struct(F.lit(0.0).alias("lp"), F.array().cast("array<double>").alias("a"))
-        up = F.aggregate(
-            F.when(b["hi"] > kk, F.sequence(kk + 1, b["hi"])).otherwise(F.array().cast("array<bigint>")),
-            start,
-            lambda acc, i: F.transform(F.array(_binomial_step(acc["lp"], i, m, odds)), lambda v: F.struct(v.alias("lp"), F.concat(acc["a"], F.array(F.exp(v))).alias("a")))[0],
-        )["a"]
-        down = F.aggregate(
-            F.when(b["lo"] < kk, F.sequence(kk, b["lo"] + 1, F.lit(-1).cast("bigint"))).otherwise(F.array().cast("array<bigint>")),
-            start,
-            lambda acc, i: F.transform(F.array(acc["lp"] - F.log((m - i + 1).cast("double")) + F.log(i.cast("double")) - odds), lambda v: F.struct(v.alias("lp"), F.concat(acc["a"], F.array(F.exp(v))).alias("a")))[0],
-        )["a"]
-        mass = F.concat(F.reverse(down), F.array(F.lit(1.0)), up)
-        total = F.aggregate(mass, F.lit(0.0), lambda a, x: a + x)
-        found = F.aggregate(
-            mass,
-            F.struct(F.lit(0.0).alias("c"), F.lit(0).cast("long").alias("at")),
-            lambda acc, x: F.struct((acc["c"] + x).alias("c"), (acc["at"] + F.when(acc["c"] + x < total * (q - 1e-12), 1).otherwise(0)).alias("at")),
-        )["at"]
-        return (b["lo"] + found) / m
-
-    bound = F.transform(F.array(F.struct(n.cast("long").alias("n"), k.cast("long").alias("k"), p.alias("p"), lo.alias("lo"), hi.alias("hi"))), walk)[0]
-    return F.when(n == 0, F.lit(None).cast("double")).when(k == 0, 0.0).when(k == n, 1.0).otherwise(bound)
+        odds = b["k"] / (b["n"] - b["k"])
+        counts = F.sequence(b["lo"] + 1, b["hi"])
+        ratio = lambda m, i: m * (b["n"] - i + 1) / i * odds
+        total = F.aggregate(counts, F.struct(F.lit(1.0).alias("m"), F.lit(1.0).alias("s")), lambda a, i: F.struct(ratio(a["m"], i).alias("m"), (a["s"] + ratio(a["m"], i)).alias("s")))["s"]
+
+        def find(t: Column) -> Column:
+            low, high = t * (lower - 1e-12), t * (upper - 1e-12)
+            start = F.struct(F.lit(1.0).alias("m"), F.lit(1.0).alias("s"), *[F.when(F.lit(1.0) >= x, b["lo"]).otherwise(b["lo"] + 1).alias(y) for x, y in ((low, "lo"), (high, "hi"))])
+
+            def step(a: Column, i: Column) -> Column:
+                m = ratio(a["m"], i)
+                s = a["s"] + m
+                return F.struct(m.alias("m"), s.alias("s"), *[F.when(s >= x, a[y]).otherwise(i + 1).alias(y) for x, y in ((low, "lo"), (high, "hi"))])
+
+            got = F.aggregate(counts, start, step)
+            return F.struct((got["lo"] / b["n"]).alias("lo"), (got["hi"] / b["n"]).alias("hi"))
+
+        return let(total, find)
+
+    flat = F.struct((k / n).alias("lo"), (k / n).alias("hi"))
+    return F.when(n == 0, F.lit(None).cast("struct<lo:double,hi:double>")).when((k == 0) | (k == n), flat).otherwise(let(bound, walk))
 
 
 def mcnemar_p(b: Column, c: Column) -> Column:
@@ -79,9 +71,8 @@ def cells(log: DataFrame, keys: tuple[str, ...] = ("model", "arm", "eval_set"),
     counts = [F.count_if(F.col("status") == s).alias(f"n_{s}") for s in (OK, NO_LINE, NON_NUMERIC)]
     base = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("k"), *counts)
     n, k = F.col("n"), F.col("k")
-    return base.select(
-        *keys, "n", F.round(k / n, digits).alias("acc"),
-        F.round(binomial_quantile(n, k, 0.025), digits).alias("ci_lo"), F.round(binomial_quantile(n, k, 0.975), digits).alias("ci_hi"),
+    return base.withColumn("ci", binomial_interval(n, k)).select(
+        *keys, "n", F.round(k / n, digits).alias("acc"), F.round("ci.lo", digits).alias("ci_lo"), F.round("ci.hi", digits).alias("ci_hi"),
         *[f"n_{s}" for s in (OK, NO_LINE, NON_NUMERIC)],
     )
 
@@ -101,9 +92,11 @@ def _discordance(joined: DataFrame, keys: tuple[str, ...]) -> DataFrame:
 def arm_pairs(log: DataFrame, id_key: str = "id") -> DataFrame:
     """McNemar test of every two arms of a model on an evaluation set, over the ids both have answered.
 
-    The arms' flags of one id are brought to one row by an aggregate, so each answer is shuffled once, however many arms.
+    Repeated answers of an arm count once (right if any is; pass ``first_writes`` for the first). The arms' flags of one id,
+    one per arm, are brought to one row by an aggregate, so each answer is shuffled once, however many arms.
     """
-    flags = log.groupBy("model", "eval_set", id_key).agg(F.sort_array(F.collect_list(F.struct("arm", "correct"))).alias("f"))
+    once = log.groupBy("model", "eval_set", id_key, "arm").agg(F.max("correct").alias("correct"))
+    flags = once.groupBy("model", "eval_set", id_key).agg(F.sort_array(F.collect_list(F.struct("arm", "correct"))).alias("f"))
     pairs = F.flatten(F.transform("f", lambda x, i: F.transform(F.slice("f", i + 2, F.size("f")), lambda y: F.struct(x["arm"].alias("arm_a"), y["arm"].alias("arm_b"), x["correct"].alias("a_ok"), y["correct"].alias("b_ok")))))
     rows = flags.select("model", "eval_set", F.explode(pairs).alias("p")).select("model", "eval_set", "p.*")
     return _discordance(rows, ("model", "eval_set", "arm_a", "arm_b"))
@@ -121,11 +114,11 @@ def compare_models(log: DataFrame, model: str, base: str, arm: str, id_key: str
         F.count_if(both & a & ~b).alias("b"), F.count_if(both & ~a & b).alias("c"),
         F.count_if(F.col("a").isNotNull() & F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull() & F.col("b").isNotNull()).alias("only_b"),
     )
-    ci = lambda k, q: F.round(binomial_quantile(F.col("n"), F.col(k), q), digits)
-    got = got.where("n > 0").select(
-        "eval_set", "n", "only_a", "only_b", "b", "c", F.round(mcnemar_p(F.col("b"), F.col("c")), 10).alias("p"),
-        F.round(F.col("ka") / F.col("n"), digits).alias("acc_a"), ci("ka", 0.025).alias("lo_a"), ci("ka", 0.975).alias("hi_a"),
-        F.round(F.col("kb") / F.col("n"), digits).alias("acc_b"), ci("kb", 0.025).alias("lo_b"), ci("kb", 0.975).alias("hi_b"),
+    got = got.where("n > 0").withColumns({"ia": binomial_interval(F.col("n"), F.col("ka")), "ib": binomial_interval(F.col("n"), F.col("kb"))})
+    got = got.select(
+        "eval_set", "n", "only_a", "only_b", "b", "c", mcnemar_p(F.col("b"), F.col("c")).alias("p"),
+        F.round(F.col("ka") / F.col("n"), digits).alias("acc_a"), F.round("ia.lo", digits).alias("lo_a"), F.round("ia.hi", digits).alias("hi_a"),
+        F.round(F.col("kb") / F.col("n"), digits).alias("acc_b"), F.round("ib.lo", digits).alias("lo_b"), F.round("ib.hi", digits).alias("hi_b"),
         F.round((F.col("ka") - F.col("kb")) / F.col("n") * 100, 4).alias("delta_points"),
     )
     apart = (F.col("lo_a") > F.col("hi_b")) | (F.col("lo_b") > F.col("hi_a"))

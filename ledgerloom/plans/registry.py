@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-CORE = ("ledgerloom.plans.delivery",)
+CORE = ("ledgerloom.plans.delivery", "ledgerloom.plans.reference")
 
 
 def collect() -> tuple[dict, dict]:

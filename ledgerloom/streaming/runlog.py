@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.answers import score
-from ledgerloom.operators.delivery import ANSWER_KEY, kept_rows, new_messages, normal_key
+from ledgerloom.operators.delivery import ANSWER_KEY, deduplicate, new_messages, normal_key
 
 
 def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -33,8 +33,7 @@ def append_new(batch: DataFrame, path: str) -> None:
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
         new_messages(batch, spark.read.schema(batch.schema).parquet(path)).write.mode("append").parquet(path)
     else:
-        names = kept_rows(batch).select(F.col("_tie").alias("row_id"))
-        batch.join(names, "row_id", "left_semi").write.parquet(path)
+        deduplicate(batch).write.parquet(path)
 
 
 def score_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str) -> None:

@@ -47,6 +47,7 @@ _STOP = re.compile(r"[.!?。！？؟][\"'”’»)\]]*\s*$")
 _TAG = re.compile(r"</?[a-zA-Z!][^<>]*>|&(?:[a-z]{2,8}|#\d+);|\{[^{}]*\}|style=|class=")
 _WORD = re.compile(r"[^\W\d_]+", re.U)
 _VOWELS = re.compile(r"[aeiouyäöüàâáãåæéèêëíìîïóòôõœøúùûñаеёиоуыэюяіїєαεηιουω]", re.I)
+_VOWEL_SIGNS = frozenset("aeiouyäöüàâáãåæéèêëíìîïóòôõœøúùûаеёиоуыэюяіїєαεηιουω")
 _CLUSTER = re.compile(r"[bcdfghjklmnpqrstvwxz]{6,}|[jqxz][bcdfgjkmpqvwxz]|[bcdfgjkmpqvwz][jqx]|v[bcdfghkmnpqtvwz]|[bdfgkmpt]v[^aeiouy]|w[cgjpqvxz]|h[bcdfgjkqvxz]{2}", re.I)
 _BROKEN = re.compile(r"[�]|Ã[\x80-ÿ©®¡-¿]|â€|Â[\x80-¿]|Ð[\x80-¿]|å[\x80-¿]|\\x[0-9a-f]{2}|\\u[0-9a-f]{4}|%[0-9A-F]{2}")
 _HEX = re.compile(r"^(?:0x)?[0-9a-f]{2}(?:[0-9a-f]{2}){0,7}:?$", re.I)
@@ -89,6 +90,9 @@ def _is_row(line: str) -> bool:
                 return True
     if line.count("|") >= 3:
         return True
+    raw = line.encode("utf-8", "replace")
+    if len(raw) - len(raw.translate(None, b"0123456789-")) < 0.2 * len(line):
+        return False
     tokens = line.split()
     return len(tokens) >= 4 and line[-1] not in ".!?" and sum(bool(_NUMBER.match(t)) for t in tokens) >= 0.6 * len(tokens) and not _HEX.match(tokens[0])
 
@@ -124,17 +128,23 @@ def _unspaced(text: str) -> str:
 
 def _is_junk(block: str, lang: str | None) -> bool:
     """Noise, markup, encodings, broken or unconnected words."""
-    tokens = block.split()
+    lower = block.lower()
+    tokens = lower.split()
     dense = sum(map(len, tokens))
     if dense < 8:
         return False
-    if ("<" in block or "&" in block or "{" in block) and sum(len(x) for x in _TAG.findall(block)) > 0.3 * len(block):
+    longest = max(map(len, tokens))
+    marked = "<" in block or "&" in block or "{" in block
+    if longest < 30 and not marked and lang in _SETS and (block.isascii() or not _BROKEN.search(block)):
+        if sum(map(_SETS[lang].__contains__, tokens)) >= 0.15 * len(tokens):
+            return False  # read as prose without a closer look, which such a block would pass
+    if marked and sum(len(x) for x in _TAG.findall(block)) > 0.3 * len(block):
         return True
     if len(tokens) >= 5 and (_HEX.match(tokens[0]) or _HEX.match(tokens[-1])) and sum(bool(_HEX.match(t)) for t in tokens) >= 0.7 * len(tokens):
         return True
-    if max(map(len, tokens)) >= 30 and sum(len(t) for t in tokens if len(t) >= 30 and "://" not in t) > 0.4 * dense:
+    if longest >= 30 and sum(len(t) for t in tokens if len(t) >= 30 and "://" not in t) > 0.4 * dense:
         return True
-    words = _WORD.findall(block.lower())
+    words = _WORD.findall(lower)
     letters, digits = _alnum(block, words)
     if letters + digits < 0.6 * dense:
         return True
@@ -171,9 +181,9 @@ def shares(text: str, lang: str | None) -> tuple[int, int, int, int]:
         if not block:
             return ""
         joined = "\n".join(block)
-        words = len(_WORD.findall(joined))
         # A short heading belongs to what it heads.
-        kind = following if following and words <= 7 and not _STOP.search(joined) else "junk" if _is_junk(joined, lang) else "prose"
+        heads = following and len(joined) < 200 and len(_WORD.findall(joined)) <= 7 and not _STOP.search(joined)
+        kind = following if heads else "junk" if _is_junk(joined, lang) else "prose"
         count[kind] += sum(map(len, block))
         block.clear()
         return kind
@@ -210,7 +220,7 @@ def statistics(text: str | None) -> tuple[str, list[float]] | None:
     lines = [x.rstrip() for x in text.splitlines() if x.strip()]
     ended = sum(x[-1] in _ENDS for x in lines) / max(1, len(lines))
     letters, digits = _alnum(text, words)
-    dull = sum(n for w, n in counts.items() if len(w) >= 3 and w[0] < "ɐ" and not _VOWELS.search(w))
+    dull = sum(n for w, n in counts.items() if len(w) >= 3 and _VOWEL_SIGNS.isdisjoint(w) and w[0] < "ɐ")
     prose, table, entries, junk = shares(text, lang)
     total = max(1, prose + table + entries + junk)
     stats = [

@@ -53,7 +53,6 @@ _BROKEN = re.compile(r"[�]|Ã[\x80-ÿ©®¡-¿]|â€|Â[\x80-¿]|Ð[\x80-¿]|
 _HEX = re.compile(r"^(?:0x)?[0-9a-f]{2}(?:[0-9a-f]{2}){0,7}:?$", re.I)
 _GAP, _COMMA = re.compile(r"\s{2,}"), re.compile(r"(?<!\d),(?=\S)|,(?!\d{3}(?!\d))(?=\S)|;(?=\S)")
 _ENTRY, _FIGURES = re.compile(r"^\W{0,4}(?:\w{1,4}[.)]\s*)?[\w\s'’&/:,()%$-]*[^\W\d_]{3}"), re.compile(r"\d{2}")
-_NARROW, _WIDE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r" {2,}")
 _ENDS = frozenset(".!?。！？؟;:,\"'”’»)]")
 _SETS = {lang: frozenset(words.split()) for lang, words in languages.FUNCTION_WORDS.items()}
 
@@ -113,17 +112,12 @@ def _led(line: str) -> bool:
     return any(x in line for x in ("....", ". . .", "___", "···", "……")) and bool(_LEADER.search(line)) and bool(_ENTRY.match(line))
 
 
-def _letter_spaced(text: str) -> bool:
-    """True if most signs stand alone between spaces."""
-    if text.count(" ") < 0.4 * len(text):
+def _letter_spaced(line: str) -> bool:
+    """True if the words are broken up: most tokens are single letters between spaces."""
+    if line.count(" ") < 0.4 * len(line):
         return False
-    tokens = text.split()
-    return len(tokens) >= 10 and sum(len(t) == 1 for t in tokens) > 0.6 * len(tokens)
-
-
-def _unspaced(text: str) -> str:
-    """Letter-spaced text put together again, line by line; other text as it is."""
-    return _WIDE.sub(" ", _NARROW.sub("", text)) if _letter_spaced(text) else text
+    tokens = line.split()
+    return len(tokens) >= 10 and sum(len(t) == 1 and t.isalpha() for t in tokens) > 0.5 * len(tokens)
 
 
 def _is_junk(block: str, lang: str | None) -> bool:
@@ -173,7 +167,7 @@ def _pieces(text: str) -> Iterator[str]:
 
 
 def shares(text: str, lang: str | None) -> tuple[int, int, int, int]:
-    """Characters of prose, table, list and junk of a text that is not letter-spaced. Short unmarked lines are put together before they are judged, so line breaks within sentences do not matter."""
+    """Characters of prose, table, list and junk of a text. Short unmarked lines are put together before they are judged, so line breaks within sentences do not matter."""
     count = {"prose": 0, "table": 0, "list": 0, "junk": 0}
     block: list[str] = []
 
@@ -192,11 +186,11 @@ def shares(text: str, lang: str | None) -> tuple[int, int, int, int]:
         if not line.strip():
             flush()
             continue
-        kind = "list" if _led(line) else "table" if _is_row(line) else "list" if _is_entry(line, lang) else ""
-        if kind and not _ENTRY.match(line) and not _FIGURES.search(line):
+        kind = "junk" if _letter_spaced(line) else "list" if _led(line) else "table" if _is_row(line) else "list" if _is_entry(line, lang) else ""
+        if kind in ("list", "table") and not _ENTRY.match(line) and not _FIGURES.search(line):
             kind = ""
         if kind:
-            flush(kind)
+            flush(kind if kind != "junk" else "")
             count[kind] += len(line)
         else:
             if len(line) > 120:
@@ -212,7 +206,6 @@ def statistics(text: str | None) -> tuple[str, list[float]] | None:
     """The language found (``other`` if none) and ``STATS`` of a text; None for null and for texts without any sign."""
     if text is None or not text.strip():
         return None
-    text = _unspaced(text)
     words, tokens = _WORD.findall(text.lower()), text.split()
     counts = Counter(words)
     lang = languages.language(text, counts)

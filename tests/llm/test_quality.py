@@ -9,7 +9,7 @@ TABLE = "line | 2021 | 2020\ncash | 96.3% | (72140)\nwarranty reserves | 67663 |
 LIST = "Contents\nSchedule of marketing expense ............ 197\nNet income by segment ......... 12\n- the pension plan\n- commodity collars\n2. gross profit per share\n" * 3
 JUNK = "zsfrhgl qwxxzlfxwz cj qegbtdds hfsv xxhwwcsdlbt wcrddq vwqebexzg kjrqcxqwvlbxrr htlqwsqzt vtlfl tbebkaddlwvqz bjdharthqdcltr rx vdjlg ahgqsrbzhl\n" * 3
 KINDS = [
-    (PROSE * 2, None), (GERMAN * 2, None), (PROSE.replace(" ", "\n", 30), None), (" ".join(" ".join(w) + "    " for w in PROSE.split()), None), (PROSE.upper() * 2, None),
+    (PROSE * 2, None), (GERMAN * 2, None), (PROSE.replace(" ", "\n", 30), None), (" ".join(" ".join(w) + "    " for w in PROSE.split()), "junk"), (PROSE.upper() * 2, None),
     (TABLE, "table"), (TABLE.replace(" | ", "\t"), "table"), (TABLE.replace(" | ", ","), "table"), (TABLE.replace(" | ", "   "), "table"),
     (LIST, "list"), (JUNK, "junk"), ("18 cf 6c ab 67 81 8f 4d 92 fc f1 55\n" * 9, "junk"), ('<div class="c26" id="x778"><span style="w:93px"></span></div>' * 8, "junk"),
     ("expense restructuring service home marine towers revenue backlog loan cash home fuel assets tax " * 5, "junk"), ("R+Km0FhFcBq2Itluq1ovYa9sSlpSx+M6WKbtuBmPOW3zVko/DF+3HgIlKHV7MT1JgQAiAzcEBdEl\n" * 6, "junk"), ("!; }~^|=[<%\\*._{-$_++[;+%}]^@.@<$]..:^+\\<#+& " * 8, "junk"),

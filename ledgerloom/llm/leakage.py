@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,13 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import kernel
+from ledgerloom.session import spread
 
 #: Word positions that count (1) or are ignored (0). Each mask takes six words; the gaps bridge single changed words.
 MASKS = ("111111", "1110111", "1101111", "1111011", "11011011")
 #: Least aligned words of a passage, and the largest share of words that may differ within it.
 MIN_WORDS, MAX_DIFFER = 20, 0.18
 #: Held-out words that one block of the index holds; more items make more blocks, each met by a pass of its own.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 500_000
 _TABLE_BITS = 22
 
 
@@ -216,6 +218,17 @@ def _blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> list
     return blocks
 
 
+_INDEX: dict[str, Index] = {}
+
+
+def _kept_index(key: str, shared, masks: tuple[str, ...]) -> Index:
+    """The index of a block, built once per worker; only the last one is kept."""
+    if key not in _INDEX:
+        _INDEX.clear()
+        _INDEX[key] = build_index(*shared.value, masks)
+    return _INDEX[key]
+
+
 def leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -230,8 +243,7 @@ def leaks(
 ) -> DataFrame:
     """One row ``doc_id, item_id`` per text that holds a passage of at least ``min_words`` words of an item.
 
-    The held-out side is indexed by spaced seeds and sent to the tasks in blocks of bounded size (``block_words`` words, about
-    a hundred MB of seeds); every block meets every text once, where the text lies, so the corpus is never shuffled and no
+    The held-out side is indexed by spaced seeds and sent to the tasks in blocks of bounded size (``block_words`` words, some tens of MB with their seeds); every block meets every text once, where the text lies, so the corpus is never shuffled and no
     key can be hot. Around each hit the words are aligned over single changed, added or missing words and the passage counted.
     Case, spacing, punctuation, line breaks and escape residue do not matter. Null, empty and short texts have no rows;
     repeated items (or ids) give one row per document and id; texts of any length are probed whole.
@@ -240,12 +252,12 @@ def leaks(
         raise ValueError("min_words must be at least 8, the longest mask")
     found = None
     sc = docs.sparkSession.sparkContext
-    src = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
+    src = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")))
     for ids, texts in _blocks(items, item_id, item_text, block_words) or [([], [])]:
         shared = sc.broadcast((ids, texts))
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = build_index(*shared.value, masks)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = _kept_index(key, shared, masks)
             for b in batches:
                 t, i = probe(index, b.column(1), masks, min_words, max_differ)
                 got = {"doc_id": pc.take(b.column(0), pa.array(t, pa.int64())), "item_id": pa.array(index.items[i] if i else [], pa.int64())}

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.session import spread
+
 #: Folder of the public tokenizers and the rank file that sizes are counted with.
 TOKENIZERS, RANKS = "/opt/tokenizers", "byte_bpe_50k.tiktoken"
 #: Containers kept open at a time, texts that one stream of containers takes, and the most capacities of one call.
@@ -42,7 +44,7 @@ def token_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
             n = [0 if t is None else len(encode(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "tokens"])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, tokens long")
+    return spread(src).mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, tokens long")
 
 
 def estimated_tokens(n_chars: Column, per_token: float = 3.6) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ledgerloom.llm import languages, terminal
 from ledgerloom.operators.delivery import normal_key
 from ledgerloom.operators.skew import lookup_join
-from ledgerloom.session import durable
+from ledgerloom.session import durable, spread
 
 #: Ways to decline, by language. A text is a refusal only if it also gives no figure.
 REFUSALS = {
@@ -36,7 +36,7 @@ REFUSALS = {
 _REFUSAL = re.compile("|".join(REFUSALS.values()), re.I)
 _YEAR = re.compile(r"\b(?:19|20)\d\d(?:[-/.]\d{1,2}[-/.]\d{1,2})?\b|\b\d{1,2}[-/.]\d{1,2}[-/.](?:19|20)\d\d\b|^\s*(?:step\s*)?\d{1,2}[:.)]", re.I | re.M)
 _CALLED = re.compile(r"\b[a-z_]+\([^()\n]*\d", re.I)
-_LABEL = re.compile(r"^[\s>*_`#\"'“”«»\-•]*(?:question|frage|pregunta|pergunta|domanda|вопрос|问题|prompt|query|q|response|task|user)\s*(?:[:：\-–]\s*|$)", re.I | re.M)
+_LABEL = re.compile(r"^[\s>*_`#\"'“”«»\-•]*(?:question|the question (?:was|is|reads)|frage|pregunta|pergunta|domanda|вопрос|问题|prompt|query|q|response|task|user)\s*(?:[:：\-–]\s*|$)", re.I | re.M)
 _KEYS = re.compile(rf"^[\s>*_`#\"'“”«»\-•]*(?:{'|'.join(terminal.ANSWER_KEYS + terminal.PROGRAM_KEYS)})\s*(?:[:：\-–*_]\s*|$)", re.I | re.M)
 _WORDS = re.compile(r"[^\W_]+(?:[-./,]\d+)*", re.U)
 _ESCAPES = re.compile(r"\\+[nrt]")
@@ -134,7 +134,7 @@ def signals(log: DataFrame, source: tuple[str, ...] = SOURCE, ends_only: bool =
                 cols["spoken"] = pa.array([None if s == terminal.EMPTY else languages.language(_KEYS.sub(" ", t)) for s, t in zip(state, texts)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], *cols.values()], [*carried, *cols])
 
-    return src.mapInArrow(run, f"{schema}, state string, terminated boolean, short string" + ("" if ends_only else ", refusal boolean, spoken string"))
+    return spread(src).mapInArrow(run, f"{schema}, state string, terminated boolean, short string" + ("" if ends_only else ", refusal boolean, spoken string"))
 
 
 def questions(examples: DataFrame) -> DataFrame:

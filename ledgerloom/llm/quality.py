@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import languages
-from ledgerloom.session import durable
+from ledgerloom.session import durable, spread
 
 KINDS = ("table", "list", "junk")
 #: The statistics that are reported, in order; the last three are shares of characters outside prose, by kind.
@@ -244,7 +244,7 @@ def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             cols = [b.column(0).filter(use), pa.array([g[0] for g in got], pa.string()), *[pa.array(m[:, k]) for k in range(len(STATS))]]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang_found", *STATS])
 
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_found string, " + ", ".join(f"{s} double" for s in STATS))
+    return spread(src).mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_found string, " + ", ".join(f"{s} double" for s in STATS))
 
 
 def _moments(stats: DataFrame) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import kernel
+from ledgerloom.session import spread
 
 #: Words that a phrase must have, and the share of repeated words from which a text counts as repetitive.
 MIN_WORDS, MIN_SHARE = 4, 0.4
@@ -105,7 +106,7 @@ def repetition(df: DataFrame, text: str, keep: tuple[str, ...], min_words: int =
             arrays = [*b.columns[: len(keep)], pa.array(count.astype(np.int64)), pa.array(covered), pa.array(share), pa.array(longest)]
             yield pa.RecordBatch.from_arrays(arrays, [*keep, "n_words", "repeat_words", "repeat_share", "longest_repeat"])
 
-    return src.mapInArrow(run, f"{schema}, n_words long, {SCHEMA}")
+    return spread(src).mapInArrow(run, f"{schema}, n_words long, {SCHEMA}")
 
 
 def repetitive(df: DataFrame, text: str, keep: tuple[str, ...], min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:

@@ -30,11 +30,26 @@ def todo(examples: DataFrame, log: DataFrame, key: str = "id") -> DataFrame:
     return examples.join(done, F.col(key).cast("string") == F.col("_done"), "left_anti")
 
 
-def running(log: DataFrame, order: tuple[str, ...], group: tuple[str, ...]) -> DataFrame:
-    """Adds ``n_so_far``, ``acc_so_far`` and ``cost_so_far`` in write order within each group (a run, not the whole log)."""
-    w = W.partitionBy(*group).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    n = F.count(F.lit(1)).over(w)
-    return log.withColumns({"n_so_far": n, "acc_so_far": F.sum(F.col("correct").cast("int")).over(w) / n, "cost_so_far": F.sum(F.coalesce("cost_usd", F.lit(0.0))).over(w)})
+def running(log: DataFrame, order: str, group: tuple[str, ...], buckets: int = 200) -> DataFrame:
+    """Adds ``n_so_far``, ``acc_so_far`` and ``cost_so_far`` in the order of a unique number within each group.
+
+    A running total over a whole group would sort it in one task. Here the order is cut into ranges at approximate quantiles;
+    totals run within a range, and the few totals of the ranges before are added. So a group of any size is spread. Rows
+    with a null order come first, as in a plain ascending sort.
+    """
+    cuts = log.agg(F.percentile_approx(F.col(order), [k / buckets for k in range(1, buckets)]).alias("q")).first()["q"] or []
+    cuts = sorted(set(cuts))
+    bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.coalesce(F.col(order), F.lit(cuts[0] - 1)))) if cuts else F.lit(0)
+    one, cost = F.coalesce(F.col("correct").cast("int"), F.lit(0)), F.coalesce("cost_usd", F.lit(0.0))
+    rows = log.withColumn("_b", bucket).withColumns({f"_g{i}": F.to_json(F.struct(F.col(g).alias("v"))) for i, g in enumerate(group)})
+    keys = [f"_g{i}" for i in range(len(group))]
+    inside = W.partitionBy(*keys, "_b").orderBy(F.asc_nulls_first(order)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    totals = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"), F.sum(one).alias("_k"), F.sum(cost).alias("_c"))
+    offsets = totals.select(*keys, "_b", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}0") for c in ("_n", "_k", "_c")])
+    got = rows.withColumns({"_n": F.count(F.lit(1)).over(inside), "_k": F.sum(one).over(inside), "_c": F.sum(cost).over(inside)}).join(offsets, [*keys, "_b"])
+    n = F.col("_n") + F.col("_n0")
+    return got.select(*log.columns, n.alias("n_so_far"), ((F.col("_k") + F.col("_k0")) / n).alias("acc_so_far"), (F.col("_c") + F.col("_c0")).alias("cost_so_far"))
 
 
 def token_cost(tokens_in: Column, tokens_out: Column, price_in: float = PRICE_IN, price_out: float = PRICE_OUT) -> Column:

@@ -23,13 +23,15 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, share: float = HOT_
     """Left join of ``left`` to ``right`` (unique on ``key``), safe when one key holds a large part of ``left``.
 
     Rows of hot keys (at most ``1 / share`` keys by construction) meet a broadcast of just those rows of ``right``;
-    all other rows are shuffled on the key. Rows without a match, and null keys, keep nulls for the columns of ``right``.
+    all other rows are shuffled on the key, null keys not at all. Rows without a match, and null keys, have nulls for the columns of ``right``.
     Columns of ``right`` other than the key must not occur in ``left``.
     """
     hot = hot_keys(left, key, share)
+    keyed, right = left.where(F.col(key).isNotNull()), right.where(F.col(key).isNotNull())
+    no_key = left.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema if f.name != key])
     if not hot:
-        return left.join(right, key, "left")
+        return keyed.join(right, key, "left").unionByName(no_key)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
-    cold = left.where(~is_hot).join(right.where(~is_hot), key, "left")
-    heavy = left.where(is_hot).join(F.broadcast(right.where(is_hot)), key, "left")
-    return cold.unionByName(heavy)
+    cold = keyed.where(~is_hot).join(right.where(~is_hot), key, "left")
+    heavy = keyed.where(is_hot).join(F.broadcast(right.where(is_hot)), key, "left")
+    return cold.unionByName(heavy).unionByName(no_key)

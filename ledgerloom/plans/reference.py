@@ -433,7 +433,7 @@ def resume_todo(spark: SparkSession, d: str) -> DataFrame:
 FROM run_log WINDOW w AS (PARTITION BY model, arm, eval_set ORDER BY row_id)""")
 def running_totals(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy and cost as a run goes on."""
-    got = runlog.running(_log(spark, d), ("row_id",), ("model", "arm", "eval_set"))
+    got = runlog.running(_log(spark, d), "row_id", ("model", "arm", "eval_set"))
     return got.select("row_id", "n_so_far", F.round("acc_so_far", 6).alias("acc_so_far"), F.round("cost_so_far", 6).alias("cost_so_far"))
 
 

@@ -112,7 +112,7 @@ def test_prompts(spark):
 def test_runlog(spark, tmp_path):
     log = spark.createDataFrame([(1, "m", "a", "e", "x", True, 0.5), (2, "m", "a", "e", "x", False, None), (3, "m", "a", "e", "y", False, 0.25)], "row_id long, model string, arm string, eval_set string, id string, correct boolean, cost_usd double")
     assert sorted(r.row_id for r in runlog.first_writes(log).collect()) == [1, 3]
-    assert [r.cost_so_far for r in runlog.running(log, ("row_id",), ("model",)).orderBy("row_id").collect()] == [0.5, 0.5, 0.75]
+    assert [r.cost_so_far for r in runlog.running(log, "row_id", ("model",)).orderBy("row_id").collect()] == [0.5, 0.5, 0.75]
     ex = spark.createDataFrame([("x",), ("z",)], "id string")
     assert [r.id for r in runlog.todo(ex, log).collect()] == ["z"]
     tries = []

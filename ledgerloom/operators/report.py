@@ -29,6 +29,22 @@ def markdown_table(df: DataFrame, *order: str) -> str:
     return "\n".join(head + ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in rows])
 
 
+def gate_report(comparison: DataFrame, model: str, base: str, gate_set: str) -> str:
+    """The comparison of two models as text: a table, the decision on the gate set, and a warning for ids only one of them answered."""
+    rows = comparison.orderBy("eval_set").limit(MOST_ROWS).collect()
+    lines = [f"## {model} against {base}", "", "| set | n | accuracy | interval | base | interval | points | b/c | p |", "|---|---|---|---|---|---|---|---|---|"]
+    for r in rows:
+        lines.append(f"| {r.eval_set} | {r.n} | {r.acc_a:.4f} | {r.lo_a:.4f} to {r.hi_a:.4f} | {r.acc_b:.4f} | {r.lo_b:.4f} to {r.hi_b:.4f} | {r.delta_points:+.2f} | {r.b}/{r.c} | {r.p:.4g} |")
+    lines.append("")
+    for r in rows:
+        if r.eval_set == gate_set:
+            apart = r.lo_a > r.hi_b or r.lo_b > r.hi_a
+            lines += [f"- gain {r.delta_points:+.2f} points", f"- intervals {'are apart' if apart else 'overlap'}", f"- gate: {r.gate}", f"- later gate: {r.phase1}"]
+        if r.only_a or r.only_b:
+            lines.append(f"- warning: {r.eval_set} has {r.only_a} ids of {model} only and {r.only_b} of {base} only")
+    return "\n".join(lines)
+
+
 def upsert_section(text: str, name: str, body: str) -> str:
     """Put ``body`` between the markers of section ``name``, at the end if they are absent; doing it twice changes nothing."""
     begin, end = f"<!-- begin {name} -->", f"<!-- end {name} -->"

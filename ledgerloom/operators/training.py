@@ -60,6 +60,12 @@ def within_length(records_: DataFrame, most: int = 3072, per_token: float = 3.6)
     return records_.where(record_length(F.col("messages"), per_token) <= most)
 
 
+def beyond_length(records_: DataFrame, most: int = 3072, per_token: float = 3.6) -> DataFrame:
+    """Id and length of the records that are left out."""
+    n = record_length(F.col("messages"), per_token)
+    return records_.select("id", n.alias("n_tokens")).where(F.col("n_tokens") > most)
+
+
 def length_report(records_: DataFrame, most: int = 3072, per_token: float = 3.6) -> DataFrame:
     """One row: records, kept, dropped, and greatest length."""
     n = record_length(F.col("messages"), per_token)

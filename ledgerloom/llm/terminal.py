@@ -118,26 +118,47 @@ def state(text: str | None) -> str:
     return UNSURE
 
 
-#: Rows that the whole corpus counts for in a source's own baseline, and the share of ended texts below which a missing terminator proves nothing.
-PRIOR_ROWS, LEAST_ENDED = 20.0, 0.5
+_ITEM = re.compile(r"^[-*•]\s|^(?:step\s*)?\d+\s*[.:)]", re.I)
+#: Terminal contexts: what kind of line a text ends on, and whether its last word is a word, a figure or a sign.
+CONTEXTS = tuple(f"{line}-{word}" for line in ("key", "item", "prose") for word in ("word", "figure", "sign"))
+
+
+def context_of(text: str | None) -> str | None:
+    """The terminal context of a text; None for null and blank ones."""
+    lines = [x for x in (text or "").splitlines() if x.strip()]
+    while len(lines) > 1 and _HEADER.match(lines[-1]):
+        lines.pop()
+    if not lines:
+        return None
+    last = lines[-1].strip()
+    word = last.split()[-1]
+    shape = "figure" if any(c.isdigit() for c in word) else "word" if _WORD.search(word) else "sign"
+    return f"{'key' if _KEY.match(last) else 'item' if _ITEM.match(last) else 'prose'}-{shape}"
+
+
+#: Rows that a context counts for in a source's own model; what is known beforehand (share that ends properly, and rows it counts
+#: for); and the share below which a missing terminator proves nothing.
+PRIOR_ROWS, KNOWN_SHARE, KNOWN_ROWS, LEAST_ENDED = 20.0, 0.9, 5.0, 0.5
 
 
 def with_baseline(df: DataFrame, source: tuple[str, ...], prior: float = PRIOR_ROWS) -> DataFrame:
-    """Adds ``ended_share``: how often texts of the same source end properly, drawn to the share of all texts for small sources.
+    """Adds ``ended_share``: how often texts of the same source that stop in the same terminal context end properly.
 
-    Counts are combined before the shuffle; only ``unsure`` rows need the baseline, so only they are shuffled by source.
+    The model is counted over all texts: per context, and per source and context, the latter drawn to the former for small
+    sources. Counts are combined before the shuffle; only ``unsure`` rows need the model, so only they are shuffled by source.
     Sources compare null-safe. Other rows get null.
     """
-    counted = df.where(F.col("state").isin(COMPLETE, UNSURE))
-    overall = counted.agg(F.avg(F.col("terminated").cast("double")).alias("p")).first()["p"]
-    overall = 1.0 if overall is None else overall
-    tag = F.to_json(F.struct(*[F.col(c) for c in source]))
-    share = (F.sum(F.col("terminated").cast("double")) + F.lit(prior * overall)) / (F.count(F.lit(1)) + F.lit(prior))
+    counted = df.where(F.col("state").isin(COMPLETE, UNSURE) & F.col("context").isNotNull())
+    ended = F.sum(F.col("terminated").cast("double"))
+    overall = {r["context"]: r["p"] for r in counted.groupBy("context").agg(((ended + KNOWN_SHARE * KNOWN_ROWS) / (F.count(F.lit(1)) + KNOWN_ROWS)).alias("p")).collect()}
+    drawn = F.coalesce(*[F.when(F.col("context") == c, F.lit(float(overall[c]))) for c in CONTEXTS if c in overall], F.lit(KNOWN_SHARE))
+    tag = F.to_json(F.struct(*[F.col(c) for c in (*source, "context")]))
+    share = (ended + F.lit(prior) * F.max(drawn)) / (F.count(F.lit(1)) + F.lit(prior))
     base = counted.groupBy(tag.alias("_tag")).agg(share.alias("ended_share"))
     unsure = df.where(F.col("state") == UNSURE).withColumn("_tag", tag).join(base, "_tag", "left").drop("_tag")
     return df.where(F.col("state") != UNSURE).withColumn("ended_share", F.lit(None).cast("double")).unionByName(unsure)
 
 
 def is_cut(least: float = LEAST_ENDED) -> Column:
-    """True for a cut text, and for an unsure one of a source whose texts mostly end properly."""
+    """True for a cut text, and for an unsure one of a source whose texts mostly end properly in such a context."""
     return (F.col("state") == CUT) | ((F.col("state") == UNSURE) & (F.coalesce(F.col("ended_share"), F.lit(1.0)) >= least))

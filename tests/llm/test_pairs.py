@@ -77,6 +77,12 @@ def test_no_refusals(text):
     assert not pairs.is_refusal(text)
 
 
+def test_contexts():
+    got = [terminal.context_of(t) for t in (GOOD, "It is so.", "- It is 5.", "Step 2: then", "a\n### ", "It is )", None, " ")]
+    assert got == ["key-figure", "prose-word", "item-figure", "item-word", "prose-word", "prose-sign", None, None]
+    assert all(c in terminal.CONTEXTS for c in got if c)
+
+
 def test_languages():
     assert languages.language(GOOD) == "en" and languages.language("Die Zeile mit cost of sales enthält alles, was wir für die Rechnung brauchen.") == "de"
     assert languages.language("La línea que necesitamos es la de net income.") == "es" and languages.language("La ligne qui nous intéresse est celle de net income.") == "fr"
@@ -120,6 +126,6 @@ def test_operator(spark):
 
 
 def test_source_that_never_ends_its_texts(spark):
-    items = [("e1", "bare", "p", f"the value of line {k} it seems to be so")  for k in range(60)] + [("e1", "full", "p", GOOD)] * 60 + [("e1", "full", "p", "The change is twel")]
+    items = [("e1", "bare", "p", f"the value of line {k} it seems to be so")  for k in range(60)] + [("e1", "full", "p", "It was 5, and this is the direction seen in the text.")] * 60 + [("e1", "full", "p", "The change is twel")]
     ex = spark.createDataFrame([("e1", Q)], "id string, question string")
     assert [r.row_id for r in truncation.truncated(make(spark, items), ex).collect()] == [120]

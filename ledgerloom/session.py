@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,10 +37,24 @@ def durable(df: DataFrame, label: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/ledgerloom-{label}-{uuid.uuid4().hex}"
+    if not _WRITTEN:
+        atexit.register(release)
+    _WRITTEN.append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Delete the tables that this process wrote, once no result that reads them is needed; called at exit as well."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        try:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # the session is gone: only a local folder can still be reached
+            shutil.rmtree(path.removeprefix("file://"), True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for work that is bound by the CPU.
 

@@ -79,3 +79,13 @@ def test_registered(name):
     import __spark_entry__ as e
 
     assert name in e.queries() and name in e.oracle_sql()
+
+
+def test_release_deletes_what_was_written(spark):
+    from ledgerloom import session
+
+    path = session.durable(spark.range(3), "gone").inputFiles()[0]
+    session.release()
+    assert not session._WRITTEN
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()

@@ -138,7 +138,7 @@ def context_of(text: str | None) -> str | None:
 
 #: Rows that a context counts for in a source's own model; what is known beforehand (share that ends properly, and rows it counts
 #: for); and the share below which a missing terminator proves nothing.
-PRIOR_ROWS, KNOWN_SHARE, KNOWN_ROWS, LEAST_ENDED = 20.0, 0.9, 5.0, 0.5
+PRIOR_ROWS, KNOWN_SHARE, KNOWN_ROWS, LEAST_ENDED = 20.0, 0.9, 5.0, 0.25
 
 
 def with_baseline(df: DataFrame, source: tuple[str, ...], prior: float = PRIOR_ROWS) -> DataFrame:
@@ -160,5 +160,5 @@ def with_baseline(df: DataFrame, source: tuple[str, ...], prior: float = PRIOR_R
 
 
 def is_cut(least: float = LEAST_ENDED) -> Column:
-    """True for a cut text, and for an unsure one of a source whose texts mostly end properly in such a context."""
+    """True for a cut text, and for an unsure one unless the texts of its source rarely end properly in such a context."""
     return (F.col("state") == CUT) | ((F.col("state") == UNSURE) & (F.coalesce(F.col("ended_share"), F.lit(1.0)) >= least))

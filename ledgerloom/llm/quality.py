@@ -304,7 +304,7 @@ def distances(stats: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray]]
 
 
 def prose_distance(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 2, limit: float = LIMIT) -> DataFrame:
-    """Every text with its statistics, its ``distance`` from prose of its language and each statistic's part of that.
+    """Every text with its statistics (and ``n_words``), its ``distance`` from prose of its language and each statistic's part of that.
 
     Robust fit: it starts from the texts most of whose characters read as prose, takes mean and covariance per language over
     all of them, then ``rounds`` times leaves out those beyond ``limit`` and fits again. Models of rare languages lean on the
@@ -316,7 +316,7 @@ def prose_distance(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     models = _models(_moments(stats.where(outside < 0.2)))
     for _ in range(rounds):
         models = _models(_moments(distances(stats, models).where(F.col("distance") <= limit)))
-    return distances(stats, models)
+    return distances(stats, models).withColumn("n_words", F.round(F.expm1("log_words")).cast("long"))
 
 
 def not_prose(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: float = LIMIT, half: float = HALF) -> DataFrame:

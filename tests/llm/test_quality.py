@@ -48,5 +48,6 @@ def test_operator(spark):
     assert sorted(got, key=str) == sorted(want, key=str)
     r = quality.prose_distance(df).where("doc_id = 1005").first()
     assert abs(sum(r[f"part_{s}"] for s in quality.STATS) - r.distance) < 1e-6 * r.distance and r.distance > quality.LIMIT
+    assert quality.prose_distance(df).where("doc_id = 1").first().n_words == 2 * len(PROSE.split())
     assert quality.prose_distance(df).count() == 150 + len(KINDS) + 2
     assert quality.not_prose(df.limit(0)).count() == 0

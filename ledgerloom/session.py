@@ -56,12 +56,12 @@ def release() -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in at least as many partitions as there are cores, for work that is bound by the CPU.
+    """``df`` in as many partitions as there are cores where it has fewer than half of that, for work that is bound by the CPU.
 
-    Inputs of fewer partitions are small (a partition is 128 MB at most), so only small inputs are ever moved.
+    Inputs of so few partitions are small (a partition is 128 MB at most), so only small inputs are ever moved.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if 2 * df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

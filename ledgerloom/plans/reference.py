@@ -402,7 +402,7 @@ def prompt_texts(spark: SparkSession, d: str) -> DataFrame:
 def exemplar_origin(spark: SparkSession, d: str) -> DataFrame:
     """Exemplars found again among the examples."""
     x = table(spark, d, "exemplars").select("id", F.col("question").alias("q"))
-    return _examples(spark, d).join(F.broadcast(x.limit(100)), "id").select("id", "split", (F.col("question") == F.col("q")).alias("same_question"))
+    return _examples(spark, d).join(x, "id").select("id", "split", (F.col("question") == F.col("q")).alias("same_question"))
 
 
 @query("""SELECT id, md5(coalesce(messages[1].content, '')) AS first, md5(coalesce(messages[2].content, '')) AS second, len(messages) AS n FROM train_records""")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.answers import score
-from ledgerloom.operators.delivery import ANSWER_KEY, deduplicate, new_messages, normal_key
+from ledgerloom.operators.delivery import ANSWER_KEY, deduplicate, new_messages
 
 
 def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -19,13 +19,6 @@ def scored(stream: DataFrame) -> DataFrame:
     return stream.select("row_id", *ANSWER_KEY, "ts", score(F.col("output"), F.col("gold")).alias("s")).select("row_id", *ANSWER_KEY, "ts", F.col("s.correct").alias("correct"), F.col("s.status").alias("status"))
 
 
-def without_redelivery(stream: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Drops redelivered answers within a watermark on ``ts``; state is bounded by ``delay``. Rows without ``ts`` are left to the batch operator."""
-    keyed = stream.where("ts is not null").withColumns({f"_k{i}": normal_key(k) for i, k in enumerate(ANSWER_KEY)})
-    names = [f"_k{i}" for i in range(len(ANSWER_KEY))]
-    return keyed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(names).drop(*names)
-
-
 def append_new(batch: DataFrame, path: str) -> None:
     """Append the messages of a micro-batch that the table at ``path`` has not got, exactly one copy each."""
     spark = batch.sparkSession
@@ -36,7 +29,21 @@ def append_new(batch: DataFrame, path: str) -> None:
         deduplicate(batch).write.parquet(path)
 
 
+def _append_stream(stream: DataFrame, target: str, checkpoint: str) -> None:
+    query = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: append_new(df, target)).start()
+    query.awaitTermination()
+
+
 def score_stream(spark: SparkSession, source: str, schema, target: str, checkpoint: str) -> None:
     """Score all files there are, append each answer once to ``target``, and stop. A restart goes on where it stopped."""
-    query = scored(read_stream(spark, source, schema)).writeStream.trigger(availableNow=True).option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: append_new(df, target)).start()
-    query.awaitTermination()
+    _append_stream(scored(read_stream(spark, source, schema)), target, checkpoint)
+
+
+def without_redelivery(stream: DataFrame, target: str, checkpoint: str) -> None:
+    """Append one copy of each answer of ``stream`` to ``target``, with all columns, and stop at the end of what there is.
+
+    Null and late ``ts`` count like any other: a micro-batch is held against all of ``target``, so no watermark drops a first
+    copy. The copy that stays is the earliest (as in the batch operator) of the first micro-batch that has the answer. A
+    batch that is played again after a failure adds nothing.
+    """
+    _append_stream(stream, target, checkpoint)

@@ -165,3 +165,14 @@ def test_stream(spark, tmp_path):
     stream.score_stream(spark, src, one.schema, out, ck)
     assert spark.read.parquet(out).count() == 1
     assert schema
+
+
+def test_stream_without_redelivery_keeps_null_and_late_ts(spark, tmp_path):
+    schema = "row_id long, id string, model string, arm string, eval_set string, ts timestamp"
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    one = spark.sql("select 1L row_id, 'a' id, 'm' model, 'c' arm, 'e' eval_set, timestamp'2026-03-01' ts union all select 2L, 'none', 'm', 'c', 'e', null union all select 3L, 'A ', 'M', 'c', 'e', timestamp'2026-02-01'")
+    late = spark.sql("select 4L row_id, 'late' id, 'm' model, 'c' arm, 'e' eval_set, timestamp'2026-01-01' ts union all select 5L, 'None', 'm', 'c', 'e', null union all select 6L, 'a', 'm', 'c', 'e', timestamp'2026-04-01' union all select 7L, null, 'm', 'c', 'e', null")
+    for batch, want in ((one, [2, 3]), (late, [2, 3, 4, 7]), (late, [2, 3, 4, 7])):
+        batch.coalesce(1).write.mode("append").parquet(src)
+        stream.without_redelivery(stream.read_stream(spark, src, schema), out, ck)
+        assert sorted(r.row_id for r in spark.read.parquet(out).collect()) == want

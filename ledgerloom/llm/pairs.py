@@ -127,6 +127,7 @@ def signals(log: DataFrame, source: tuple[str, ...] = SOURCE, ends_only: bool =
             cols = {
                 "state": pa.array(state, pa.string()),
                 "terminated": pa.array([s == terminal.COMPLETE for s in state]),
+                "midway": pa.array([s == terminal.UNSURE and terminal.stops_midway(t) for s, t in zip(state, texts)]),
                 "context": pa.array([terminal.context_of(t) if s in (terminal.COMPLETE, terminal.UNSURE) else None for s, t in zip(state, texts)], pa.string()),
                 "short": pa.array([t if s in asked and not gives_figure(t) else None for s, t in zip(state, texts)], pa.string()),
             }
@@ -135,7 +136,7 @@ def signals(log: DataFrame, source: tuple[str, ...] = SOURCE, ends_only: bool =
                 cols["spoken"] = pa.array([None if s == terminal.EMPTY else languages.language(_KEYS.sub(" ", t)) for s, t in zip(state, texts)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], *cols.values()], [*carried, *cols])
 
-    return spread(src).mapInArrow(run, f"{schema}, state string, terminated boolean, context string, short string" + ("" if ends_only else ", refusal boolean, spoken string"))
+    return spread(src).mapInArrow(run, f"{schema}, state string, terminated boolean, midway boolean, context string, short string" + ("" if ends_only else ", refusal boolean, spoken string"))
 
 
 def questions(examples: DataFrame) -> DataFrame:

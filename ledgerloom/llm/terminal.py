@@ -136,29 +136,64 @@ def context_of(text: str | None) -> str | None:
     return f"{'key' if _KEY.match(last) else 'item' if _ITEM.match(last) else 'prose'}-{shape}"
 
 
-#: Rows that a context counts for in a source's own model; what is known beforehand (share that ends properly, and rows it counts
-#: for); and the share below which a missing terminator proves nothing.
-PRIOR_ROWS, KNOWN_SHARE, KNOWN_ROWS, LEAST_ENDED = 20.0, 0.9, 5.0, 0.25
+#: Words that do not end a sentence in any of the languages (so no verb particles and no words that are a noun elsewhere).
+_LEADING = frozenset(
+    "the a of and or but nor to at by from for with into than as is are was were be been has have its their our your whose which because if while whereas per we they i "
+    "der den dem des ein eine einen einem einer und oder von für weil dass zwischen im beim vom zum zur "
+    "le les la du de un une et que dans pour sur au aux ce cette ces dont entre notre leur ses el los las del y en una con para se al su sus "
+    "o os as da dos das e em na um uma com ao il gli di della dei che dal nel alla nella è het een voor w z że och att ett ve bir ile".split()
+)
+_GOING_ON = re.compile(r"[,;:、，；：+=/<&@#$€£¥(\[{“«–—-]$")
+_LABELS = frozenset("option class part item note table plan series group case column row line type tier grade exhibit schedule appendix".split())
+_FRAGMENT = re.compile(r"^[bcdfghjklmnpqrstvwxz]{1,3}$")
+_LATIN_END = "ɏ"
+
+
+def stops_midway(text: str) -> bool:
+    """True where a text without a terminator cannot be whole: it ends on a word that opens something, on a sign that goes on, or within a word.
+
+    Within a word is told of at most three consonants, no label (``option b``) and no unit after a figure (``5 bn``). Beyond
+    the Latin script there is no list of words; there a text that ends an earlier sentence properly is held to that at its end.
+    """
+    lines = [x for x in text.splitlines() if x.strip()]
+    while len(lines) > 1 and _HEADER.match(lines[-1]):
+        lines.pop()
+    last = lines[-1].strip().strip("*_`").rstrip()
+    words = last.split()
+    if not words or _GOING_ON.search(last):
+        return True
+    word, prior = words[-1].strip("\"'”’»)]("), words[-2].lower() if len(words) > 1 else ""
+    if word.lower() in _LEADING and not (len(word) == 1 and prior in _LABELS):
+        return True
+    if _FRAGMENT.match(word):
+        return prior not in _LABELS and not any(c.isdigit() for c in prior)
+    letters = [c for c in word if c.isalpha()]
+    return bool(letters) and letters[-1] > _LATIN_END and any(c in text[:-1] for c in ("。", "！", "｡", "।", "؟", ". ", ".\n"))
+
+
+#: The share of properly ended texts below which a missing terminator may be a habit of the source; the share of unterminated
+#: texts that stop midway from which it is no habit but cuts; and the fewest unterminated texts in which either can be seen.
+LEAST_ENDED, MOST_MIDWAY, LEAST_SEEN = 0.25, 0.1, 20
 
 
-def with_baseline(df: DataFrame, source: tuple[str, ...], prior: float = PRIOR_ROWS) -> DataFrame:
-    """Adds ``ended_share``: how often texts of the same source that stop in the same terminal context end properly.
+def with_baseline(df: DataFrame, source: tuple[str, ...]) -> DataFrame:
+    """Adds ``habit``: whether texts of the same source leave out the terminator in the same terminal context by habit.
 
-    The model is counted over all texts: per context, and per source and context, the latter drawn to the former for small
-    sources. Counts are combined before the shuffle; only ``unsure`` rows need the model, so only they are shuffled by source.
-    Sources compare null-safe. Other rows get null.
+    Texts that stop midway are cuts whatever the source does, so they do not count towards the share that ends properly; where
+    many of the unterminated texts of a source stop midway, it cuts its texts and the others are no habit either. Shares are
+    those of the source and context alone, so equal shares give equal decisions; of fewer than ``LEAST_SEEN`` unterminated texts
+    none is excused. Counts are combined before the shuffle; only ``unsure`` rows need them, so only they are shuffled by
+    source. Sources compare null-safe. Other rows get null.
     """
     counted = df.where(F.col("state").isin(COMPLETE, UNSURE) & F.col("context").isNotNull())
-    ended = F.sum(F.col("terminated").cast("double"))
-    overall = {r["context"]: r["p"] for r in counted.groupBy("context").agg(((ended + KNOWN_SHARE * KNOWN_ROWS) / (F.count(F.lit(1)) + KNOWN_ROWS)).alias("p")).collect()}
-    drawn = F.coalesce(*[F.when(F.col("context") == c, F.lit(float(overall[c]))) for c in CONTEXTS if c in overall], F.lit(KNOWN_SHARE))
     tag = F.to_json(F.struct(*[F.col(c) for c in (*source, "context")]))
-    share = (ended + F.lit(prior) * F.max(drawn)) / (F.count(F.lit(1)) + F.lit(prior))
-    base = counted.groupBy(tag.alias("_tag")).agg(share.alias("ended_share"))
+    ended, bare, midway = F.count_if(F.col("terminated")), F.count_if((F.col("state") == UNSURE) & ~F.col("midway")), F.count_if(F.col("midway"))
+    habit = (ended < F.lit(LEAST_ENDED) * (ended + bare)) & (midway < F.lit(MOST_MIDWAY) * (midway + bare)) & (midway + bare >= LEAST_SEEN)
+    base = counted.groupBy(tag.alias("_tag")).agg(habit.alias("habit"))
     unsure = df.where(F.col("state") == UNSURE).withColumn("_tag", tag).join(base, "_tag", "left").drop("_tag")
-    return df.where(F.col("state") != UNSURE).withColumn("ended_share", F.lit(None).cast("double")).unionByName(unsure)
+    return df.where(F.col("state") != UNSURE).withColumn("habit", F.lit(None).cast("boolean")).unionByName(unsure)
 
 
-def is_cut(least: float = LEAST_ENDED) -> Column:
-    """True for a cut text, and for an unsure one unless the texts of its source rarely end properly in such a context."""
-    return (F.col("state") == CUT) | ((F.col("state") == UNSURE) & (F.coalesce(F.col("ended_share"), F.lit(1.0)) >= least))
+def is_cut() -> Column:
+    """True for a cut text, and for an unsure one that stops midway or whose source does not leave out terminators by habit."""
+    return (F.col("state") == CUT) | ((F.col("state") == UNSURE) & (F.col("midway") | ~F.coalesce(F.col("habit"), F.lit(False))))

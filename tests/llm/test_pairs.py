@@ -129,3 +129,29 @@ def test_source_that_never_ends_its_texts(spark):
     items = [("e1", "bare", "p", f"the value of line {k} it seems to be so")  for k in range(60)] + [("e1", "full", "p", "It was 5, and this is the direction seen in the text.")] * 60 + [("e1", "full", "p", "The change is twel")]
     ex = spark.createDataFrame([("e1", Q)], "id string, question string")
     assert [r.row_id for r in truncation.truncated(make(spark, items), ex).collect()] == [120]
+
+
+MIDWAY = ["It is shown in the", "The table gives, however,", "We take th", "The rise is 5 and", "Das liegt an der", "Сумма равна 5. Это зна"]
+NOT_MIDWAY = ["The change is twel", "It was option b", "It rose by 5 bn", "it seems to be so", "We take it", "Сумма равна пяти", "See (the table)"]
+
+
+def test_midway():
+    assert [terminal.stops_midway(t) for t in MIDWAY + NOT_MIDWAY] == [True] * len(MIDWAY) + [False] * len(NOT_MIDWAY)
+
+
+def test_source_that_cuts_nearly_all_its_texts_is_no_habit(spark):
+    ends = ["The sum of the", "The sum of both val", "The sum is seen in the tab", "The sum of both", "We take th"]
+    items = [("e1", "cutter", "p", "It was 5, and this is the direction seen in the text.")] * 10 + [("e1", "cutter", "p", ends[k % 5]) for k in range(90)]
+    ex = spark.createDataFrame([("e1", Q)], "id string, question string")
+    log = make(spark, items)
+    assert [(r.n_rows, r.n_cut) for r in truncation.cut_rates(log, ex).collect()] == [(100, 90)]
+    assert sorted(r.row_id for r in truncation.truncated(log, ex).collect()) == list(range(10, 100))
+
+
+def test_habit_does_not_depend_on_the_number_of_rows(spark):
+    def bare(n):
+        return [("e1", f"bare{n}", "p", "The value of the line it seems to be so" if k % 5 else "The value is up.") for k in range(n)]
+
+    items = bare(30) + bare(600) + [("e1", "full", "p", "It was 5, and this is the direction seen in the text.")] * 600 + [("e1", "bare600", "p", "The value of the")]
+    ex = spark.createDataFrame([("e1", Q)], "id string, question string")
+    assert [r.row_id for r in truncation.truncated(make(spark, items), ex).collect()] == [1230]

@@ -63,6 +63,21 @@ def question_key(question: str | None) -> str | None:
 
 
 _NAMES = re.compile(r"[^\W\d_]+", re.U)
+_TOKENS = re.compile(r"[^\W_]+", re.U)
+
+
+def plain_key(question: str | None) -> str | None:
+    """What a question that ``question_key`` cannot read asks for: the parts that are there, or all its words where it names nothing.
+
+    None only for a question without a word, so the same question always has the same key.
+    """
+    if not question:
+        return None
+    q = re.sub(r"\s+", " ", _ESCAPES.sub(" ", question)).lower()
+    words = {w for w in _NAMES.findall(_PERIOD.sub(" ", q)) if w not in ASKING and w not in languages._WEIGHT}
+    kind = next((name for name, rx in KINDS if rx.search(q)), "")
+    said = ",".join(sorted(words)) or " ".join(_TOKENS.findall(q))
+    return f"plain|{kind}|{said}|{','.join(sorted(set(_PERIOD.findall(q))))}" if said else None
 
 
 def gold_value(gold: str | None) -> float | None:
@@ -88,22 +103,26 @@ def _records(examples: DataFrame, eval_splits: tuple[str, ...]) -> DataFrame:
             q, c, p, g = (b.column(k).to_pylist() for k in range(3, 7))
             w = kernel.words(pa.array([f"{x or ''} \n {y or ''}" for x, y in zip(q, c)], pa.large_string()))
             bounds = np.searchsorted(w.row, np.arange(b.num_rows + 1))
-            terms, counts = [], []
+            terms, counts, figures = [], [], []
+            number, read = w.is_number(), [question_key(x) for x in q]
             for lo, hi in zip(bounds, bounds[1:]):
                 t, n = np.unique(w.hash[lo:hi].view(np.int64), return_counts=True)
                 terms.append(t)
                 counts.append((1 + np.log(n)).astype(np.float32))
+                at = len(figures)
+                figures.append(None if read[at] else np.unique(w.hash[lo:hi][number[lo:hi]].view(np.int64)))
             cols = [
                 *b.columns[:3],
                 pa.array([program_key(x) for x in p], pa.string()),
-                pa.array([question_key(x) for x in q], pa.string()),
+                pa.array([r or plain_key(x) for r, x in zip(read, q)], pa.string()),
                 pa.array([gold_value(x) for x in g], pa.float64()),
                 pa.array(terms, pa.list_(pa.int64())),
                 pa.array(counts, pa.list_(pa.float32())),
+                pa.array(figures, pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "split", "gold_source", "program", "asked", "gold", "terms", "counts"])
+            yield pa.RecordBatch.from_arrays(cols, ["id", "split", "gold_source", "program", "asked", "gold", "terms", "counts", "figures"])
 
-    return spread(src).mapInArrow(run, "id string, split string, gold_source string, program string, asked string, gold double, terms array<bigint>, counts array<float>")
+    return spread(src).mapInArrow(run, "id string, split string, gold_source string, program string, asked string, gold double, terms array<bigint>, counts array<float>, figures array<bigint>")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -243,7 +262,7 @@ def class_pairs(examples: DataFrame, least: float = MIN_COSINE, cap: int = IDF_C
     side = F.when(F.col("split") == "train", F.lit("train")).otherwise(F.lit("eval"))
     same = F.xxhash64(side, F.col("terms"), F.col("counts"), F.coalesce("program", F.lit("")), F.coalesce("asked", F.lit("")), F.coalesce(F.col("gold").cast("string"), F.lit("")))
     records = records.withColumn("cls", same)
-    one = F.min_by(F.struct("split", "program", "asked", "gold", "terms", "counts"), "id").alias("r")
+    one = F.min_by(F.struct("split", "program", "asked", "gold", "terms", "counts", "figures"), "id").alias("r")
     reps = durable(records.groupBy("cls").agg(one).select("cls", "r.*"), "classes")
     weights = _weights(reps, cap)
     posts = _postings(reps, weights, least)
@@ -252,12 +271,14 @@ def class_pairs(examples: DataFrame, least: float = MIN_COSINE, cap: int = IDF_C
     # What both have in the lists is counted; the rest of either is bounded by its norm (and 1 for the other vector).
     bound = F.sum(F.col("w_t") * F.col("w_e")) + F.greatest(F.max("rest_t"), F.max("rest_e"))
     cand = met.agg(bound.alias("bound")).where(F.col("bound") >= least - 1e-9).select("cls_t", "cls_e").distinct()
-    fields = ("terms", "counts", "program", "asked", "gold")
+    fields = ("terms", "counts", "program", "asked", "gold", "figures")
     left, right = (reps.select(F.col("cls").alias(f"cls_{x}"), *[F.col(f).alias(f"{f}_{x}") for f in fields]) for x in ("t", "e"))
     both = cand.join(left, "cls_t").join(right, "cls_e")
     # Exact check: the same program where both have one; otherwise the same reading of the question and the same answer.
+    # Questions that cannot be read have ``figures``: where no answers can be compared, those of one side must all be on the other.
     close = F.abs(F.col("gold_t") - F.col("gold_e")) <= F.lit(0.001) * F.abs(F.col("gold_e")) + F.lit(1e-5)
-    asks = (F.col("asked_t") == F.col("asked_e")) & F.coalesce(close, F.lit(True))
+    within = (F.size(F.array_except("figures_t", "figures_e")) == 0) | (F.size(F.array_except("figures_e", "figures_t")) == 0)
+    asks = (F.col("asked_t") == F.col("asked_e")) & F.coalesce(close, within, F.lit(True))
     agrees = F.when(F.col("program_t").isNotNull() & F.col("program_e").isNotNull(), F.col("program_t") == F.col("program_e")).otherwise(F.coalesce(asks, F.lit(False)))
     both = both.where(agrees).select("cls_t", "cls_e", "terms_t", "counts_t", "terms_e", "counts_e")
     return _exact(both, weights).where(F.col("cosine") >= least), records.select("id", "split", "gold_source", "cls")
@@ -268,7 +289,7 @@ def overlaps(examples: DataFrame, least: float = MIN_COSINE, cap: int = IDF_CAP,
 
     Columns: ``train_id``, ``eval_id``, ``split`` and ``gold_source`` (of the evaluation record), ``cosine``. Records without
     id or of other splits are left out; null questions and contexts count as empty; records that have neither a program nor a
-    readable question pair with nothing; repeated rows of one id give the pair once; an empty table gives none.
+    question with a word pair with nothing; repeated rows of one id give the pair once; an empty table gives none.
     """
     pairs, members = class_pairs(examples, least, cap, eval_splits)
     t = members.where(F.col("split") == "train").select(F.col("cls").alias("cls_t"), F.col("id").alias("train_id"))

@@ -100,3 +100,15 @@ def test_copies_are_joined_once(spark):
     df = spark.createDataFrame([record(f"t{k}", "train", q, c) for k in range(300)] + [record("d", "dev", q, c)], SCHEMA)
     pairs, members = splits.class_pairs(df)
     assert pairs.count() == 1 and members.count() == 301 and splits.overlaps(df).count() == 300
+
+
+def test_records_without_program_and_readable_question_meet(spark):
+    q, c = "how much cash was held at year end?", "the board met in june.\ncash | 1,234 | 567\ntotal debt | 9,876 | 543\nall is well that ends."
+    other = c.replace("1,234", "4,321").replace("567", "765")
+    rows = [
+        record("t1", "train", q, c, None, "1234"), record("t2", "train", q, c, None, None), record("t3", "train", "what is it?", c, None, None),
+        record("d1", "dev", q, c, None, "1234"), record("d2", "dev", q.upper(), "some older figures were regrouped.\n" + c, None, "1,234"),
+        record("d3", "test", q, other, None, "4321"), record("d4", "test", "how much debt was held at year end?", c, None, "9876"), record("d5", "dev", "what is it?", c, None, None),
+    ]
+    got = sorted((r.train_id, r.eval_id) for r in splits.overlaps(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [("t1", "d1"), ("t1", "d2"), ("t2", "d1"), ("t2", "d2"), ("t3", "d5")]

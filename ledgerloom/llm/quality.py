@@ -120,6 +120,25 @@ def _letter_spaced(line: str) -> bool:
     return len(tokens) >= 10 and sum(len(t) == 1 and t.isalpha() for t in tokens) > 0.5 * len(tokens)
 
 
+#: Letters kept, all else made a space: the words of a lower-case ASCII text without a regular expression.
+_TO_WORDS = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
+
+
+def _sound(block: str, lower: str, tokens: list[str], dense: int, lang: str) -> bool:
+    """True for a block rich in function words that passes every later test of ``_is_junk``, symbols and unconnected words included."""
+    hits = sum(map(_SETS[lang].__contains__, tokens))
+    if hits < 0.15 * len(tokens) or _HEX.match(tokens[0]) or _HEX.match(tokens[-1]):
+        return False
+    if block.isascii():
+        raw = lower.encode()
+        spaced = raw.translate(_TO_WORDS)
+        n, letters, digits = len(spaced.split()), len(spaced) - spaced.count(b" "), len(raw) - len(raw.translate(None, b"0123456789"))
+    else:
+        words = _WORD.findall(lower)
+        n, (letters, digits) = len(words), _alnum(block, words)
+    return letters + digits >= 0.6 * dense and hits >= 0.12 * n
+
+
 def _is_junk(block: str, lang: str | None) -> bool:
     """Noise, markup, encodings, broken or unconnected words."""
     lower = block.lower()
@@ -130,8 +149,8 @@ def _is_junk(block: str, lang: str | None) -> bool:
     longest = max(map(len, tokens))
     marked = "<" in block or "&" in block or "{" in block
     if longest < 30 and not marked and lang in _SETS and (block.isascii() or not _BROKEN.search(block)):
-        if sum(map(_SETS[lang].__contains__, tokens)) >= 0.15 * len(tokens):
-            return False  # read as prose without a closer look, which such a block would pass
+        if _sound(block, lower, tokens, dense, lang):
+            return False
     if marked and sum(len(x) for x in _TAG.findall(block)) > 0.3 * len(block):
         return True
     if len(tokens) >= 5 and (_HEX.match(tokens[0]) or _HEX.match(tokens[-1])) and sum(bool(_HEX.match(t)) for t in tokens) >= 0.7 * len(tokens):

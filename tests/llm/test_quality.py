@@ -51,3 +51,10 @@ def test_operator(spark):
     assert quality.prose_distance(df).where("doc_id = 1").first().n_words == 2 * len(PROSE.split())
     assert quality.prose_distance(df).count() == 150 + len(KINDS) + 2
     assert quality.not_prose(df.limit(0)).count() == 0
+
+
+def test_noise_between_function_words_is_junk():
+    for noise in ("of the @@@@@@@@ to the ######## in a %%%%%%%% ", "of xqz-ttr-zzv-kkj-bbd-qqw vvk-zzt-ppq the xxr-ttz-qqk-bbz zzt-wwk-kkd-ddq-xxc "):
+        block = noise * 9
+        assert quality._is_junk(block, "en") and quality._is_junk(block + "für die", "en")
+    assert not quality._is_junk(PROSE, "en") and not quality._is_junk(GERMAN, "de")

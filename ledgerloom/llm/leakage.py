@@ -48,6 +48,8 @@ class Index:
 
 #: Words looked at on either side of a hit, and how far added or missing words may shift them, before it is aligned.
 _AROUND, _SHIFT = 20, 3
+#: Most words that are demanded near a hit: what the default asks for, which the window can hold to either side of a hit at the edge of a passage.
+LEAST_NEAR = 0.75 * MIN_WORDS
 
 
 def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
@@ -185,7 +187,7 @@ def probe(index: Index, texts: pa.Array, masks: tuple[str, ...], min_words: int,
     if not text_of:
         return [], []
     t, i, d, a = map(np.concatenate, (text_of, item_of, doc_at, item_at))
-    good = _promising(index, w.hash, i, a, d, 0.75 * min_words)
+    good = _promising(index, w.hash, i, a, d, min(0.75 * min_words, LEAST_NEAR))
     t, i, d, a = t[good], i[good], d[good], a[good]
     if not len(t):
         return [], []

@@ -61,3 +61,9 @@ def test_operator(spark):
     blocks = leakage.leaks(docs, items, block_words=20)
     assert {(r.doc_id, r.item_id) for r in blocks.collect()} == want and blocks.count() == 5
     assert leakage.leaks(docs.limit(0), items).count() == leakage.leaks(docs, items.limit(0)).count() == 0
+
+
+def test_long_passages():
+    for least in (40, 63, 70):
+        assert one(filler(50) + " " + " ".join(ITEM[2:78]) + " " + filler(50), min_words=least)
+        assert not one(filler(50) + " " + " ".join(ITEM[2 : least - 5]) + " " + filler(50), min_words=least)

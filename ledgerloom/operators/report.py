@@ -30,8 +30,10 @@ def markdown_table(df: DataFrame, *order: str) -> str:
 
 
 def gate_report(comparison: DataFrame, model: str, base: str, gate_set: str) -> str:
-    """The comparison of two models as text: a table, the decision on the gate set, and a warning for ids only one of them answered."""
-    rows = comparison.orderBy("eval_set").limit(MOST_ROWS).collect()
+    """The comparison of two models as text: a table, the decision on the gate set, and a warning for ids only one of them answered; more than ``MOST_ROWS`` sets are an error, not a cut."""
+    rows = comparison.orderBy("eval_set").limit(MOST_ROWS + 1).collect()
+    if len(rows) > MOST_ROWS:
+        raise ValueError("too many evaluation sets for a report")
     lines = [f"## {model} against {base}", "", "| set | n | accuracy | interval | base | interval | points | b/c | p |", "|---|---|---|---|---|---|---|---|---|"]
     for r in rows:
         lines.append(f"| {r.eval_set} | {r.n} | {r.acc_a:.4f} | {r.lo_a:.4f} to {r.hi_a:.4f} | {r.acc_b:.4f} | {r.lo_b:.4f} to {r.hi_b:.4f} | {r.delta_points:+.2f} | {r.b}/{r.c} | {r.p:.4g} |")

@@ -176,3 +176,12 @@ def test_stream_without_redelivery_keeps_null_and_late_ts(spark, tmp_path):
         batch.coalesce(1).write.mode("append").parquet(src)
         stream.without_redelivery(stream.read_stream(spark, src, schema), out, ck)
         assert sorted(r.row_id for r in spark.read.parquet(out).collect()) == want
+
+
+def test_gate_report_of_too_many_sets_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(report, "MOST_ROWS", 2)
+    cols = "n, 0.5D acc_a, 0.4D lo_a, 0.6D hi_a, 0.5D acc_b, 0.4D lo_b, 0.6D hi_b, 0D delta_points, 1 b, 1 c, 1D p, 'no' gate, 'no' phase1, 0 only_a, 0 only_b"
+    sets = spark.range(3).selectExpr("concat('s', id) eval_set", *[f"{c.strip()}" if " " in c.strip() else "1 n" for c in cols.split(",")])
+    assert "s1" in report.gate_report(sets.where("eval_set < 's2'"), "a", "b", "s1")
+    with pytest.raises(ValueError):
+        report.gate_report(sets, "a", "b", "s2")

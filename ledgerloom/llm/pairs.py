@@ -17,7 +17,7 @@ from ledgerloom.operators.delivery import normal_key
 from ledgerloom.operators.skew import lookup_join
 from ledgerloom.session import durable, spread
 
-#: Ways to decline, by language. A text is a refusal only if it also gives no figure.
+#: Ways to decline, by language. A text is a refusal only if it also gives no figure as the answer.
 REFUSALS = {
     "en": r"\b(?:can(?:no|')?t|can not|could(?:n't| not)|unable to|not able to|won'?t|will not|am not allowed to|not in a position to) (?:\w+ ){0,2}?(?:answer|help|provid\w*|giv\w*|determine|calculate|compute|respond|assist|comply|shar\w*|offer|tell|say|work|be giving|fulfil\w*|do)\b"
     r"|\b(?:must|have to|need to|has to|like to|prefer to) (?:\w+ )?(?:decline|refuse|pass on|abstain)|\bi (?:decline|refuse)\b|\brather not\b|\bno answer (?:can|could|is)\b|\bnot possible (?:for me )?to (?:\w+ )?(?:answer|provide|give|say|determine)"
@@ -35,6 +35,13 @@ REFUSALS = {
 }
 _REFUSAL = re.compile("|".join(REFUSALS.values()), re.I)
 _YEAR = re.compile(r"\b(?:19|20)\d\d(?:[-/.]\d{1,2}[-/.]\d{1,2})?\b|\b\d{1,2}[-/.]\d{1,2}[-/.](?:19|20)\d\d\b|^\s*(?:step\s*)?\d{1,2}[:.)]", re.I | re.M)
+_NAMED = re.compile(r"\b(?:10-?[KQ]|8-?K|20-?F|S-1|Q[1-4]|[1-4]Q|FY\s?\d+|(?:note|item|page|table|exhibit|section|step|line|part)s?\s+\d+\w?)\b", re.I)
+#: Years, dates and step numbers, as in ``_YEAR``; one word is left in their place.
+_PERIODS = _YEAR
+_SENTENCES = re.compile(r"(?<=[.!?;])\s+|[。！？；\n]+")
+_RESULT = re.compile(r"(?:[=≈]|\b(?:is|was|are|were|be|equals?|gives|leaves|makes?|yields|totals?|comes to|amounts to|leads to|ist|war|beträgt|ergibt|sind|est|était|donne|es|fue|son|resulta|é|foi|è|era)\b)\s*(?:about |around |roughly |approximately )?[-−(]?\s*[$€£]?\s*\d", re.I)
+_DATED = re.compile(r"\d[\d.,]*%?\)?(?: \w+)? (?:in|for|at|of|im|en|em|nel)\s+then\b", re.I)
+_SHOWN = re.compile(r"\b(?:shows?|shown|lists?|listed|mentions?|mentioned|reports?|reported|states?|stated|contains?|covers?|includes?|given|refers?|only|nur|solo|seulement|apenas)\b", re.I)
 _CALLED = re.compile(r"\b[a-z_]+\([^()\n]*\d", re.I)
 _LABEL = re.compile(r"^[\s>*_`#\"'“”«»\-•]*(?:question|the question (?:was|is|reads)|frage|pregunta|pergunta|domanda|вопрос|问题|prompt|query|q|response|task|user)\s*(?:[:：\-–]\s*|$)", re.I | re.M)
 _KEYS = re.compile(rf"^[\s>*_`#\"'“”«»\-•]*(?:{'|'.join(terminal.ANSWER_KEYS + terminal.PROGRAM_KEYS)})\s*(?:[:：\-–*_]\s*|$)", re.I | re.M)
@@ -56,13 +63,30 @@ def gives_figure(text: str) -> bool:
     return False
 
 
+def _concludes(piece: str, after: bool) -> bool:
+    """True if a sentence gives a figure as a result: after the words that decline any figure but one that a source shows; before them only what something is, for no period."""
+    if _RESULT.search(piece) and (after or not _DATED.search(piece)):
+        return True
+    return after and any(c.isdigit() for c in piece) and not _SHOWN.search(piece)
+
+
 def is_refusal(text: str | None) -> bool:
-    """Declines by the dictionary and has no figure but years, dates and step numbers."""
+    """Declines by the dictionary and gives no figure as the answer: on an answer line, in a program, or in a sentence that concludes.
+
+    Figures that are only mentioned (years, dates, steps, names of reports and notes, what the excerpt shows) do not matter.
+    """
     if not text:
         return False
-    if any(c.isdigit() for c in _YEAR.sub(" ", text)) or gives_figure(text):
+    text = text.replace("’", "'")
+    said = list(_REFUSAL.finditer(text))
+    if not said or gives_figure(text):
         return False
-    return bool(_REFUSAL.search(text.replace("’", "'")))
+    if not any(c.isdigit() for c in _YEAR.sub(" ", text)):
+        return True
+    head, tail = (_PERIODS.sub(" then ", _NAMED.sub(" ", x)) for x in (text[: said[-1].start()], text[said[-1].end() :]))
+    # What stands before the words in their own sentence is what they decline.
+    before = _SENTENCES.split(head)[:-1]
+    return not (any(_concludes(x, False) for x in before) or any(_concludes(x, True) for x in _SENTENCES.split(tail)))
 
 
 def bare_words(text: str) -> list[str]:

@@ -155,3 +155,11 @@ def test_habit_does_not_depend_on_the_number_of_rows(spark):
     items = bare(30) + bare(600) + [("e1", "full", "p", "It was 5, and this is the direction seen in the text.")] * 600 + [("e1", "bare600", "p", "The value of the")]
     ex = spark.createDataFrame([("e1", Q)], "id string, question string")
     assert [r.row_id for r in truncation.truncated(make(spark, items), ex).collect()] == [1230]
+
+
+MENTIONED = ["I cannot determine this; the note only shows $5,829 for 2016.", "I cannot answer from the 10-K alone.", "I can't help with the figures of Q3, sorry.", "The note lists 5,829 and 612. I cannot determine the change.", "It was 5,829 in 2016. I'm unable to calculate the change.", "The line is 5,829, but I must decline to work this out.\nANSWER: N/A"]
+ANSWERED = ["We cannot give more detail than that. Dividing 12 by 4 leaves 3.", "The change is 12. I cannot say more.", "I cannot say more than this: the total is 12.", "We do not have the data for 2016, so 5,829 less 612 makes 5,217.", "I cannot determine it exactly.\nANSWER: 5"]
+
+
+def test_figures_mentioned_do_not_make_an_answer():
+    assert [pairs.is_refusal(t) for t in MENTIONED + ANSWERED] == [True] * len(MENTIONED) + [False] * len(ANSWERED)

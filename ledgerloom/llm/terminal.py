@@ -47,6 +47,39 @@ def open_marks(text: str) -> list[str]:
     return stack
 
 
+_SPANS = re.compile(r"^[ \t]*(?P<fence>```+|~~~+)|(?P<tag></?(?:b|i|u|em|strong|code|pre|table|ul|ol|div|span|details|summary|think|answer)\b[^<>\n]*>)|(?P<bold>(?<![\w*])\*\*(?=[^\s*])|(?<=[^\s*])\*\*(?![\w*]))|[()\[\]{}]", re.I | re.M)
+_INTERVAL = re.compile(r"[(\[]\s*[-+−]?[\d.∞]+\s*[,;]\s*[-+−]?[\d.∞]+\s*[)\]]")
+
+
+def open_spans(text: str) -> list[str]:
+    """What the stack automaton leaves open over a whole text: brackets, code fences, tags, bold. A fence that ends the text opens nothing."""
+    stack: list[str] = []
+    for m in _SPANS.finditer(_INTERVAL.sub(" ", text)):
+        c = m.group()
+        if m["tag"]:
+            name = re.match(r"</?(\w+)", c)[1].lower()
+            c, opens = f"<{name}>", not c.startswith("</")
+            if opens and not m["tag"].endswith("/>"):
+                stack.append(c)
+            elif not opens and c in stack:
+                del stack[len(stack) - 1 - stack[::-1].index(c) :]
+            continue
+        if m["fence"]:
+            c = m["fence"][:3]
+        elif not m["bold"] and c in ")]}":
+            want = "([{"[")]}".index(c)]
+            if want in stack:
+                del stack[len(stack) - 1 - stack[::-1].index(want) :]
+            continue
+        if (m["fence"] or m["bold"]) and c in stack:
+            del stack[len(stack) - 1 - stack[::-1].index(c) :]
+        else:
+            stack.append(c)
+    if stack and stack[-1] in ("```", "~~~") and _HEADER.match(text.splitlines()[-1]):
+        stack.pop()
+    return stack
+
+
 def _value_state(value: str, program: bool) -> str:
     """State of what follows a key on its line."""
     v = value.strip().strip("*_").strip()
@@ -87,7 +120,8 @@ def state(text: str | None) -> str:
     """``empty``, ``complete``, ``cut``, or ``unsure`` where only the habits of the source, or the question, can tell.
 
     ``cut``: a broken multi-byte sign or escape, an ellipsis, open brackets, quotes or markup on the last line, a key cut
-    within itself or left without a value after other text, a program whose last call is not closed.
+    within itself or left without a value after other text, a program whose last call is not closed; a last sentence that ends
+    within brackets, a fence, a tag or bold opened anywhere before (a complete answer line ends a text whatever is open).
     ``unsure``: the last line is prose without a terminator.
     """
     if is_blank(text):
@@ -110,7 +144,7 @@ def state(text: str | None) -> str:
     if before and any(len(bare) < len(k) and k.startswith(bare) for k in ANSWER_KEYS + PROGRAM_KEYS) and bare:
         return CUT
     if _STOP.search(last):
-        return CUT if open_marks(last) and open_marks(last)[-1] in "([{" else COMPLETE
+        return CUT if open_marks(last) and open_marks(last)[-1] in "([{" or open_spans(whole) else COMPLETE
     if open_marks(last):
         return CUT
     if any(c.isdigit() for c in last) and not re.search(r"[^\W\d_]{2,}", last):

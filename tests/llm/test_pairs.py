@@ -163,3 +163,11 @@ ANSWERED = ["We cannot give more detail than that. Dividing 12 by 4 leaves 3.",
 
 def test_figures_mentioned_do_not_make_an_answer():
     assert [pairs.is_refusal(t) for t in MENTIONED + ANSWERED] == [True] * len(MENTIONED) + [False] * len(ANSWERED)
+
+
+SPANS = ["The lines are (net income\nand sales.", "```\nnet income = 5\nIt is so.", "<table>\nIt is 5.", "**The sum is 5.\nIt is so."]
+CLOSED = ["The lines are (net income\nand sales).", "```\nx = 5\n```\nIt is so.", "<b>It</b> is 5.<br/>\nIt is so.", "It is in [0, 5).\n1) **The sum** is 5.", "It is so.\n```", "```\nIt is so.\n```", "(see\nThe sum is 5.\nANSWER: 5"]
+
+
+def test_spans_opened_on_earlier_lines():
+    assert [terminal.state(t) for t in SPANS + CLOSED] == ["cut"] * len(SPANS) + ["complete"] * len(CLOSED)

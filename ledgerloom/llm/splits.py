@@ -14,13 +14,18 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import kernel, languages
 from ledgerloom.session import durable, spread
 
-#: Least cosine of two records, and the number by which inverse document frequency is capped: a term rarer than one record
-#: in ``IDF_CAP`` weighs as if it occurred in one of ``IDF_CAP``. So only terms above that share, at most ``IDF_CAP`` times the
-#: mean number of terms of a record, need a table of weights, whatever the number of records.
-MIN_COSINE, IDF_CAP = 0.6, 1000
+#: Least cosine of two records, and the blocks of a vector with their shares of its squared norm: the context, and of the
+#: question the words that name lines of the report, the periods and the kind. A block without a term holds one that says so,
+#: hence every block has its full share, and the least cosine asks for 0.7 within the context and 0.8 within the question.
+MIN_COSINE = 0.88
+BLOCKS, SHARES = ("context", "names", "periods", "kind"), np.array([0.4, 0.2, 0.2, 0.2])
+#: Terms of more than one record in ``FREQUENT`` are weighed from a table that every task gets: at most ``FREQUENT`` times the
+#: mean number of terms of a record, whatever the number of records. All other terms are weighed by a join on the term.
+FREQUENT = 1000
+#: Records of the train side that one part of an inverted list holds; longer lists are split, and the other side meets each part.
+LIST_ROWS = 20_000
 EVAL_SPLITS = ("dev", "test")
 
-_CALL = re.compile(r"([a-z_]+)\(([^()]*)\)", re.I)
 _PERIOD = re.compile(r"\b(?:19|20)\d\d(?:-\d\d-\d\d)?\b")
 _ESCAPES = re.compile(r"\\+[nrt]")
 #: Kinds of question by the words that ask for them, tried in this order.
@@ -33,14 +38,6 @@ KINDS = (
 )
 
 
-def program_key(program: str | None) -> str | None:
-    """The calls of a program without spacing, case and thousands separators; None if there is no call."""
-    if not program:
-        return None
-    calls = _CALL.findall(re.sub(r"(?<=\d),(?=\d{3}(?!\d))", "", program).lower())
-    return ";".join(f"{name}({re.sub(r'[^#\w.,%-]', '', args)})" for name, args in calls) or None
-
-
 #: Words that ask rather than name a line of the report; with function words they are left out of what a question asks for.
 ASKING = frozenset(
     "percent percentage change changed growth rate relative average mean ratio share portion proportion total sum summed combined together differ difference add lose gain thousands thousand "
@@ -51,33 +48,19 @@ ASKING = frozenset(
 )
 
 
-def question_key(question: str | None) -> str | None:
-    """What a question asks for, whatever its wording: kind, the words that name lines of the report, periods. None if a part is missing."""
-    if not question:
-        return None
-    q = re.sub(r"\s+", " ", _ESCAPES.sub(" ", question)).lower()
-    periods = sorted(set(_PERIOD.findall(q)))
-    words = {w for w in _NAMES.findall(_PERIOD.sub(" ", q)) if w not in ASKING and w not in languages._WEIGHT}
-    kind = next((name for name, rx in KINDS if rx.search(q)), None)
-    return f"{kind}|{','.join(sorted(words))}|{','.join(periods)}" if kind and words and periods else None
-
-
 _NAMES = re.compile(r"[^\W\d_]+", re.U)
 _TOKENS = re.compile(r"[^\W_]+", re.U)
 
 
-def plain_key(question: str | None) -> str | None:
-    """What a question that ``question_key`` cannot read asks for: the parts that are there, or all its words where it names nothing.
+def reading(question: str | None) -> tuple[str, str, str]:
+    """The words of a question that name lines of the report, its periods, and its kind; each empty where there is none.
 
-    None only for a question without a word, so the same question always has the same key.
+    A question that names nothing is taken by all its words.
     """
-    if not question:
-        return None
-    q = re.sub(r"\s+", " ", _ESCAPES.sub(" ", question)).lower()
-    words = {w for w in _NAMES.findall(_PERIOD.sub(" ", q)) if w not in ASKING and w not in languages._WEIGHT}
+    q = re.sub(r"\s+", " ", _ESCAPES.sub(" ", question or "")).lower()
+    words = [w for w in _NAMES.findall(_PERIOD.sub(" ", q)) if w not in ASKING and w not in languages._WEIGHT]
     kind = next((name for name, rx in KINDS if rx.search(q)), "")
-    said = ",".join(sorted(words)) or " ".join(_TOKENS.findall(q))
-    return f"plain|{kind}|{said}|{','.join(sorted(set(_PERIOD.findall(q))))}" if said else None
+    return " ".join(words or _TOKENS.findall(q)), " ".join(sorted(set(_PERIOD.findall(q)))), kind
 
 
 def gold_value(gold: str | None) -> float | None:
@@ -93,36 +76,30 @@ def gold_value(gold: str | None) -> float | None:
 
 
 def _records(examples: DataFrame, eval_splits: tuple[str, ...]) -> DataFrame:
-    """Per record of a wanted split: its terms (distinct hashes, ascending) with damped counts, and the keys of what it asks."""
+    """Per record of a wanted split: its terms (distinct hashes per block, ascending) with damped counts and blocks, and its answer."""
     split = F.lower(F.trim("split"))
-    src = examples.select(F.col("id"), split.alias("split"), "gold_source", "question", "context", "program", "gold")
+    src = examples.select(F.col("id"), split.alias("split"), "gold_source", "question", "context", "gold")
     src = src.where(split.isin("train", *eval_splits) & F.col("id").isNotNull())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            q, c, p, g = (b.column(k).to_pylist() for k in range(3, 7))
-            w = kernel.words(pa.array([f"{x or ''} \n {y or ''}" for x, y in zip(q, c)], pa.large_string()))
-            bounds = np.searchsorted(w.row, np.arange(b.num_rows + 1))
-            terms, counts, figures = [], [], []
-            number, read = w.is_number(), [question_key(x) for x in q]
-            for lo, hi in zip(bounds, bounds[1:]):
-                t, n = np.unique(w.hash[lo:hi].view(np.int64), return_counts=True)
-                terms.append(t)
-                counts.append((1 + np.log(n)).astype(np.float32))
-                at = len(figures)
-                figures.append(None if read[at] else np.unique(w.hash[lo:hi][number[lo:hi]].view(np.int64)))
-            cols = [
-                *b.columns[:3],
-                pa.array([program_key(x) for x in p], pa.string()),
-                pa.array([r or plain_key(x) for r, x in zip(read, q)], pa.string()),
-                pa.array([gold_value(x) for x in g], pa.float64()),
-                pa.array(terms, pa.list_(pa.int64())),
-                pa.array(counts, pa.list_(pa.float32())),
-                pa.array(figures, pa.list_(pa.int64())),
-            ]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "split", "gold_source", "program", "asked", "gold", "terms", "counts", "figures"])
-
-    return spread(src).mapInArrow(run, "id string, split string, gold_source string, program string, asked string, gold double, terms array<bigint>, counts array<float>, figures array<bigint>")
+            read = [reading(q) for q in b.column(3).to_pylist()]
+            texts = (b.column(4), *(pa.array(x, pa.string()) for x in (zip(*read) if read else ((), (), ()))))
+            found = [(w.hash, w.row) for w in map(kernel.words, texts)]
+            none = [np.setdiff1d(np.arange(b.num_rows), row) for _, row in found]
+            found = [(np.concatenate([h, np.zeros(len(x), np.uint64)]), np.concatenate([row, x])) for (h, row), x in zip(found, none)]
+            hashes = np.concatenate([kernel.mix(h + np.uint64(k + 1)) for k, (h, _) in enumerate(found)]).view(np.int64)
+            rows, blocks = np.concatenate([row for _, row in found]), np.repeat(np.arange(len(found)), [len(row) for _, row in found])
+            order = np.lexsort((hashes, rows))
+            first = np.flatnonzero(np.concatenate([[True], (np.diff(rows[order]) != 0) | (np.diff(hashes[order]) != 0)])) if len(order) else order
+            count = np.diff(np.append(first, len(order)))
+            own = order[first]
+            ends = pa.array(np.searchsorted(rows[own], np.arange(b.num_rows + 1)), pa.int32())
+            values = (pa.array(hashes[own]), pa.array((1 + np.log(count)).astype(np.float32)), pa.array(blocks[own].astype(np.int8)))
+            cols = [*b.columns[:3], pa.array([gold_value(x) for x in b.column(5).to_pylist()], pa.float64()), *(pa.ListArray.from_arrays(ends, v) for v in values)]
+            yield pa.RecordBatch.from_arrays(cols, ["id", "split", "gold_source", "gold", "terms", "counts", "blocks"])
+
+    return spread(src).mapInArrow(run, "id string, split string, gold_source string, gold double, terms array<bigint>, counts array<float>, blocks array<tinyint>")
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -131,173 +108,225 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), sizes)
 
 
-class Weights:
-    """Capped idf weights: a table of the frequent terms, one weight for all others; and the greatest normed weight of each frequent term."""
+class Frequent:
+    """Of the frequent terms: how many records of either side have them, and the greatest weight on either side."""
 
-    def __init__(self, n: int, cap: int, terms: np.ndarray, df: np.ndarray):
-        self.terms, self.rare = terms, float(np.log1p(cap))
-        self.idf = np.append(np.log1p(n / np.maximum(df, 1)), self.rare)  # the last entry stands for every rare term
-        self.most = np.ones(len(terms) + 1)
+    def __init__(self, n: int, terms: np.ndarray, train: np.ndarray, held: np.ndarray):
+        order = np.argsort(terms)
+        self.n, self.terms, self.train, self.held = n, terms[order], train[order], held[order]
+        self.most = np.ones((2, len(terms)))
 
-    def places(self, terms: np.ndarray) -> np.ndarray:
-        """Row of each term in the table; the last row for a rare term."""
+    def places(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``terms`` are in the table, and the rows of those."""
         if not len(self.terms):
-            return np.zeros(len(terms), np.int64)
+            return np.zeros(len(terms), bool), np.zeros(0, np.int64)
         at = np.minimum(np.searchsorted(self.terms, terms), len(self.terms) - 1)
-        return np.where(self.terms[at] == terms, at, len(self.terms))
-
-    def unit(self, terms: np.ndarray, counts: np.ndarray, rec: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of many records at once, each record's of norm 1, and the table rows of the terms."""
-        at = self.places(terms)
-        w = counts * self.idf[at]
-        norm = np.sqrt(np.bincount(rec, w * w, minlength=n))
-        return w / np.where(norm > 0, norm, 1.0)[rec], at
-
-    def prefixes(self, terms: np.ndarray, counts: np.ndarray, rec: np.ndarray, n: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Which terms of each record must be looked up (positions), all weights, and the norm of the rest of each record.
-
-        Terms run from rare to frequent. The rest may stay out of the lists once no vector can reach ``least`` with it alone: its
-        own norm, and the sum of its weights by the greatest weight of each term on the other side, both bound that product.
-        """
-        w, at = self.unit(terms, counts, rec, n)
-        order = np.lexsort((terms, -self.idf[at], rec))
-        own, ws = rec[order], w[order]
-
-        def left_over(x: np.ndarray) -> np.ndarray:
-            run = np.cumsum(x)
-            total = np.bincount(own, x, minlength=n)
-            return np.cumsum(total)[own] - run + x  # what a record has from this term on
-
-        norm, product = np.sqrt(np.maximum(left_over(ws * ws), 0)), left_over(ws * self.most[at][order])
-        use = np.minimum(norm, product) >= least - 1e-6
-        rest = np.zeros(n)
-        np.maximum.at(rest, own[~use], norm[~use])
-        return order[use], w, rest
-
-
-def _weights(reps: DataFrame, cap: int) -> Weights:
-    """Document frequencies over all records, then the greatest weights on the evaluation side; both tables are bounded by ``IDF_CAP``."""
-    n = reps.count()
-    df = reps.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    frequent = df.where(F.col("n") > F.lit(n / cap)).toArrow()
-    order = np.argsort(frequent["t"].to_numpy())
-    weights = Weights(max(n, 1), cap, frequent["t"].to_numpy()[order], frequent["n"].to_numpy()[order])
-    shared = reps.sparkSession.sparkContext.broadcast(weights)
+        there = self.terms[at] == terms
+        return there, at[there]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        most = np.zeros(len(shared.value.terms) + 1)
-        for b in batches:
-            terms, rec = _lists(b.column(0))
-            w, at = shared.value.unit(terms, _lists(b.column(1))[0], rec, b.num_rows)
-            np.maximum.at(most, at, w)
-        some = np.flatnonzero(most[:-1])
-        yield pa.RecordBatch.from_arrays([pa.array(shared.value.terms[some]), pa.array(most[some])], ["t", "m"])
-
-    top = reps.where(F.col("split") != "train").select("terms", "counts").mapInArrow(run, "t long, m double").groupBy("t").agg(F.max("m").alias("m")).toArrow()
-    weights.most = np.append(np.zeros(len(weights.terms)), 1.0)
-    if len(top):
-        weights.most[weights.places(top["t"].to_numpy())] = top["m"].to_numpy()
-    return weights
 
+def _weighted(reps: DataFrame, cap: int) -> tuple[DataFrame, Frequent]:
+    """The vector of every class: ``terms``, weights ``w``, the classes of either side that have each term, and its block.
 
-def _postings(reps: DataFrame, weights: Weights, least: float) -> DataFrame:
-    """Rows of the inverted lists: the list (term and what is asked), the class, its weight there, and the norm outside the lists.
+    Terms of the context come first, then those of the question, each from rare to frequent.
 
-    A class is listed under its program and under the reading of its question; two classes that both have a program meet by
-    that alone.
+    Inverse document frequency is exact: a term of one class is told by its absence from the counts, frequent terms come from
+    a table of bounded size, the others from a join on the term, in which no key has more than one class in ``cap``.
     """
-    shared = reps.sparkSession.sparkContext.broadcast(weights)
-    names = ["list", "by_program", "cls", "w", "rest", "train", "has_program"]
+    n = max(reps.count(), 1)
+    df = reps.select("train", F.explode("terms").alias("t")).groupBy("t").agg(F.count_if("train").alias("nt"), F.count_if(~F.col("train")).alias("ne")).where(F.col("nt") + F.col("ne") > 1)
+    df = durable(df, "terms")
+    often = F.col("nt") + F.col("ne") > F.lit(n / cap)
+    top = df.where(often).toArrow()
+    frequent = Frequent(n, *(top[c].to_numpy() for c in ("t", "nt", "ne")))
+    shared = reps.sparkSession.sparkContext.broadcast(frequent)
+    rare = reps.select("cls", F.explode("terms").alias("t")).join(df.where(~often), "t").groupBy("cls").agg(F.collect_list("t").alias("rt"), F.collect_list("nt").alias("rnt"), F.collect_list("ne").alias("rne"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
         for b in batches:
-            terms, rec = _lists(b.column(4))
-            use, w, rest = shared.value.prefixes(terms, _lists(b.column(5))[0], rec, b.num_rows, least)
-            r, cols = rec[use], [[] for _ in names]
-            has = b.column(2).is_valid().to_numpy(zero_copy_only=False)
-            for k, by_program in ((2, True), (3, False)):
-                asked = b.column(k).is_valid().to_numpy(zero_copy_only=False)[r]
-                what = pc.fill_null(b.column(k), 0).to_numpy(zero_copy_only=False)[r[asked]]
-                at = r[asked]
-                key = kernel.mix(terms[use[asked]].view(np.uint64) ^ kernel.mix(what.view(np.uint64) + np.uint64(by_program))).view(np.int64)
-                values = (key, np.full(len(at), by_program), b.column(0).to_numpy(zero_copy_only=False)[at], w[use[asked]], rest[at], b.column(1).to_numpy(zero_copy_only=False)[at], has[at])
-                for c, v in zip(cols, values):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in cols], names)
-
-    rows = reps.select("cls", F.col("split") == "train", F.when(F.col("program").isNotNull(), F.xxhash64("program")), F.when(F.col("asked").isNotNull(), F.xxhash64("asked")), "terms", "counts")
-    return rows.mapInArrow(run, "list long, by_program boolean, cls long, w double, rest double, train boolean, has_program boolean")
-
-
-def _exact(pairs: DataFrame, weights: Weights) -> DataFrame:
+            terms, rec = _lists(b.column(3))
+            counts, blocks = (_lists(b.column(k))[0] for k in (4, 5))
+            train = b.column(1).to_numpy(zero_copy_only=False)[rec]
+            nt, ne = train.astype(np.int64), (~train).astype(np.int64)
+            there, at = table.places(terms)
+            nt[there], ne[there] = table.train[at], table.held[at]
+            known, of = _lists(b.column(6))
+            if len(known):
+                # Terms are ascending within a record, so a record's known terms are found by one search over (record, term).
+                where = _find(rec, terms, of, known)
+                nt[where], ne[where] = _lists(b.column(7))[0], _lists(b.column(8))[0]
+            w = counts * np.log1p(table.n / (nt + ne))
+            cell = rec * len(BLOCKS) + blocks
+            size = np.sqrt(np.bincount(cell, w * w, minlength=b.num_rows * len(BLOCKS)))
+            w = w / size[cell] * np.sqrt(SHARES)[blocks]
+            order = np.lexsort((terms, nt + ne, blocks > 0, rec))
+            ends = pa.array(np.searchsorted(rec, np.arange(b.num_rows + 1)), pa.int32())
+            lists = (pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (terms, w, nt, ne, blocks))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *lists], ["cls", "train", "gold", "terms", "w", "nt", "ne", "blocks"])
+
+    rows = reps.join(rare, "cls", "left").select("cls", "train", "gold", "terms", "counts", "blocks", "rt", "rnt", "rne")
+    vectors = durable(rows.mapInArrow(run, "cls long, train boolean, gold double, terms array<bigint>, w array<double>, nt array<bigint>, ne array<bigint>, blocks array<tinyint>"), "vectors")
+
+    def greatest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most = np.zeros((2, len(shared.value.terms)))
+        for b in batches:
+            terms, rec = _lists(b.column(1))
+            there, at = shared.value.places(terms)
+            np.maximum.at(most, (b.column(0).to_numpy(zero_copy_only=False)[rec[there]].astype(np.int64), at), _lists(b.column(2))[0][there])
+        side, at = np.nonzero(most)
+        yield pa.RecordBatch.from_arrays([pa.array(side == 1), pa.array(shared.value.terms[at]), pa.array(most[side, at])], ["train", "t", "m"])
+
+    top = vectors.select("train", "terms", "w").mapInArrow(greatest, "train boolean, t long, m double").groupBy("train", "t").agg(F.max("m").alias("m")).toArrow()
+    frequent.most[:] = 0.0
+    if len(top):
+        frequent.most[top["train"].to_numpy().astype(np.int64), frequent.places(top["t"].to_numpy())[1]] = top["m"].to_numpy()
+    return vectors, frequent
+
+
+def _find(rec: np.ndarray, terms: np.ndarray, of: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """The positions of the terms ``known`` of the records ``of`` among ``terms`` of ``rec``, both ascending in record and term."""
+    pairs = np.empty(len(rec), [("r", np.int64), ("t", np.int64)])
+    pairs["r"], pairs["t"] = rec, terms
+    wanted = np.empty(len(of), pairs.dtype)
+    wanted["r"], wanted["t"] = of, known
+    both = np.concatenate([pairs, wanted])
+    order = np.lexsort((np.arange(len(both)), both["t"], both["r"]))
+    at = np.empty(len(both), np.int64)
+    at[order] = np.arange(len(both))
+    return order[at[len(rec) :] - 1]  # the copy in ``terms`` stands right before the wanted one
+
+
+def prefixes(train: np.ndarray, terms: np.ndarray, w: np.ndarray, nt: np.ndarray, ne: np.ndarray, blocks: np.ndarray, rec: np.ndarray, n: int, frequent: Frequent, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The terms of the context that must be looked up, those of the question, and what the rest of each record can add to a product.
+
+    Within the context and within the question terms run from rare to frequent. The rest of either stays out of the lists once no
+    vector of the other side can reach ``least`` with it, all of the other part granted. Two bounds hold for that product: the
+    norm of the terms that the other side has at all, times the full share of the block, and the sum of the weights by the
+    greatest weight of each term on the other side.
+    """
+    most = np.where(np.where(train[rec], ne, nt) > 0, 1.0, 0.0)
+    there, at = frequent.places(terms)
+    most[there] = frequent.most[(~train[rec[there]]).astype(np.int64), at]
+
+    def left_over(x: np.ndarray) -> np.ndarray:
+        run = np.cumsum(x)
+        total = np.bincount(rec, x, minlength=n)
+        return np.maximum(np.cumsum(total)[rec] - run + x, 0)  # what a record has from this term on
+
+    met, product, asked = w * (most > 0), w * most, blocks > 0
+    tail = np.zeros((2, len(w)))  # of the context, of the question
+    for k, share in enumerate(SHARES):
+        tail[int(k > 0)] += np.minimum(np.sqrt(share * left_over(np.where(blocks == k, met * met, 0))), left_over(np.where(blocks == k, product, 0)))
+    whole = np.zeros((2, n))
+    np.maximum.at(whole[0], rec, tail[0])
+    np.maximum.at(whole[1], rec, tail[1])
+    use = (tail[asked.astype(np.int64), np.arange(len(w))] + whole[(~asked).astype(np.int64), rec] >= least - 1e-6) & (whole.sum(0)[rec] >= least - 1e-6)
+    rest = np.zeros(n)
+    np.maximum.at(rest, rec[~asked & ~use], tail[0][~asked & ~use])
+    use &= most > 0
+    return np.flatnonzero(use & ~asked), np.flatnonzero(use & asked), rest + whole[1]
+
+
+def _postings(vectors: DataFrame, frequent: Frequent, least: float) -> DataFrame:
+    """Rows of the inverted lists: a term of the context and one of the question, parts of the list, class, weight of the former, and the bound outside.
+
+    A pair that reaches ``least`` shares a term of either prefix. Lists of both keep records of one page apart by what they ask.
+    """
+    shared = vectors.sparkSession.sparkContext.broadcast(frequent)
+    names = ["list", "asked", "parts", "cls", "w", "rest", "train"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms, rec = _lists(b.column(2))
+            w, nt, ne, blocks = (_lists(b.column(k))[0] for k in (3, 4, 5, 6))
+            train, cls = (b.column(k).to_numpy(zero_copy_only=False) for k in (1, 0))
+            said, asked, rest = prefixes(train, terms, w, nt, ne, blocks, rec, b.num_rows, shared.value, least)
+            n = np.bincount(rec[asked], minlength=b.num_rows)
+            first = np.cumsum(n) - n
+            times = n[rec[said]]
+            c = np.repeat(said, times)
+            q = asked[np.repeat(first[rec[said]], times) + np.arange(len(c)) - np.repeat(np.cumsum(times) - times, times)]
+            key = kernel.mix(kernel.mix(terms[c].view(np.uint64)) ^ terms[q].view(np.uint64)).view(np.int64)
+            r = rec[c]
+            cols = (key, terms[q], np.maximum(-(-np.minimum(nt[c], nt[q]) // LIST_ROWS), 1), cls[r], w[c], rest[r], train[r])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names)
+
+    return vectors.select("cls", "train", "terms", "w", "nt", "ne", "blocks").mapInArrow(run, "list long, asked long, parts long, cls long, w double, rest double, train boolean")
+
+
+def _exact(pairs: DataFrame) -> DataFrame:
     """Adds the exact ``cosine`` of the two vectors of each candidate."""
-    shared = pairs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            sides = []
-            for k in (2, 4):
-                terms, rec = _lists(b.column(k))
-                w, _ = shared.value.unit(terms, _lists(b.column(k + 1))[0], rec, b.num_rows)
-                sides.append((terms, w, np.searchsorted(rec, np.arange(b.num_rows + 1))))
-            (t1, w1, lo1), (t2, w2, lo2) = sides
-            for r in range(b.num_rows):
-                x, y = slice(lo1[r], lo1[r + 1]), slice(lo2[r], lo2[r + 1])
-                _, i, j = np.intersect1d(t1[x], t2[y], assume_unique=True, return_indices=True)
-                out.append(float(w1[x][i] @ w2[y][j]))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.float64())], ["cls_t", "cls_e", "cosine"])
+            (t1, r1), (t2, r2) = _lists(b.column(2)), _lists(b.column(4))
+            w1, w2 = _lists(b.column(3))[0], _lists(b.column(5))[0]
+            rec, terms, w = np.concatenate([r1, r2]), np.concatenate([t1, t2]), np.concatenate([w1, w2])
+            order = np.lexsort((terms, rec))
+            rec, terms, w = rec[order], terms[order], w[order]
+            both = np.flatnonzero((rec[1:] == rec[:-1]) & (terms[1:] == terms[:-1])) if len(rec) else order
+            cosine = np.bincount(rec[both], w[both] * w[both + 1], minlength=b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cosine, pa.float64())], ["cls_t", "cls_e", "cosine"])
 
     return pairs.mapInArrow(run, "cls_t long, cls_e long, cosine double")
 
 
-def class_pairs(examples: DataFrame, least: float = MIN_COSINE, cap: int = IDF_CAP, eval_splits: tuple[str, ...] = EVAL_SPLITS) -> tuple[DataFrame, DataFrame]:
+def class_pairs(examples: DataFrame, least: float = MIN_COSINE, cap: int = FREQUENT, eval_splits: tuple[str, ...] = EVAL_SPLITS) -> tuple[DataFrame, DataFrame]:
     """The overlapping classes of records (``cls_t``, ``cls_e``, ``cosine``), and the records of each class (``id``, ``split``, ``gold_source``, ``cls``).
 
-    A class holds the records of one side whose terms, question, program and answer are the same, so a record copied into a third
-    of the table is joined once. Lists are kept apart by what is asked (the program, or the reading of the question), so a page
-    with very many questions makes no long list, and only pairs that can pass the exact check meet.
+    A class holds the records of one side whose terms and answer are the same, so a record copied into a third of the table is
+    joined once. Every pair of classes with a cosine of ``least`` is found, see ``_postings``. A list longer than ``LIST_ROWS`` on
+    the train side is split by class, and the evaluation side meets each part.
     """
     records = durable(_records(examples, eval_splits), "records")
-    side = F.when(F.col("split") == "train", F.lit("train")).otherwise(F.lit("eval"))
-    same = F.xxhash64(side, F.col("terms"), F.col("counts"), F.coalesce("program", F.lit("")), F.coalesce("asked", F.lit("")), F.coalesce(F.col("gold").cast("string"), F.lit("")))
-    records = records.withColumn("cls", same)
-    one = F.min_by(F.struct("split", "program", "asked", "gold", "terms", "counts", "figures"), "id").alias("r")
+    train = F.col("split") == "train"
+    records = records.withColumn("cls", F.xxhash64(train, F.col("terms"), F.col("counts"), F.coalesce(F.col("gold").cast("string"), F.lit(""))))
+    one = F.min_by(F.struct(train.alias("train"), "gold", "terms", "counts", "blocks"), "id").alias("r")
     reps = durable(records.groupBy("cls").agg(one).select("cls", "r.*"), "classes")
-    weights = _weights(reps, cap)
-    posts = _postings(reps, weights, least)
-    train, held = (posts.where(F.col("train") == (x == "t")).select("list", "by_program", *[F.col(c).alias(f"{c}_{x}") for c in ("cls", "w", "rest", "has_program")]) for x in ("t", "e"))
-    met = train.join(held, ["list", "by_program"]).where(F.col("by_program") | ~(F.col("has_program_t") & F.col("has_program_e"))).groupBy("cls_t", "cls_e", "by_program")
-    # What both have in the lists is counted; the rest of either is bounded by its norm (and 1 for the other vector).
+    vectors, frequent = _weighted(reps, cap)
+    posts = _postings(vectors, frequent, least)
+    here = posts.where("train").select("list", "asked", F.pmod(F.xxhash64("cls"), "parts").alias("part"), *[F.col(c).alias(f"{c}_t") for c in ("cls", "w", "rest")])
+    there = posts.where(~F.col("train")).select("list", "asked", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_e") for c in ("cls", "w", "rest")])
+    # What both have of the context in the lists is counted; what either has outside them is bounded.
     bound = F.sum(F.col("w_t") * F.col("w_e")) + F.greatest(F.max("rest_t"), F.max("rest_e"))
-    cand = met.agg(bound.alias("bound")).where(F.col("bound") >= least - 1e-9).select("cls_t", "cls_e").distinct()
-    fields = ("terms", "counts", "program", "asked", "gold", "figures")
-    left, right = (reps.select(F.col("cls").alias(f"cls_{x}"), *[F.col(f).alias(f"{f}_{x}") for f in fields]) for x in ("t", "e"))
+    met = here.join(there, ["list", "asked", "part"]).groupBy("cls_t", "cls_e", "asked").agg(bound.alias("bound"))
+    cand = met.where(F.col("bound") >= least - 1e-6).select("cls_t", "cls_e").distinct()
+    left, right = (vectors.select(F.col("cls").alias(f"cls_{x}"), *[F.col(f).alias(f"{f}_{x}") for f in ("gold", "terms", "w")]) for x in ("t", "e"))
     both = cand.join(left, "cls_t").join(right, "cls_e")
-    # Exact check: the same program where both have one; otherwise the same reading of the question and the same answer.
-    # Questions that cannot be read have ``figures``: where no answers can be compared, those of one side must all be on the other.
+    # Exact check: answers that can both be read must not contradict, as those of a ratio and its inverse do.
     close = F.abs(F.col("gold_t") - F.col("gold_e")) <= F.lit(0.001) * F.abs(F.col("gold_e")) + F.lit(1e-5)
-    within = (F.size(F.array_except("figures_t", "figures_e")) == 0) | (F.size(F.array_except("figures_e", "figures_t")) == 0)
-    asks = (F.col("asked_t") == F.col("asked_e")) & F.coalesce(close, within, F.lit(True))
-    agrees = F.when(F.col("program_t").isNotNull() & F.col("program_e").isNotNull(), F.col("program_t") == F.col("program_e")).otherwise(F.coalesce(asks, F.lit(False)))
-    both = both.where(agrees).select("cls_t", "cls_e", "terms_t", "counts_t", "terms_e", "counts_e")
-    return _exact(both, weights).where(F.col("cosine") >= least), records.select("id", "split", "gold_source", "cls")
+    both = both.where(F.coalesce(close, F.lit(True))).select("cls_t", "cls_e", "terms_t", "w_t", "terms_e", "w_e")
+    return _exact(both).where(F.col("cosine") >= least), records.select("id", "split", "gold_source", "cls")
 
 
-def overlaps(examples: DataFrame, least: float = MIN_COSINE, cap: int = IDF_CAP, eval_splits: tuple[str, ...] = EVAL_SPLITS) -> DataFrame:
+def overlaps(examples: DataFrame, least: float = MIN_COSINE, cap: int = FREQUENT, eval_splits: tuple[str, ...] = EVAL_SPLITS) -> DataFrame:
     """Every pair of a train record and a record of an evaluation split that ask the same of the same context with the same figures.
 
     Columns: ``train_id``, ``eval_id``, ``split`` and ``gold_source`` (of the evaluation record), ``cosine``. Records without
-    id or of other splits are left out; null questions and contexts count as empty; records that have neither a program nor a
-    question with a word pair with nothing; repeated rows of one id give the pair once; an empty table gives none.
+    id or of other splits are left out; null questions and contexts count as empty; repeated rows of one id give the pair once (the greatest cosine); an empty table gives none. The expansion of
+    classes to records belongs to this form; ``class_pairs`` has the links between classes and the members.
     """
     pairs, members = class_pairs(examples, least, cap, eval_splits)
     t = members.where(F.col("split") == "train").select(F.col("cls").alias("cls_t"), F.col("id").alias("train_id"))
     e = members.where(F.col("split") != "train").select(F.col("cls").alias("cls_e"), F.col("id").alias("eval_id"), "split", "gold_source")
-    return pairs.join(t.distinct(), "cls_t").join(e.distinct(), "cls_e").select("train_id", "eval_id", "split", "gold_source", "cosine")
+    rows = pairs.join(t.distinct(), "cls_t").join(e.distinct(), "cls_e")
+    return rows.groupBy("train_id", "eval_id", "split", "gold_source").agg(F.max("cosine").alias("cosine"))
 
 
 def overlap_counts(examples: DataFrame, **how) -> DataFrame:
-    """Per split and source of the evaluation record: pairs, and evaluation and train records touched."""
-    rows = overlaps(examples, **how)
-    return rows.groupBy("split", "gold_source").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("eval_id").alias("n_eval"), F.countDistinct("train_id").alias("n_train"))
+    """Per split and source of the evaluation record: pairs, and evaluation and train records touched.
+
+    Counted from the sizes of the classes, so no pair of records is built. An id that repeats with other texts counts in each of its classes.
+    """
+    pairs, members = class_pairs(examples, **how)
+    pairs, members = durable(pairs.select("cls_t", "cls_e"), "class-pairs"), members.distinct()
+    t = members.where(F.col("split") == "train").groupBy(F.col("cls").alias("cls_t")).agg(F.count_distinct("id").alias("nt"))
+    e = members.where(F.col("split") != "train").groupBy(F.col("cls").alias("cls_e"), "split", "gold_source").agg(F.count_distinct("id").alias("ne"))
+    source = F.coalesce("gold_source", F.lit("\0"))  # null sources form one group
+    rows = pairs.join(t, "cls_t").join(e.withColumn("gold_source", source), "cls_e")
+    key = ["split", "gold_source"]
+    n_pairs = rows.groupBy(*key).agg(F.sum(F.col("nt") * F.col("ne")).alias("n_pairs"))
+    n_eval = rows.select(*key, "cls_e", "ne").distinct().groupBy(*key).agg(F.sum("ne").alias("n_eval"))
+    n_train = rows.select(*key, "cls_t", "nt").distinct().groupBy(*key).agg(F.sum("nt").alias("n_train"))
+    return n_pairs.join(n_eval, key).join(n_train, key).withColumn("gold_source", F.nullif("gold_source", F.lit("\0")))

@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 from ledgerloom.llm import kernel, languages
 from ledgerloom.session import durable, spread
 
-#: Least cosine of two records, and the blocks of a vector with their shares of its squared norm: the context, and of the
-#: question the words that name lines of the report, the periods and the kind. A block without a term holds one that says so,
-#: hence every block has its full share, and the least cosine asks for 0.7 within the context and 0.8 within the question.
-MIN_COSINE = 0.88
-BLOCKS, SHARES = ("context", "names", "periods", "kind"), np.array([0.4, 0.2, 0.2, 0.2])
+#: Least cosine of two records, and the blocks of a vector with their shares of its squared norm: words and figures of the
+#: context (two blocks), and of the question the words that name lines of the report, the periods and the kind. A block without a
+#: term holds one that says so, hence every block has its full share, and the least cosine asks for 0.65 within the context and
+#: 0.76 within the question.
+MIN_COSINE = 0.86
+BLOCKS, SHARES, IN_CONTEXT = ("words", "figures", "names", "periods", "kind"), np.array([0.25, 0.15, 0.2, 0.2, 0.2]), 2
+_FIGURES = BLOCKS.index("figures")
 #: Terms of more than one record in ``FREQUENT`` are weighed from a table that every task gets: at most ``FREQUENT`` times the
 #: mean number of terms of a record, whatever the number of records. All other terms are weighed by a join on the term.
 FREQUENT = 1000
@@ -85,7 +87,9 @@ def _records(examples: DataFrame, eval_splits: tuple[str, ...]) -> DataFrame:
         for b in batches:
             read = [reading(q) for q in b.column(3).to_pylist()]
             texts = (b.column(4), *(pa.array(x, pa.string()) for x in (zip(*read) if read else ((), (), ()))))
-            found = [(w.hash, w.row) for w in map(kernel.words, texts)]
+            said, *asked = map(kernel.words, texts)
+            number = said.is_number()
+            found = [(said.hash[x], said.row[x]) for x in (~number, number)] + [(w.hash, w.row) for w in asked]
             none = [np.setdiff1d(np.arange(b.num_rows), row) for _, row in found]
             found = [(np.concatenate([h, np.zeros(len(x), np.uint64)]), np.concatenate([row, x])) for (h, row), x in zip(found, none)]
             hashes = np.concatenate([kernel.mix(h + np.uint64(k + 1)) for k, (h, _) in enumerate(found)]).view(np.int64)
@@ -102,10 +106,11 @@ def _records(examples: DataFrame, eval_splits: tuple[str, ...]) -> DataFrame:
     return spread(src).mapInArrow(run, "id string, split string, gold_source string, gold double, terms array<bigint>, counts array<float>, blocks array<tinyint>")
 
 
-def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _lists(column: pa.Array) -> tuple:
     """The values of a column of lists end to end, and the record of each value."""
     sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-    return column.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), sizes)
+    values = column.flatten()
+    return values if pa.types.is_struct(values.type) else values.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), sizes)
 
 
 class Frequent:
@@ -140,7 +145,7 @@ def _weighted(reps: DataFrame, cap: int) -> tuple[DataFrame, Frequent]:
     top = df.where(often).toArrow()
     frequent = Frequent(n, *(top[c].to_numpy() for c in ("t", "nt", "ne")))
     shared = reps.sparkSession.sparkContext.broadcast(frequent)
-    rare = reps.select("cls", F.explode("terms").alias("t")).join(df.where(~often), "t").groupBy("cls").agg(F.collect_list("t").alias("rt"), F.collect_list("nt").alias("rnt"), F.collect_list("ne").alias("rne"))
+    rare = reps.select("cls", F.explode("terms").alias("t")).join(df.where(~often), "t").groupBy("cls").agg(F.collect_list(F.struct("t", "nt", "ne")).alias("rare"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -152,20 +157,21 @@ def _weighted(reps: DataFrame, cap: int) -> tuple[DataFrame, Frequent]:
             there, at = table.places(terms)
             nt[there], ne[there] = table.train[at], table.held[at]
             known, of = _lists(b.column(6))
-            if len(known):
+            if len(of):
+                known, kt, ke = (known.field(k).to_numpy() for k in range(3))
                 # Terms are ascending within a record, so a record's known terms are found by one search over (record, term).
                 where = _find(rec, terms, of, known)
-                nt[where], ne[where] = _lists(b.column(7))[0], _lists(b.column(8))[0]
+                nt[where], ne[where] = kt, ke
             w = counts * np.log1p(table.n / (nt + ne))
             cell = rec * len(BLOCKS) + blocks
             size = np.sqrt(np.bincount(cell, w * w, minlength=b.num_rows * len(BLOCKS)))
             w = w / size[cell] * np.sqrt(SHARES)[blocks]
-            order = np.lexsort((terms, nt + ne, blocks > 0, rec))
+            order = np.lexsort((terms, nt + ne, blocks >= IN_CONTEXT, rec))
             ends = pa.array(np.searchsorted(rec, np.arange(b.num_rows + 1)), pa.int32())
             lists = (pa.ListArray.from_arrays(ends, pa.array(x[order])) for x in (terms, w, nt, ne, blocks))
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *lists], ["cls", "train", "gold", "terms", "w", "nt", "ne", "blocks"])
 
-    rows = reps.join(rare, "cls", "left").select("cls", "train", "gold", "terms", "counts", "blocks", "rt", "rnt", "rne")
+    rows = reps.join(rare, "cls", "left").select("cls", "train", "gold", "terms", "counts", "blocks", "rare")
     vectors = durable(rows.mapInArrow(run, "cls long, train boolean, gold double, terms array<bigint>, w array<double>, nt array<bigint>, ne array<bigint>, blocks array<tinyint>"), "vectors")
 
     def greatest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,10 +220,10 @@ def prefixes(train: np.ndarray, terms: np.ndarray, w: np.ndarray, nt: np.ndarray
         total = np.bincount(rec, x, minlength=n)
         return np.maximum(np.cumsum(total)[rec] - run + x, 0)  # what a record has from this term on
 
-    met, product, asked = w * (most > 0), w * most, blocks > 0
+    met, product, asked = w * (most > 0), w * most, blocks >= IN_CONTEXT
     tail = np.zeros((2, len(w)))  # of the context, of the question
     for k, share in enumerate(SHARES):
-        tail[int(k > 0)] += np.minimum(np.sqrt(share * left_over(np.where(blocks == k, met * met, 0))), left_over(np.where(blocks == k, product, 0)))
+        tail[int(k >= IN_CONTEXT)] += np.minimum(np.sqrt(share * left_over(np.where(blocks == k, met * met, 0))), left_over(np.where(blocks == k, product, 0)))
     whole = np.zeros((2, n))
     np.maximum.at(whole[0], rec, tail[0])
     np.maximum.at(whole[1], rec, tail[1])
@@ -256,17 +262,21 @@ def _postings(vectors: DataFrame, frequent: Frequent, least: float) -> DataFrame
 
 
 def _exact(pairs: DataFrame) -> DataFrame:
-    """Adds the exact ``cosine`` of the two vectors of each candidate."""
+    """Adds the exact ``cosine`` of the two vectors of each candidate; where ``same`` is null, the figures of one side must all be on the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            (t1, r1), (t2, r2) = _lists(b.column(2)), _lists(b.column(4))
-            w1, w2 = _lists(b.column(3))[0], _lists(b.column(5))[0]
-            rec, terms, w = np.concatenate([r1, r2]), np.concatenate([t1, t2]), np.concatenate([w1, w2])
+            sides = [[_lists(b.column(k + side))[0] for side in (0, 3)] for k in (3, 4, 5)]
+            owner = [_lists(b.column(k))[1] for k in (3, 6)]
+            rec, terms, w, blocks = (np.concatenate(x) for x in (owner, *sides))
+            figures = [np.bincount(r[x == _FIGURES], minlength=b.num_rows) for r, x in zip(owner, sides[2])]
             order = np.lexsort((terms, rec))
-            rec, terms, w = rec[order], terms[order], w[order]
+            rec, terms, w, blocks = rec[order], terms[order], w[order], blocks[order]
             both = np.flatnonzero((rec[1:] == rec[:-1]) & (terms[1:] == terms[:-1])) if len(rec) else order
             cosine = np.bincount(rec[both], w[both] * w[both + 1], minlength=b.num_rows)
+            shared = np.bincount(rec[both[blocks[both] == _FIGURES]], minlength=b.num_rows)
+            known = b.column(2).is_valid().to_numpy(zero_copy_only=False)
+            cosine = np.where(known | (shared == np.minimum(*figures)), cosine, 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cosine, pa.float64())], ["cls_t", "cls_e", "cosine"])
 
     return pairs.mapInArrow(run, "cls_t long, cls_e long, cosine double")
@@ -292,11 +302,11 @@ def class_pairs(examples: DataFrame, least: float = MIN_COSINE, cap: int = FREQU
     bound = F.sum(F.col("w_t") * F.col("w_e")) + F.greatest(F.max("rest_t"), F.max("rest_e"))
     met = here.join(there, ["list", "asked", "part"]).groupBy("cls_t", "cls_e", "asked").agg(bound.alias("bound"))
     cand = met.where(F.col("bound") >= least - 1e-6).select("cls_t", "cls_e").distinct()
-    left, right = (vectors.select(F.col("cls").alias(f"cls_{x}"), *[F.col(f).alias(f"{f}_{x}") for f in ("gold", "terms", "w")]) for x in ("t", "e"))
+    left, right = (vectors.select(F.col("cls").alias(f"cls_{x}"), *[F.col(f).alias(f"{f}_{x}") for f in ("gold", "terms", "w", "blocks")]) for x in ("t", "e"))
     both = cand.join(left, "cls_t").join(right, "cls_e")
-    # Exact check: answers that can both be read must not contradict, as those of a ratio and its inverse do.
+    # Exact check: answers that can both be read must not contradict, as those of a ratio and its inverse do; otherwise figures are compared.
     close = F.abs(F.col("gold_t") - F.col("gold_e")) <= F.lit(0.001) * F.abs(F.col("gold_e")) + F.lit(1e-5)
-    both = both.where(F.coalesce(close, F.lit(True))).select("cls_t", "cls_e", "terms_t", "w_t", "terms_e", "w_e")
+    both = both.withColumn("same", close).where(F.coalesce("same", F.lit(True))).select("cls_t", "cls_e", "same", *[f"{f}_{x}" for x in ("t", "e") for f in ("terms", "w", "blocks")])
     return _exact(both).where(F.col("cosine") >= least), records.select("id", "split", "gold_source", "cls")
 
 

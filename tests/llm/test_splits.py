@@ -42,13 +42,15 @@ def vectors(rows):
     import pyarrow as pa
 
     def terms(text, block):
-        w = kernel.words(pa.array([text], pa.string())).hash.tolist() or [0]
-        return {(block, t): 1 + np.log(w.count(t)) for t in w}
+        w = kernel.words(pa.array([text], pa.string()))
+        own = w.hash if block >= splits.IN_CONTEXT else w.hash[w.is_number() == (block == splits._FIGURES)]
+        own = own.tolist() or [0]
+        return {(block, t): 1 + np.log(own.count(t)) for t in own}
 
     bags = []
     for r in rows:
         q = splits.reading(r[3])
-        bags.append({k: v for block, text in enumerate((r[4], *q)) for k, v in terms(text, block).items()})
+        bags.append({k: v for block, text in enumerate((r[4], r[4], *q)) for k, v in terms(text, block).items()})
     reps = {(r[1] == "train", tuple(sorted(b.items())), splits.gold_value(r[6])): b for r, b in zip(rows, bags)}
     df = {}
     for b in reps.values():
@@ -57,7 +59,7 @@ def vectors(rows):
     out = []
     for b in bags:
         v = {t: np.float32(x) * np.log1p(len(reps) / df[t]) for t, x in b.items()}
-        norm = [np.sqrt(sum(x * x for (k, _), x in v.items() if k == block)) for block in range(4)]
+        norm = [np.sqrt(sum(x * x for (k, _), x in v.items() if k == block)) for block in range(len(splits.BLOCKS))]
         out.append({t: x / norm[t[0]] * np.sqrt(splits.SHARES[t[0]]) for t, x in v.items()})
     return out
 
@@ -69,7 +71,9 @@ def brute(rows, least):
         for j, b in enumerate(rows):
             if a[1] == "train" and b[1] != "train":
                 x, y = splits.gold_value(a[6]), splits.gold_value(b[6])
-                if (x is None or y is None or abs(x - y) <= 0.001 * abs(y) + 1e-5) and sum(w * vec[j].get(t, 0) for t, w in vec[i].items()) >= least:
+                figures = [{t for t in v if t[0] == splits._FIGURES} for v in (vec[i], vec[j])]
+                same = figures[0] <= figures[1] or figures[1] <= figures[0] if x is None or y is None else abs(x - y) <= 0.001 * abs(y) + 1e-5
+                if same and sum(w * vec[j].get(t, 0) for t, w in vec[i].items()) >= least:
                     out.add((a[0], b[0]))
     return out
 
@@ -88,7 +92,7 @@ def test_many_tables_against_all_pairs():
         vec = vectors(rows)
         side = np.array([r[1] == "train" for r in rows])
         count = {t: (sum(t in v for v, s in zip(vec, side) if s), sum(t in v for v, s in zip(vec, side) if not s)) for v in vec for t in v}
-        flat = [(i, t, w) for i, v in enumerate(vec) for t, w in sorted(v.items(), key=lambda x: (x[0][0] > 0, sum(count[x[0]]), x[0]))]
+        flat = [(i, t, w) for i, v in enumerate(vec) for t, w in sorted(v.items(), key=lambda x: (x[0][0] >= splits.IN_CONTEXT, sum(count[x[0]]), x[0]))]
         ids = {t: k for k, t in enumerate(sorted(count))}
         rec, terms, w = np.array([x[0] for x in flat]), np.array([ids[x[1]] for x in flat]), np.array([x[2] for x in flat])
         nt, ne, blocks = np.array([count[x[1]][0] for x in flat]), np.array([count[x[1]][1] for x in flat]), np.array([x[1][0] for x in flat])

@@ -1,350 +1,238 @@
-"""Per-document text statistics, and their distance from natural prose of the same language."""
+"""Per-document text statistics, and their robust distance from natural prose of the same language."""
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import languages
+from ledgerloom.llm import prose
+from ledgerloom.llm.prose import STATS
 from ledgerloom.session import durable, spread
 
 KINDS = ("table", "list", "junk")
-#: The statistics that are reported, in order; the last three are shares of characters outside prose, by kind.
-STATS = (
-    "log_words",
-    "mean_word_len",
-    "symbol_ratio",
-    "ended_lines",
-    "common_words",
-    "digit_ratio",
-    "vowelless_words",
-    "table_share",
-    "list_share",
-    "junk_share",
-)
 #: Least standard deviation of each statistic, so that a statistic that never varies in prose cannot blow up the distance.
-FLOOR = np.array([0.3, 0.3, 0.01, 0.1, 0.05, 0.01, 0.02, 0.05, 0.05, 0.05])
-#: Which kind each statistic speaks for when it is far from prose (0 table, 1 list, 2 junk).
-_SPEAKS = np.array([2, 2, 2, 1, 2, 0, 2, 0, 1, 2])
-#: Squared distance beyond which a text is no prose (a chi-square quantile of 0.9999 for ten statistics), and the share of characters.
-LIMIT, HALF = 35.6, 0.5
-#: Pseudo-rows of the pooled prose in the model of one language.
-PRIOR = 50.0
-
-_NUMBER = re.compile(r"^[-−–(+]?\s?[$€£¥]?\s?\d[\d,.\s]*%?\)?%?$|^[-–—]+$|^n/?a$|^$", re.I)
-_MARKER = re.compile(r"^\s*(?:[-*•·▪◦‣–—]|\(?(?:\d{1,3}|[a-z]|[ivx]{1,5})[.)]|\d{1,2}(?:\.\d{1,2})+\.?|§\s*\d+)\s+(?=\S)", re.I)
-_LEADER = re.compile(r"(?:\.\s?){4,}\s*\w{0,8}\s*$|(?:_|·|…){3,}\s*\w{0,8}\s*$")
-_INDEXED = re.compile(r"^[^\d]{2,60},\s*\d{1,4}(?:\s*[,–-]\s*\d{1,4})*\s*$")
-_STOP = re.compile(r"[.!?。！？؟][\"'”’»)\]]*\s*$")
-_TAG = re.compile(r"</?[a-zA-Z!][^<>]*>|&(?:[a-z]{2,8}|#\d+);|\{[^{}]*\}|style=|class=")
-_WORD = re.compile(r"[^\W\d_]+", re.U)
-_VOWELS = re.compile(r"[aeiouyäöüàâáãåæéèêëíìîïóòôõœøúùûñаеёиоуыэюяіїєαεηιουω]", re.I)
-_VOWEL_SIGNS = frozenset("aeiouyäöüàâáãåæéèêëíìîïóòôõœøúùûаеёиоуыэюяіїєαεηιουω")
-_CLUSTER = re.compile(r"[bcdfghjklmnpqrstvwxz]{6,}|[jqxz][bcdfgjkmpqvwxz]|[bcdfgjkmpqvwz][jqx]|v[bcdfghkmnpqtvwz]|[bdfgkmpt]v[^aeiouy]|w[cgjpqvxz]|h[bcdfgjkqvxz]{2}", re.I)
-_BROKEN = re.compile(r"[�]|Ã[\x80-ÿ©®¡-¿]|â€|Â[\x80-¿]|Ð[\x80-¿]|å[\x80-¿]|\\x[0-9a-f]{2}|\\u[0-9a-f]{4}|%[0-9A-F]{2}")
-_HEX = re.compile(r"^(?:0x)?[0-9a-f]{2}(?:[0-9a-f]{2}){0,7}:?$", re.I)
-_GAP, _COMMA = re.compile(r"\s{2,}"), re.compile(r"(?<!\d),(?=\S)|,(?!\d{3}(?!\d))(?=\S)|;(?=\S)")
-_ENTRY, _FIGURES = re.compile(r"^\W{0,4}(?:\w{1,4}[.)]\s*)?[\w\s'’&/:,()%$-]*[^\W\d_]{3}"), re.compile(r"\d{2}")
-_ENDS = frozenset(".!?。！？؟;:,\"'”’»)]")
-_SETS = {lang: frozenset(words.split()) for lang, words in languages.FUNCTION_WORDS.items()}
-
-
-def _common(words: list[str], lang: str | None) -> float:
-    """Share of function words, of the language given or of the best one."""
-    if not words:
-        return 0.0
-    sets = [_SETS[lang]] if lang in _SETS else _SETS.values()
-    return max(sum(map(s.__contains__, words)) for s in sets) / len(words)
-
-
-def _alnum(text: str, words: list[str]) -> tuple[int, int]:
-    """Letters and digits of ``text``, whose words are given."""
-    raw = text.encode("utf-8", "replace")
-    return sum(map(len, words)), len(raw) - len(raw.translate(None, b"0123456789"))
-
-
-def _is_row(line: str) -> bool:
-    """A row of cells: at least half of the cells after the first are figures, years or dashes."""
-    tries = []
-    if "|" in line:
-        tries.append(line.split("|"))
-    if "\t" in line:
-        tries.append(line.split("\t"))
-    if "  " in line:
-        tries.append(_GAP.split(line.strip()))
-    if "," in line or ";" in line:
-        tries.append(_COMMA.split(line))
-    for cells in tries:
-        if len(cells) >= 2 and len(cells[0]) <= 60:
-            rest = [c.strip() for c in cells[1:]]
-            if max(map(len, rest)) <= 40 and any(rest) and sum(bool(_NUMBER.match(c)) for c in rest) * 2 >= len(rest):
-                return True
-    if line.count("|") >= 3:
-        return True
-    raw = line.encode("utf-8", "replace")
-    if len(raw) - len(raw.translate(None, b"0123456789-")) < 0.2 * len(line):
-        return False
-    tokens = line.split()
-    return len(tokens) >= 4 and line[-1] not in ".!?" and sum(bool(_NUMBER.match(t)) for t in tokens) >= 0.6 * len(tokens) and not _HEX.match(tokens[0])
-
-
-def _is_entry(line: str, lang: str | None) -> bool:
-    """An entry of a list, index or contents: marked or led by dots, and no full sentence."""
-    if _led(line) or "," in line and _INDEXED.match(line):
-        return True
-    m = _MARKER.match(line)
-    if not m:
-        return False
-    words = _WORD.findall(line[m.end() :].lower())
-    return len(words) <= 9 and not (_STOP.search(line) and len(words) >= 5 and _common(words, lang) >= 0.15)
-
-
-def _led(line: str) -> bool:
-    """True if leaders run from an entry to the end of its line."""
-    return any(x in line for x in ("....", ". . .", "___", "···", "……")) and bool(_LEADER.search(line)) and bool(_ENTRY.match(line))
-
-
-def _letter_spaced(line: str) -> bool:
-    """True if the words are broken up: most tokens are single letters between spaces."""
-    if line.count(" ") < 0.4 * len(line):
-        return False
-    tokens = line.split()
-    return len(tokens) >= 10 and sum(len(t) == 1 and t.isalpha() for t in tokens) > 0.5 * len(tokens)
-
-
-#: Letters kept, all else made a space: the words of a lower-case ASCII text without a regular expression.
-_TO_WORDS = bytes(c if 97 <= c <= 122 else 32 for c in range(256))
-
-
-def _sound(block: str, lower: str, tokens: list[str], dense: int, lang: str) -> bool:
-    """True for a block rich in function words that passes every later test of ``_is_junk``, symbols and unconnected words included."""
-    hits = sum(map(_SETS[lang].__contains__, tokens))
-    if hits < 0.15 * len(tokens) or _HEX.match(tokens[0]) or _HEX.match(tokens[-1]):
-        return False
-    if block.isascii():
-        raw = lower.encode()
-        spaced = raw.translate(_TO_WORDS)
-        n, letters, digits = len(spaced.split()), len(spaced) - spaced.count(b" "), len(raw) - len(raw.translate(None, b"0123456789"))
-    else:
-        words = _WORD.findall(lower)
-        n, (letters, digits) = len(words), _alnum(block, words)
-    return letters + digits >= 0.6 * dense and hits >= 0.12 * n
-
-
-def _is_junk(block: str, lang: str | None) -> bool:
-    """Noise, markup, encodings, broken or unconnected words."""
-    lower = block.lower()
-    tokens = lower.split()
-    dense = sum(map(len, tokens))
-    if dense < 8:
-        return False
-    longest = max(map(len, tokens))
-    marked = "<" in block or "&" in block or "{" in block
-    if longest < 30 and not marked and lang in _SETS and (block.isascii() or not _BROKEN.search(block)):
-        if _sound(block, lower, tokens, dense, lang):
-            return False
-    if marked and sum(len(x) for x in _TAG.findall(block)) > 0.3 * len(block):
-        return True
-    if len(tokens) >= 5 and (_HEX.match(tokens[0]) or _HEX.match(tokens[-1])) and sum(bool(_HEX.match(t)) for t in tokens) >= 0.7 * len(tokens):
-        return True
-    if longest >= 30 and sum(len(t) for t in tokens if len(t) >= 30 and "://" not in t) > 0.4 * dense:
-        return True
-    words = _WORD.findall(lower)
-    letters, digits = _alnum(block, words)
-    if letters + digits < 0.6 * dense:
-        return True
-    if not block.isascii():
-        if sum(bool(_BROKEN.search(t)) for t in tokens) > 0.25 * len(tokens):
-            return True
-        if sum(len(w) for w in words if w[0] > "ɏ") > 0.5 * letters:
-            return False
-    common = _common(words, lang)
-    if common < 0.12:
-        long = [w for w in words if len(w) >= 3]
-        if len(long) >= 4 and sum(not _VOWELS.search(w) or bool(_CLUSTER.search(w)) for w in long) > 0.3 * len(long):
-            return True
-    return len(words) >= 8 and common < 0.08 and _common(words, None) < 0.08
-
-
-def _pieces(text: str) -> Iterator[str]:
-    """Lines of at most about 400 characters; longer ones are broken at white space, or where there is none."""
-    for line in text.splitlines():
-        while len(line) > 400:
-            at = line.rfind(" ", 200, 400)
-            at = at if at > 0 else 400
-            yield line[:at]
-            line = line[at:].lstrip(" ") if at < 400 else line[at:]
-        yield line
-
-
-def shares(text: str, lang: str | None) -> tuple[int, int, int, int]:
-    """Characters of prose, table, list and junk of a text. Short unmarked lines are put together before they are judged, so line breaks within sentences do not matter."""
-    count = {"prose": 0, "table": 0, "list": 0, "junk": 0}
-    block: list[str] = []
-
-    def flush(following: str = "") -> str:
-        if not block:
-            return ""
-        joined = "\n".join(block)
-        # A short heading belongs to what it heads.
-        heads = following and len(joined) < 200 and len(_WORD.findall(joined)) <= 7 and not _STOP.search(joined)
-        kind = following if heads else "junk" if _is_junk(joined, lang) else "prose"
-        count[kind] += sum(map(len, block))
-        block.clear()
-        return kind
-
-    for line in _pieces(text):
-        if not line.strip():
-            flush()
-            continue
-        kind = "junk" if _letter_spaced(line) else "list" if _led(line) else "table" if _is_row(line) else "list" if _is_entry(line, lang) else ""
-        if kind in ("list", "table") and not _ENTRY.match(line) and not _FIGURES.search(line):
-            kind = ""
-        if kind:
-            flush(kind if kind != "junk" else "")
-            count[kind] += len(line)
-        else:
-            if len(line) > 120:
-                flush()
-            block.append(line)
-            if len(line) > 120 or sum(map(len, block)) > 500:
-                flush()
-    flush()
-    return count["prose"], count["table"], count["list"], count["junk"]
-
-
-def statistics(text: str | None) -> tuple[str, list[float]] | None:
-    """The language found (``other`` if none) and ``STATS`` of a text; None for null and for texts without any sign."""
-    if text is None or not text.strip():
-        return None
-    words, tokens = _WORD.findall(text.lower()), text.split()
-    counts = Counter(words)
-    lang = languages.language(text, counts)
-    dense = max(1, sum(map(len, tokens)))
-    lines = [x.rstrip() for x in text.splitlines() if x.strip()]
-    ended = sum(x[-1] in _ENDS for x in lines) / max(1, len(lines))
-    letters, digits = _alnum(text, words)
-    dull = sum(n for w, n in counts.items() if len(w) >= 3 and _VOWEL_SIGNS.isdisjoint(w) and w[0] < "ɐ")
-    prose, table, entries, junk = shares(text, lang)
-    total = max(1, prose + table + entries + junk)
-    stats = [
-        math.log1p(len(tokens)),
-        letters / max(1, len(words)),
-        max(0, dense - digits - letters) / dense,
-        ended,
-        _common(words, lang),
-        digits / dense,
-        dull / max(1, len(words)),
-        table / total,
-        entries / total,
-        junk / total,
-    ]
-    return lang or "other", stats
-
-
-def text_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``lang_found``, ``n_words`` and ``STATS`` of every text with at least one sign; one pass, no shuffle."""
+FLOOR = np.array([0.02, 0.05, 0.06, 0.4, 0.4, 1.0, 0.03, 0.05, 0.05, 0.1, 0.01, 0.02, 0.03, 0.03, 0.03, 0.005, 0.01, 0.02])
+#: Which kind each statistic speaks for when it is far from prose, and in which direction.
+SPEAKS = {
+    "table": {"digit_ratio": 1, "figure_tokens": 1, "separators": 1},
+    "list": {"marked_lines": 1, "leaders": 1, "line_chars": -1, "ended_lines": -1},
+    "junk": {
+        "vowelless_words": 1,
+        "single_letters": 1,
+        "long_tokens": 1,
+        "mixed_tokens": 1,
+        "signs_in_words": 1,
+        "case_switches": 1,
+        "markup": 1,
+        "symbol_ratio": 1,
+        "mean_word_len": 1,
+        "common_words": -1,
+        "stop_rate": -1,
+    },
+}
+#: Squared distance beyond which a block is no prose (the 0.95 quantile of chi-square for as many statistics), and the share of characters.
+LIMIT, HALF = 28.87, 0.5
+#: Weight of the pooled prose in the model of one language, as a share of all text: rare languages lean on it at every size.
+PRIOR = 0.01
+#: Greatest value and number of the bins from which the first quartiles are read.
+_TOP, _BINS = np.array([1, 1, 1, 30, 1, 6, 1, 1, 3, 1, 1, 1, 1, 1, 1, 1, 1, 1.0]), 512
+#: What says nothing in scripts that have no dictionary here, or no spaces between words.
+_BY_WORDS = np.array([s in ("common_words", "mean_word_len", "stop_rate", "line_chars", "figure_tokens", "mixed_tokens", "single_letters", "long_tokens", "separators", "ended_lines", "digit_ratio") for s in STATS])
+_P = len(STATS)
+_DTYPE = np.float16
+
+
+def text_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per text with at least one sign: ``doc_id``, ``lang_found``, the plain counts, and size and statistics of its blocks; no shuffle."""
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    names = ["doc_id", "lang_found", *[f"n_{c}" for c in prose.PLAIN], "sizes", "stats"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [statistics(t) for t in b.column(1).to_pylist()]
-            use = pa.array([g is not None for g in got])
-            got = [g for g in got if g is not None]
-            m = np.array([g[1] for g in got], np.float64).reshape(len(got), len(STATS))
-            cols = [b.column(0).filter(use), pa.array([g[0] for g in got], pa.string()), *[pa.array(m[:, k]) for k in range(len(STATS))]]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "lang_found", *STATS])
-
-    return spread(src).mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_found string, " + ", ".join(f"{s} double" for s in STATS))
-
-
-def _moments(stats: DataFrame) -> dict[str, tuple[float, np.ndarray, np.ndarray]]:
-    """Per language: rows, mean and covariance. One aggregate; its result has a row per language of the dictionaries."""
-    pairs = [(i, j) for i in range(len(STATS)) for j in range(i, len(STATS))]
-    sums = [F.avg(s).alias(f"m{i}") for i, s in enumerate(STATS)]
-    cross = [F.avg(F.col(STATS[i]) * F.col(STATS[j])).alias(f"c{i}_{j}") for i, j in pairs]
-    out = {}
-    for r in stats.groupBy("lang_found").agg(F.count(F.lit(1)).alias("n"), *sums, *cross).collect():
-        mean = np.array([r[f"m{i}"] for i in range(len(STATS))])
-        cov = np.zeros((len(STATS),) * 2)
-        for i, j in pairs:
-            cov[i, j] = cov[j, i] = r[f"c{i}_{j}"] - mean[i] * mean[j]
-        out[r["lang_found"]] = (float(r["n"]), mean, cov)
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            lo = 0
+            while lo < len(texts):
+                hi, chars = lo, 0
+                while hi < len(texts) and (hi == lo or chars + len(texts[hi]) < prose.CHUNK_CHARS):
+                    chars += len(texts[hi])
+                    hi += 1
+                got = prose.blocks(texts[lo:hi])
+                ends = np.searchsorted(got.text, np.arange(hi - lo + 1))
+                use = np.flatnonzero(np.diff(ends))
+                stats, sizes = got.stats.astype(_DTYPE), got.chars.astype(np.int32)
+                cols = [
+                    b.column(0).slice(lo, hi - lo).take(pa.array(use)),
+                    pa.array([got.lang[k] for k in use], pa.string()),
+                    *[pa.array(got.plain[use, k].astype(np.int64)) for k in range(len(prose.PLAIN))],
+                    pa.array([sizes[ends[k] : ends[k + 1]].tobytes() for k in use], pa.binary()),
+                    pa.array([stats[ends[k] : ends[k + 1]].tobytes() for k in use], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(cols, names)
+                lo = hi
+
+    counts = "".join(f"n_{c} long, " for c in prose.PLAIN)
+    return spread(src).mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_found string, {counts}sizes binary, stats binary")
+
+
+def _unpack(sizes: pa.Array, stats: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, characters and statistics of all blocks of a batch."""
+    chars = np.frombuffer(b"".join(sizes.to_pylist()), np.int32).astype(float)
+    row = np.repeat(np.arange(len(sizes)), [len(x) // 4 for x in sizes.to_pylist()])
+    return row, chars, np.frombuffer(b"".join(stats.to_pylist()), _DTYPE).astype(float).reshape(-1, _P)
+
+
+def _by_language(blocks: DataFrame, size: int, add) -> dict[str, np.ndarray]:
+    """Sums over all blocks per language (``size`` numbers each), added up per task and then by position; there are as many languages as dictionaries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for b in batches:
+            row, chars, x = _unpack(b.column(1), b.column(2))
+            lang = np.array(b.column(0).to_pylist(), object)
+            for one in sorted(set(lang.tolist())):
+                at = lang[row] == one
+                sums[one] = sums.get(one, np.zeros(size)) + add(one, x[at], chars[at])
+        for one, values in sums.items():
+            at = np.flatnonzero(values)
+            yield pa.RecordBatch.from_arrays([pa.array([one] * len(at), pa.string()), pa.array(at), pa.array(values[at])], ["lang", "at", "v"])
+
+    rows = blocks.select("lang_found", "sizes", "stats").mapInArrow(run, "lang string, at long, v double").groupBy("lang", "at").agg(F.sum("v").alias("v")).toArrow()
+    out: dict[str, np.ndarray] = {}
+    for lang, at, v in zip(*(rows[c].to_pylist() for c in ("lang", "at", "v"))):
+        out.setdefault(lang, np.zeros(size))[at] = v
     return out
 
 
-def _models(found: dict[str, tuple[float, np.ndarray, np.ndarray]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Mean and inverse covariance per language, drawn to the pooled prose by ``PRIOR`` rows; ``""`` is the pooled model."""
+def _histogram(_: str, x: np.ndarray, chars: np.ndarray) -> np.ndarray:
+    bins = np.minimum((x / _TOP * _BINS).astype(np.int64), _BINS - 1) + np.arange(_P) * _BINS
+    return np.bincount(bins.ravel(), np.repeat(chars, _P), minlength=_P * _BINS)
+
+
+def _start(found: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Medians, and the spread of the quartiles on the diagonal, from histograms."""
+    h = found.reshape(_P, _BINS)
+    run = np.cumsum(h, 1)
+    low, mid, high = (np.array([np.searchsorted(r, q * r[-1]) + 0.5 for r in run]) / _BINS * _TOP for q in (0.25, 0.5, 0.75))
+    return float(run[0, -1]), mid, np.diag(((high - low) / 1.349) ** 2)
+
+
+def _moments(found: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    n, sums, cross = found[0], found[1 : _P + 1], found[_P + 1 :].reshape(_P, _P)
+    mean = sums / n
+    return n, mean, cross / n - np.outer(mean, mean)
+
+
+Models = dict[str, tuple[np.ndarray, np.ndarray]]
+
+
+def _models(found: dict[str, tuple[float, np.ndarray, np.ndarray]]) -> Models:
+    """Mean and inverse covariance per language, drawn to the pooled prose by ``PRIOR`` of all text; ``""`` is the pooled model."""
     total = sum(n for n, _, _ in found.values())
     if not total:
-        return {"": (np.zeros(len(STATS)), np.diag(1 / FLOOR**2))}
+        return {"": (np.zeros(_P), np.diag(1 / FLOOR**2))}
     mean = sum(n * m for n, m, _ in found.values()) / total
     cov = sum(n * (c + np.outer(m - mean, m - mean)) for n, m, c in found.values()) / total
-    pooled = (total, mean, cov)
-    models = {"": _inverse(*pooled[1:])}
+    models = {"": (mean, np.linalg.inv(cov + np.diag(FLOOR**2)))}
     for lang, (n, m, c) in found.items():
-        if lang != "other":
-            w = n / (n + PRIOR)
-            models[lang] = _inverse(w * m + (1 - w) * mean, w * c + (1 - w) * cov)
+        w = n / (n + PRIOR * total)
+        models[lang] = (w * m + (1 - w) * mean, np.linalg.inv(w * c + (1 - w) * cov + np.diag(FLOOR**2)))
     return models
 
 
-def _inverse(mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return mean, np.linalg.inv(cov + np.diag(FLOOR**2))
+def _parts(models: Models, lang: str, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Differences from the prose of the language, and each statistic's part of the squared distance; the parts sum to it."""
+    mean, inv = models.get(lang, models[""])
+    z = x - mean
+    if lang == "script":
+        z[:, _BY_WORDS] = 0.0
+    return z, z * (z @ inv)
 
 
-def distances(stats: DataFrame, models: dict[str, tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Adds ``distance`` (squared Mahalanobis), and each statistic's part of it as ``part_<statistic>``; the parts sum to the distance."""
-    names = ["doc_id", "lang_found", *STATS]
+def fit(blocks: DataFrame, rounds: int = 3, limit: float = LIMIT) -> Models:
+    """Robust mean and covariance of prose per language, over all blocks weighed by their characters.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = np.column_stack([b.column(2 + k).to_numpy(zero_copy_only=False) for k in range(len(STATS))]) if b.num_rows else np.zeros((0, len(STATS)))
-            parts = np.zeros_like(x)
-            lang = np.array(b.column(1).to_pylist(), object)
-            for one in set(lang.tolist()):
-                at = lang == one
-                mean, inv = models.get(one, models[""])
-                z = x[at] - mean
-                parts[at] = z * (z @ inv)
-            cols = [*b.columns[: len(names)], pa.array(parts.sum(1)), *[pa.array(parts[:, k]) for k in range(len(STATS))]]
-            yield pa.RecordBatch.from_arrays(cols, [*names, "distance", *[f"part_{s}" for s in STATS]])
+    It starts from medians and quartiles, which hold while most text of a language is prose, then ``rounds`` times leaves out the
+    blocks beyond ``limit`` and fits again. No text is told to be prose beforehand, and no sample is taken. Text whose language
+    is not found is held against the pooled prose, and does not count towards it.
+    """
+    known = blocks.where("lang_found != 'other' and lang_found != 'script'")
+    models = _models({lang: _start(h) for lang, h in _by_language(known, _P * _BINS, _histogram).items()})
+    for _ in range(rounds):
 
-    schema = f"doc_id {stats.schema['doc_id'].dataType.simpleString()}, lang_found string, " + ", ".join(f"{s} double" for s in STATS)
-    return stats.select(*names).mapInArrow(run, f"{schema}, distance double, " + ", ".join(f"part_{s} double" for s in STATS))
+        def add(lang: str, x: np.ndarray, chars: np.ndarray, models: Models = models) -> np.ndarray:
+            w = chars * (_parts(models, lang, x)[1].sum(1) <= limit)
+            return np.concatenate([[w.sum()], w @ x, ((x * w[:, None]).T @ x).ravel()])
 
+        found = {lang: _moments(v) for lang, v in _by_language(known, 1 + _P + _P * _P, add).items() if v[0] > 0}
+        models = _models(found) if found else models
+    return models
 
-def prose_distance(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 2, limit: float = LIMIT) -> DataFrame:
-    """Every text with its statistics (and ``n_words``), its ``distance`` from prose of its language and each statistic's part of that.
 
-    Robust fit: it starts from the texts most of whose characters read as prose, takes mean and covariance per language over
-    all of them, then ``rounds`` times leaves out those beyond ``limit`` and fits again. Models of rare languages lean on the
-    pooled one. Every round is one aggregate over the statistics, which are written once; nothing depends on a sample.
-    Null, empty and blank texts have no row; texts of any length are taken whole; repeated rows count each.
+def distances(blocks: DataFrame, models: Models, limit: float = LIMIT) -> DataFrame:
+    """Per text: plain statistics, the mean of each block statistic, ``outside`` (share of characters in blocks beyond ``limit``), ``distance``, its parts, ``kind``.
+
+    ``distance`` and the parts are means over the blocks by characters, so the parts sum to the distance. ``kind`` is what the
+    statistics speak for that contribute most in the blocks beyond ``limit``; null where there are none.
     """
-    stats = durable(text_statistics(docs, doc_id, text), "text-stats")
-    outside = F.col("table_share") + F.col("list_share") + F.col("junk_share")
-    models = _models(_moments(stats.where(outside < 0.2)))
-    for _ in range(rounds):
-        models = _models(_moments(distances(stats, models).where(F.col("distance") <= limit)))
-    return distances(stats, models).withColumn("n_words", F.round(F.expm1("log_words")).cast("long"))
+    counts = [f"n_{c}" for c in prose.PLAIN]
+    speaks = np.zeros((len(KINDS), _P))
+    for k, kind in enumerate(KINDS):
+        for s, sign in SPEAKS[kind].items():
+            speaks[k, STATS.index(s)] = sign
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            row, chars, x = _unpack(b.column(2), b.column(3))
+            lang = np.array(b.column(1).to_pylist(), object)
+            z, parts = np.zeros_like(x), np.zeros_like(x)
+            for one in set(lang.tolist()):
+                at = lang[row] == one
+                z[at], parts[at] = _parts(models, one, x[at])
+            far = parts.sum(1) > limit
+            total = np.maximum(np.bincount(row, chars, minlength=n), 1)
+            said = np.stack([np.bincount(row, chars * far * (np.maximum(parts, 0) * (z * s > 0)).sum(1), minlength=n) for s in speaks], 1)
+            kind = [KINDS[k] if v[k] > 0 else None for k, v in zip(said.argmax(1).tolist(), said)]
+
+            def mean(v: np.ndarray) -> pa.Array:
+                return pa.array(np.bincount(row, chars * v, minlength=n) / total)
+
+            counted = {c: b.column(4 + k).to_numpy(zero_copy_only=False) for k, c in enumerate(counts)}
+            cols = {
+                "doc_id": b.column(0),
+                "lang_found": b.column(1),
+                "n_words": b.column(4),
+                "mean_word_len": pa.array(counted["n_letters"] / np.maximum(counted["n_words"], 1)),
+                "symbol_ratio": pa.array(counted["n_symbols"] / np.maximum(counted["n_dense"], 1)),
+                "ended_lines": pa.array(counted["n_ended"] / np.maximum(counted["n_lines"], 1)),
+                "common_words": pa.array(counted["n_common"] / np.maximum(counted["n_words"], 1)),
+                "outside": mean(far.astype(float)),
+                "distance": mean(parts.sum(1)),
+                "kind": pa.array(kind, pa.string()),
+                **{f"part_{s}": mean(parts[:, k]) for k, s in enumerate(STATS)},
+            }
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    schema = f"doc_id {blocks.schema['doc_id'].dataType.simpleString()}, lang_found string, n_words long, mean_word_len double, symbol_ratio double, ended_lines double, common_words double, outside double, distance double, kind string, "
+    return blocks.select("doc_id", "lang_found", "sizes", "stats", *counts).mapInArrow(run, schema + ", ".join(f"part_{s} double" for s in STATS))
+
+
+def prose_distance(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 3, limit: float = LIMIT) -> DataFrame:
+    """Every text with its statistics, its robust Mahalanobis distance from prose of its language, and each statistic's part of that.
+
+    Statistics are taken per block of about ``prose.BLOCK_CHARS`` characters, so that a text half of which is a table is told from
+    prose with many figures. They are counted in one pass over the texts and written once, in a few percent of the input; the
+    fit (``fit``) is an aggregate per round over that. Null, empty and blank texts have no row; texts of any length are taken
+    whole; repeated rows count each; without any text there are no rows.
+    """
+    blocks = durable(text_blocks(docs, doc_id, text), "text-blocks")
+    return distances(blocks, fit(blocks, rounds, limit), limit)
 
 
 def not_prose(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", limit: float = LIMIT, half: float = HALF) -> DataFrame:
-    """``doc_id, kind, distance`` of the texts beyond ``limit`` more than ``half`` of whose characters are no prose.
-
-    The kind is the one with most characters; equal shares go by the statistics that contribute most to the distance.
-    """
-    far = prose_distance(docs, doc_id, text, limit=limit).where(F.col("distance") > limit)
-    outside = F.col("table_share") + F.col("list_share") + F.col("junk_share")
-    speaks = [reduce(lambda a, b: a + b, [F.greatest(F.col(f"part_{s}"), F.lit(0.0)) for s, k in zip(STATS, _SPEAKS) if k == n]) for n in range(3)]
-    ranked = F.array_max(F.array(*[F.struct(F.col(f"{kind}_share").alias("share"), speaks[n].alias("part"), F.lit(kind).alias("kind")) for n, kind in enumerate(KINDS)]))
-    return far.where(outside > half).select("doc_id", ranked["kind"].alias("kind"), "distance")
+    """``doc_id, kind, distance`` of the texts more than ``half`` of whose characters lie beyond ``limit`` from prose."""
+    return prose_distance(docs, doc_id, text, limit=limit).where((F.col("outside") > half) & F.col("kind").isNotNull()).select("doc_id", "kind", "distance")

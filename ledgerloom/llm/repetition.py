@@ -25,8 +25,9 @@ def measure(texts: pa.Array, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np
     """Per text: its words, the words covered by repeats of at least ``min_words`` said before, and the longest repeat.
 
     All texts of the batch share one suffix array; a separator of its own after each text keeps matches inside the text.
-    Suffixes whose neighbours share ``min_words`` or more words form an interval; all but its first position are repeats,
-    and the union of their spans is covered.
+    Each position that lies in an interval of ``min_words`` or more shared words with an earlier one begins a maximal repeat,
+    as long as the deepest such interval; the union of these spans is covered, and the longest of them reported. (Every word of
+    such a span lies in a run of ``min_words`` said before, so the covered count equals that of the repeated runs.)
     """
     n_texts = len(texts)
     w = kernel.words(pc.replace_substring_regex(pc.fill_null(texts, ""), _STEP, " "))
@@ -74,20 +75,50 @@ def _block(hashes, rows, lo, hi, min_words, covered, longest) -> None:
     symbols[gaps] = np.arange(n_sep)
     text_of = np.repeat(np.arange(lo, hi), np.diff(np.concatenate([[-1], gaps])))
     levels = kernel.suffix_ranks(symbols)
-    order = np.argsort(levels[-1])
-    interval = np.cumsum(kernel.common_prefixes(order[:-1], order[1:], levels, lead=True) < min_words)
-    # An interval may hold suffixes of several texts: it is cut again per text, in text order.
-    key = np.lexsort((order, text_of[order], interval))
-    group, owner, at = interval[key], text_of[order][key], order[key]
-    later = np.flatnonzero((group[1:] == group[:-1]) & (owner[1:] == owner[:-1])) + 1
-    if not len(later):
-        return
+    # The suffix array of each text by itself, one after another; across texts nothing is shared.
+    order = np.lexsort((levels[-1], text_of))
+    owner = text_of[order]
+    shared = np.zeros(len(order), np.int64)
+    same = np.flatnonzero(owner[1:] == owner[:-1]) + 1
+    shared[same] = kernel.common_prefixes(order[same - 1], order[same], levels)
+    repeat = np.zeros(len(order), np.int64)
+    repeat[order] = said_before(order, shared)
+    later = np.flatnonzero(repeat >= min_words)
     mark = np.zeros(len(symbols) + 1, np.int64)
-    np.add.at(mark, at[later], 1)
-    np.add.at(mark, at[later] + min_words, -1)
-    hit = (np.cumsum(mark[:-1]) > 0) & (symbols >= n_sep)
+    np.add.at(mark, later, 1)
+    np.add.at(mark, later + repeat[later], -1)
+    hit = np.cumsum(mark[:-1]) > 0
     np.add.at(covered, text_of[hit], 1)
-    np.maximum.at(longest, text_of[at[later]], kernel.common_prefixes(at[later - 1], at[later], levels))
+    np.maximum.at(longest, text_of[later], repeat[later])
+
+
+def said_before(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Per place of a suffix array: the symbols that its suffix shares with one that begins earlier, at most.
+
+    ``order`` has the suffixes by rank, ``shared`` what each has in common with the one before it. The deepest interval that holds
+    an earlier position runs to the nearest one on either side; both are found by halving steps over minima of windows.
+    """
+    n = len(order)
+    first, least = [order], [shared]
+    while (1 << len(first)) <= n:
+        step = 1 << (len(first) - 1)
+        first.append(np.minimum(first[-1][:-step], first[-1][step:]))
+        least.append(np.minimum(least[-1][:-step], least[-1][step:]))
+    best = np.zeros(n, np.int64)
+    for left in (True, False):
+        at, depth = np.arange(n), np.full(n, n, np.int64)
+        for k in range(len(first) - 1, -1, -1):
+            step = 1 << k
+            begin = at - step if left else at + 1  # the window next to what has been passed
+            inside = (begin >= 0) & (begin + step <= n)
+            go = np.flatnonzero(inside)
+            go = go[first[k][begin[go]] > order[go]]
+            depth[go] = np.minimum(depth[go], least[k][begin[go] + 1 if left else begin[go]])
+            at[go] += -step if left else step
+        end = np.flatnonzero(at > 0) if left else np.flatnonzero(at + 1 < n)
+        depth[end] = np.minimum(depth[end], shared[at[end]] if left else shared[at[end] + 1])
+        best[end] = np.maximum(best[end], depth[end])
+    return best
 
 
 def repetition(df: DataFrame, text: str, keep: tuple[str, ...], min_words: int = MIN_WORDS) -> DataFrame:
@@ -109,6 +140,7 @@ def repetition(df: DataFrame, text: str, keep: tuple[str, ...], min_words: int =
     return spread(src).mapInArrow(run, f"{schema}, n_words long, {SCHEMA}")
 
 
-def repetitive(df: DataFrame, text: str, keep: tuple[str, ...], min_words: int = MIN_WORDS, min_share: float = MIN_SHARE) -> DataFrame:
-    """The rows of ``repetition`` whose repeated share reaches ``min_share``."""
-    return repetition(df, text, keep, min_words).where(F.col("repeat_share") >= min_share)
+def repetitive(df: DataFrame, text: str, keep: tuple[str, ...], min_words: int = MIN_WORDS, min_share: float = MIN_SHARE, min_longest: int | None = None) -> DataFrame:
+    """The rows of ``repetition`` beyond a limit: of the repeated share, or, where it is given, of the longest repeat in words."""
+    beyond = F.col("repeat_share") >= min_share
+    return repetition(df, text, keep, min_words).where(beyond if min_longest is None else beyond | (F.col("longest_repeat") >= min_longest))

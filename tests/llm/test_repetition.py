@@ -30,9 +30,13 @@ texts = st.lists(st.one_of(st.none(), st.text("ab c.\n", max_size=60), st.lists(
 def test_brute_force(items, k):
     n, cov, longest = repetition.measure(pa.array(items, pa.string()), k)
     for i, t in enumerate(items):
-        want = brute(t, k)
-        assert (n[i], cov[i]) == want[:2]
-        assert longest[i] <= want[2] and (longest[i] >= k) == (want[2] >= k)
+        assert (n[i], cov[i], longest[i]) == brute(t, k)
+
+
+def test_longest_repeat_is_exact():
+    ten = "one two three four five six seven eight nine ten"
+    n, cov, longest = repetition.measure(pa.array([f"{ten} one two three four {ten}", "a b c d e f a b c d x a b c d e f g a b c d e f g"]))
+    assert longest.tolist() == [10, 7] and cov.tolist() == [14, 17]
 
 
 def test_blocks_do_not_matter(monkeypatch):
@@ -50,6 +54,7 @@ def test_operator(spark):
     assert len(got) == 7 and {r.row_id for r in repetition.repetitive(df, "output", ("row_id",)).collect()} == {1, 2, 6}
     assert next(r for r in got if r.row_id == 1).repeat_words == 81 and next(r for r in got if r.row_id == 1).longest_repeat == 81
     assert all(r.repeat_share == 0 for r in got if r.row_id in (3, 4, 5))
+    assert {r.row_id for r in repetition.repetitive(df, "output", ("row_id",), min_share=2.0, min_longest=81).collect()} == {r.row_id for r in got if r.longest_repeat >= 81} == {1}
     assert repetition.repetition(df.limit(0), "output", ("row_id",)).count() == 0
 
 

@@ -44,7 +44,7 @@ KINDS = (
 ASKING = frozenset(
     "percent percentage change changed growth rate relative average mean ratio share portion proportion total sum summed combined together differ difference add lose gain thousands thousand "
     "move moved large represent represented according report please answer question taking adding average across q a to many find tell calculate compute give us me using based table context year years "
-    "prozent prozentuale prozentualen veränderung verändert änderung mittelwert durchschnitt verhältnis anteil summe zusammen unterschied tausend hatte betrug betrugen jahr jahren insgesamt "
+    "prozent prozentuale prozentualen veränderung verändert änderung änderte ändert ergibt ergab hoch hohe groß große betrag welche welchen welcher welches mittelwert durchschnitt verhältnis anteil summe zusammen unterschied tausend hatte betrug betrugen jahr jahren insgesamt "
     "variación porcentual porcentaje cambió promedio media proporción parte relación suma sumaron diferencia miles representaba representó hubo año años "
     "variation pourcentage moyenne part rapport somme ensemble réunis réunies différence milliers écart changé varié représentait année années t il fait".split()
 )

@@ -13,14 +13,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import kernel
-from ledgerloom.session import spread
+from ledgerloom.operators.skew import lookup_join
+from ledgerloom.session import durable, spread
 
 #: Word positions that count (1) or are ignored (0). Each mask takes six words; the gaps bridge single changed words.
 MASKS = ("111111", "1110111", "1101111", "1111011", "11011011")
 #: Least aligned words of a passage, and the largest share of words that may differ within it.
 MIN_WORDS, MAX_DIFFER = 20, 0.18
-#: Held-out words that one block of the index holds; more items make more blocks, each met by a pass of its own.
-BLOCK_WORDS = 500_000
+#: Held-out words up to which the seeds go to every task as one index (some tens of MB); beyond, both sides' seeds are joined by a shuffle.
+INDEX_WORDS = 500_000
+#: Bits of the filter of seeds in the shuffled form, as a power of two: 16 for each seed, within these bounds (128 KB to 32 MB).
+_FILTER_BITS = (20, 28)
+#: Words kept on either side of a hit in the shuffled form, and rows of one seed from which its list of texts is split.
+_KEPT, PART_ROWS = 80, 1_000_000
 _TABLE_BITS = 22
 
 
@@ -207,30 +212,123 @@ def probe(index: Index, texts: pa.Array, masks: tuple[str, ...], min_words: int,
     return out_t, out_i
 
 
-def _blocks(items: DataFrame, item_id: str, text: str, block_words: int) -> list[tuple[list, list]]:
-    """The items in blocks of about ``block_words`` words, fetched block by block; sizes come from one aggregate."""
-    sized = items.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where(F.col("t").isNotNull())
-    chars = sized.agg(F.sum(F.length("t"))).first()[0] or 0
-    n = int(chars // (6 * block_words)) + 1
-    blocks = []
-    for k in range(n):
-        part = sized if n == 1 else sized.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k)
-        rows = part.orderBy("i", "t").toArrow()
-        blocks.append((rows["i"].to_pylist(), rows["t"].to_pylist()))
-    return blocks
-
-
 _INDEX: dict[str, Index] = {}
 
 
 def _kept_index(key: str, shared, masks: tuple[str, ...]) -> Index:
-    """The index of a block, built once per worker; only the last one is kept."""
+    """The index of the held-out side, built once per worker; only the last one is kept."""
     if key not in _INDEX:
         _INDEX.clear()
         _INDEX[key] = build_index(*shared.value, masks)
     return _INDEX[key]
 
 
+def _by_index(docs: DataFrame, items: DataFrame, masks: tuple[str, ...], min_words: int, max_differ: float) -> DataFrame:
+    """The seed join with the held-out side in every task: nothing of the texts is shuffled."""
+    rows = items.orderBy("item_id", "text").toArrow()
+    shared = docs.sparkSession.sparkContext.broadcast((rows["item_id"].to_pylist(), rows["text"].to_pylist()))
+
+    def run(batches: Iterator[pa.RecordBatch], key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+        index = _kept_index(key, shared, masks)
+        for b in batches:
+            t, i = probe(index, b.column(1), masks, min_words, max_differ)
+            got = {"doc_id": pc.take(b.column(0), pa.array(t, pa.int64())), "item_id": pa.array(index.items[i] if i else [], pa.int64())}
+            yield pa.RecordBatch.from_arrays(list(got.values()), list(got))
+
+    return spread(docs).mapInArrow(run, "doc_id long, item_id long")
+
+
+_PIECE = "key long, id long, words binary, figures binary, seeds array<bigint>, places array<int>"
+
+
+def _pieces(df: DataFrame, masks: tuple[str, ...], bits: tuple[int, np.ndarray] | None = None) -> DataFrame:
+    """Texts with their seeds and the place of each; with a filter only its hits, in pieces of the text that hold their surroundings.
+
+    ``key`` is a hash of id and words, so equal pieces of one id are one.
+    """
+    shared = None if bits is None else df.sparkSession.sparkContext.broadcast(bits)
+    names = [c.split()[0] for c in _PIECE.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            w = kernel.words(b.column(1))
+            number = w.is_number()
+            ids = b.column(0).to_pylist()
+            seeds, places = [], []
+            for mask in masks:
+                h = seed_hashes(w.hash, mask)
+                at = np.flatnonzero(w.row[: len(h)] == w.row[len(mask) - 1 :]) if len(h) else np.zeros(0, np.int64)
+                if shared is not None:
+                    at = at[_may_hold(shared.value, h[at])]
+                seeds.append(h[at])
+                places.append(at)
+            seed, place = np.concatenate(seeds), np.concatenate(places)
+            order = np.argsort(place, kind="stable")
+            seed, place = seed[order], place[order]
+            row = w.row[place]
+            bounds = np.searchsorted(w.row, np.arange(b.num_rows + 1))
+            parted = (np.diff(row) != 0) | (np.diff(place) > 2 * _KEPT if shared is not None else False)
+            starts = np.concatenate([[0], np.flatnonzero(parted) + 1]).astype(np.int64) if len(place) else np.zeros(0, np.int64)
+            out: list[list] = [[] for _ in names]
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), len(place)]):
+                r = int(row[lo])
+                first, last = (int(bounds[r]), int(bounds[r + 1])) if shared is None else (max(int(bounds[r]), int(place[lo]) - _KEPT), min(int(bounds[r + 1]), int(place[hi - 1]) + _KEPT))
+                own = w.hash[first:last]
+                key = kernel.mix(np.bitwise_xor.reduce(kernel.mix(own + kernel.mix(np.arange(1, len(own) + 1).astype(np.uint64)))) + np.array([ids[r] or 0], np.int64).view(np.uint64))
+                for c, v in zip(out, (key.view(np.int64)[0], ids[r], own.tobytes(), number[first:last].tobytes(), seed[lo:hi].view(np.int64), (place[lo:hi] - first).astype(np.int32))):
+                    c.append(v)
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
+
+    return spread(df).mapInArrow(run, _PIECE)
+
+
+def _may_hold(bits: tuple[int, np.ndarray], h: np.ndarray) -> np.ndarray:
+    """Whether the filter has each hash."""
+    at = h >> np.uint64(64 - bits[0])
+    return (bits[1][(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+
+
+def _filter(seeds: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """A bit per hash prefix that some seed has, put together by the executors; only the bits, of bounded number, reach the driver."""
+    power = min(max(_FILTER_BITS[0], int(n * 16).bit_length()), _FILTER_BITS[1])
+    at = F.shiftrightunsigned("seed", 64 - power)
+    rows = seeds.groupBy(F.shiftrightunsigned(at, 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(seed, %d) & 63 as int))" % (64 - power))).alias("b")).toArrow()
+    bits = np.zeros(1 << (power - 6), np.uint64)
+    bits[rows["w"].to_numpy()] = rows["b"].to_numpy().view(np.uint64)
+    return power, bits
+
+
+def _by_shuffle(docs: DataFrame, items: DataFrame, masks: tuple[str, ...], min_words: int, max_differ: float) -> DataFrame:
+    """The seed join by a shuffle on the seed: of the texts only pieces around seeds that the held-out side has are kept and moved.
+
+    A seed that very many texts share is split by text, and the held-out side meets each part. The words of an item that very many
+    texts hold are joined apart (``lookup_join``). The corpus is read once; nothing of either side reaches the driver but the filter.
+    """
+    held = durable(_pieces(items, masks).dropDuplicates(["key"]), "items")
+    both = ("key", F.explode(F.arrays_zip("seeds", "places")).alias("s"))
+    theirs = held.select(*both).select(F.col("key").alias("item"), F.col("s.seeds").alias("seed"), F.col("s.places").alias("i"))
+    pieces = durable(_pieces(docs, masks, _filter(theirs, theirs.count())), "pieces")
+    ours = pieces.select(*both).select("key", F.col("s.seeds").alias("seed"), F.col("s.places").alias("j"))
+    parts = ours.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > PART_ROWS).select("seed", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
+    ours, theirs = (x.join(parts, "seed", "left").withColumn("parts", F.coalesce("parts", F.lit(1))) for x in (ours, theirs))
+    ours = ours.withColumn("part", F.pmod(F.xxhash64("key"), "parts").cast("int")).drop("parts")
+    theirs = theirs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    hits = ours.join(theirs, ["seed", "part"]).groupBy("key", "item").agg(F.collect_set(F.struct("i", "j")).alias("hits"))
+    hits = hits.join(pieces.dropDuplicates(["key"]).select("key", F.col("id").alias("doc_id"), "words", "figures"), "key")
+    hits = lookup_join(durable(hits.drop("key"), "hits"), held.select(F.col("key").alias("item"), F.col("id").alias("item_id"), F.col("words").alias("item_words"), F.col("figures").alias("item_figures")), "item")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = []
+            for hit, words, figures, item_words, item_figures in zip(*(b.column(k).to_pylist() for k in range(2, 7))):
+                item, doc = (Sequence(np.frombuffer(w, np.uint64), np.frombuffer(f, bool)) for w, f in ((item_words, item_figures), (words, figures)))
+                good.append(passages(item, doc, sorted((x["i"], x["j"]) for x in hit), min_words, max_differ))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["doc_id", "item_id"]).filter(pa.array(good, pa.bool_()))
+
+    return hits.select("doc_id", "item_id", "hits", "words", "figures", "item_words", "item_figures").mapInArrow(run, "doc_id long, item_id long")
+
+
 def leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -241,30 +339,21 @@ def leaks(
     masks: tuple[str, ...] = MASKS,
     min_words: int = MIN_WORDS,
     max_differ: float = MAX_DIFFER,
-    block_words: int = BLOCK_WORDS,
+    index_words: int = INDEX_WORDS,
 ) -> DataFrame:
     """One row ``doc_id, item_id`` per text that holds a passage of at least ``min_words`` words of an item.
 
-    The held-out side is indexed by spaced seeds and sent to the tasks in blocks of bounded size (``block_words`` words, some tens of MB with their seeds); every block meets every text once, where the text lies, so the corpus is never shuffled and no
-    key can be hot. Around each hit the words are aligned over single changed, added or missing words and the passage counted.
-    Case, spacing, punctuation, line breaks and escape residue do not matter. Null, empty and short texts have no rows;
-    repeated items (or ids) give one row per document and id; texts of any length are probed whole.
+    Spaced seeds of texts and items are joined, and around each hit the words are aligned over single changed, added or missing
+    words and the passage counted. Items of up to ``index_words`` words in all (counted first) go to every task, so the corpus is not
+    shuffled; more are joined by a shuffle of the seeds, where a passage is followed up to 80 words to either side of the hits.
+    Either way the corpus is read once and whole. Case, spacing, punctuation, line breaks and escape residue do not matter. Items
+    without id, and null, empty and short texts have no rows; documents without id come out with a null; repeated items (or ids)
+    give one row per document and id.
     """
     if min_words < 8:
         raise ValueError("min_words must be at least 8, the longest mask")
-    found = None
-    sc = docs.sparkSession.sparkContext
-    src = spread(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text")))
-    for ids, texts in _blocks(items, item_id, item_text, block_words) or [([], [])]:
-        shared = sc.broadcast((ids, texts))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            index = _kept_index(key, shared, masks)
-            for b in batches:
-                t, i = probe(index, b.column(1), masks, min_words, max_differ)
-                got = {"doc_id": pc.take(b.column(0), pa.array(t, pa.int64())), "item_id": pa.array(index.items[i] if i else [], pa.int64())}
-                yield pa.RecordBatch.from_arrays(list(got.values()), list(got))
-
-        part = src.mapInArrow(run, "doc_id long, item_id long")
-        found = part if found is None else found.unionByName(part)
-    return found.distinct()
+    texts = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_text).alias("text"))
+    held = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    n_words = held.agg(F.sum(F.length(F.regexp_replace("text", r"[^\s\p{IsHan}\p{IsHiragana}\p{IsKatakana}]+", "x")))).first()[0] or 0
+    form = _by_index if n_words <= 2 * index_words else _by_shuffle
+    return form(texts, held, masks, min_words, max_differ).distinct()

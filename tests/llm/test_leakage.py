@@ -58,8 +58,9 @@ def test_operator(spark):
     items = spark.createDataFrame([(7, text), (8, None), (9, "too short"), (7, text), (10, " ".join(ITEM[:40]) + " " + filler(30))], "item_id long, text string")
     want = {(1, 7), (4, 7), (1, 10), (None, 7), (None, 10)}
     assert {(r.doc_id, r.item_id) for r in leakage.leaks(docs, items).collect()} == want
-    blocks = leakage.leaks(docs, items, block_words=20)
-    assert {(r.doc_id, r.item_id) for r in blocks.collect()} == want and blocks.count() == 5
+    shuffled = leakage.leaks(docs, items, index_words=20)
+    assert {(r.doc_id, r.item_id) for r in shuffled.collect()} == want and shuffled.count() == 5
+    assert leakage.leaks(docs.limit(0), items, index_words=0).count() == leakage.leaks(docs, items.limit(0), index_words=-1).count() == 0
     assert leakage.leaks(docs.limit(0), items).count() == leakage.leaks(docs, items.limit(0)).count() == 0
 
 
@@ -67,3 +68,22 @@ def test_long_passages():
     for least in (40, 63, 70):
         assert one(filler(50) + " " + " ".join(ITEM[2:78]) + " " + filler(50), min_words=least)
         assert not one(filler(50) + " " + " ".join(ITEM[2 : least - 5]) + " " + filler(50), min_words=least)
+
+
+def test_both_forms_agree(spark, monkeypatch):
+    """The shuffled seed join finds what the index finds, also with hot seeds split."""
+    rnd = random.Random(3)
+    items = [(k, " ".join(rnd.choice(WORDS) if j % 6 else str(rnd.randint(100, 9999)) for j in range(60)) + (" as stated before in the notes to these accounts" if k % 2 else "")) for k in range(40)]
+    docs = []
+    for d in range(150):
+        parts = [" ".join(rnd.choice(WORDS) for _ in range(rnd.randint(5, 120))), "as stated before in the notes to these accounts"]
+        for _ in range(rnd.randrange(3)):
+            w = items[rnd.randrange(40)][1].split()
+            at, n = rnd.randrange(40), rnd.randint(10, 40)
+            parts.insert(rnd.randrange(3), " ".join(altered(w[at : at + n], rnd.choice((8, 11, 99)), rnd)))
+        docs.append((d, " ".join(parts)))
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {tuple(r) for r in leakage.leaks(docs, items).collect()}
+    assert len(want) > 40 and {tuple(r) for r in leakage.leaks(docs, items, index_words=0).collect()} == want
+    monkeypatch.setattr(leakage, "PART_ROWS", 20)
+    assert {tuple(r) for r in leakage.leaks(docs, items, index_words=0).collect()} == want

@@ -33,7 +33,7 @@ for _lang, _list in FUNCTION_WORDS.items():
         _OWNERS.setdefault(_w, []).append(_lang)
 _WEIGHT = {w: [(lang, 1.0 / len(owners)) for lang in owners] for w, owners in _OWNERS.items()}
 _TOKENS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*", re.U)
-_QUOTED = re.compile(r"\"[^\"\n]{0,400}\"|“[^”\n]{0,400}”|«[^»\n]{0,400}»|„[^“”\n]{0,400}[“”]|`[^`\n]{0,400}`")
+_QUOTED = re.compile(r"\"[^\"\n]*\"|“[^”\n]*”|«[^»\n]*»|„[^“”\n]*[“”]|`[^`\n]*`")
 _SCRIPTS = (
     ("ja", re.compile(r"[぀-ヿ]")),
     ("zh", re.compile(r"[一-鿿]")),
@@ -47,7 +47,7 @@ _SCRIPTS = (
 )
 _LETTER = {"ß": "de", "ñ": "es", "¿": "es", "¡": "es", "ã": "pt", "õ": "pt", "œ": "fr", "ł": "pl", "å": "sv", "ı": "tr"}
 #: Weight that the leading language needs, and its least ratio to the next.
-LEAST_WEIGHT, LEAST_RATIO = 1.5, 1.4
+LEAST_WEIGHT, LEAST_RATIO = 1.3, 1.4
 
 
 def scores(text: str, counts: Counter | None = None) -> dict[str, float]:

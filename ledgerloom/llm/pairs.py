@@ -19,7 +19,8 @@ from ledgerloom.session import durable, spread
 
 #: Ways to decline, by language. A text is a refusal only if it also gives no figure as the answer.
 REFUSALS = {
-    "en": r"\b(?:can(?:no|')?t|can not|could(?:n't| not)|unable to|not able to|won'?t|will not|am not allowed to|not in a position to) (?:\w+ ){0,2}?(?:answer|help|provid\w*|giv\w*|determine|calculate|compute|respond|assist|comply|shar\w*|offer|tell|say|work|be giving|fulfil\w*|do)\b"
+    "en": r"\b(?:can(?:no|')?t|can not|could(?:n't| not)|unable to|not able to|won'?t|will not|am not allowed to|not in a position to) (?:\w+ ){0,2}?(?:answer|help|provid\w*|giv\w*|determine|calculate|compute|respond|assist|comply|shar\w*|offer|tell|say|work|be (?:giving|answering|providing|sharing)|fulfil\w*|do|suppl\w*|disclos\w*|stat\w*|commit|engage)\b"
+    r"|\b(?:no|without any|lack(?:s|ing)?(?: any| the)?) (?:means|way|basis|possibility|grounds) (?:to|of|for|on)\b|\bunanswerable\b|\b(?:outside|out of|beyond) (?:my|our|the) (?:scope|remit|abilit\w+|role|power\w*|reach)\b|\bnot (?:comfortable|willing|prepared|able|permitted|allowed|authori[sz]ed)\b|\b(?:i|we) (?:must |will |shall |would |have to )?(?:withhold|abstain|refrain|pass on)\b|\b(?:is|are|remains?) (?:impossible|unavailable to me)\b"
     r"|\b(?:must|have to|need to|has to|like to|prefer to) (?:\w+ )?(?:decline|refuse|pass on|abstain)|\bi (?:decline|refuse)\b|\brather not\b|\bno answer (?:can|could|is)\b|\bnot possible (?:for me )?to (?:\w+ )?(?:answer|provide|give|say|determine)"
     r"|\b(?:don't|do not|doesn't|does not|didn't|did not) (?:have|give|contain|include|provide|offer) (?:\w+ ){0,2}?(?:access|enough|sufficient|information|the (?:figures|data|information))\b|\b(?:insufficient|not enough) (?:information|data)\b|\bbeyond what i\b|\bagainst my\b|\bi'm afraid\b|\bcannot be (?:answered|determined|calculated)\b",
     "de": r"\bnicht (?:beantworten|helfen|berechnen|angeben|sagen|weiterhelfen|möglich)\b|\bkeine (?:auskunft|zahl|zahlen|antwort|angabe|angaben|aussage)\b|\bkann ich (?:\w+ ){0,4}(?:nicht|keine)\b|\blehne\b|\bmöchte (?:\w+ ){0,3}(?:nicht|keine)\b|\btut mir leid\b",
@@ -31,9 +32,27 @@ REFUSALS = {
     "pl": r"\bnie mogę\b|\bnie jest możliwe\b|\bwolę nie\b|\bprzepraszam\b",
     "ru": r"не могу|невозможно|не имею возможности|не в состоянии|предпочитаю не|извините|к сожалению|не буду",
     "zh": r"无法|不能(?:回答|提供|给出)|抱歉|对不起|不便|拒绝",
-    "ja": r"できません|お答え|申し訳",
+    "ja": r"できません|できかねます|お答え|申し訳|お断り",
+    "sv": r"\bkan (?:jag )?(?:\w+ )?inte (?:\w+ )?(?:svara|ge|lämna|beräkna|räkna|hjälpa|ange|uppge|besvara)|\binte möjligt\b|\bgår inte att\b|\btyvärr\b|\bbeklagar\b|\bavstår\b|\bhelst inte\b",
+    "da": r"\bkan (?:jeg )?(?:\w+ )?ikke (?:\w+ )?(?:svare|give|beregne|oplyse|hjælpe|besvare)|\bikke muligt\b|\bdesværre\b|\bbeklager\b|\bafstår\b|\bhelst ikke\b",
+    "no": r"\bkan (?:jeg )?(?:\w+ )?ikke (?:\w+ )?(?:svare|gi|beregne|oppgi|hjelpe|besvare)|\bikke mulig\b|\bdessverre\b|\bavstår\b",
+    "fi": r"\ben (?:\w+ )?(?:voi|pysty|osaa|halua|kykene)\b|\bei (?:ole mahdollista|voida)\b|\bvalitettavasti\b|\bpahoittelen\b|\bkieltäydyn\b|\bmahdotonta\b",
+    "cs": r"\bnemohu\b|\bnemůžu\b|\bnelze\b|\bnejsem schop\w+|\bbohužel\b|\bomlouvám\b|\bodmítám\b|\bnení možné\b",
+    "hu": r"\bnem (?:tud(?:ok|om|unk)|lehet|lehetséges|áll módomban|kívánok)\b|\bsajnos\b|\bsajnálom\b|\belnézést\b",
+    "ro": r"\bnu (?:\w+ )?(?:pot|putem|poate|este posibil|dispun|doresc|sunt în măsură)\b|\bîmi pare rău\b|\bdin păcate\b|\brefuz\b",
+    "tr": r"(?:emem|amam|emeyiz|amayız|emiyorum|amıyorum|emiyoruz|amıyoruz)\b|\bmümkün değil\b|\büzgünüm\b|\bmaalesef\b|\breddediyorum\b",
+    "id": r"\btidak (?:\w+ )?(?:dapat|bisa|mampu|mungkin)\b|\bmaaf\b|\bmenolak\b",
+    "vi": r"không thể|xin lỗi|từ chối|rất tiếc",
+    "ko": r"수 없(?:습니다|어요|음|다)|죄송|불가능|거절",
+    "ar": r"لا (?:أستطيع|يمكنني|يمكن|نستطيع|يمكننا)|عذر|آسف|غير قادر|أرفض|أعتذر",
+    "el": r"δεν (?:μπορώ|μπορούμε|είναι δυνατόν|είμαι σε θέση)|λυπάμαι|συγγνώμη|αδυνατώ|αρνούμαι",
+    "he": r"(?:לא|אינני|איני) (?:יכול|ניתן|אפשר)|מצטער|סליחה|מסרב",
+    "hi": r"नहीं (?:दे|बता|कर) सक|असमर्थ|क्षमा करें|माफ़|संभव नहीं",
+    "th": r"ไม่สามารถ|ขออภัย|ขอโทษ|ปฏิเสธ",
 }
-_REFUSAL = re.compile("|".join(REFUSALS.values()), re.I)
+_ANY_REFUSAL = re.compile("|".join(REFUSALS.values()), re.I)
+_NEAR = {"sv": ("sv", "da", "no"), "da": ("sv", "da", "no"), "no": ("sv", "da", "no"), "es": ("es", "pt"), "pt": ("es", "pt")}
+_REFUSAL = {lang: re.compile("|".join(REFUSALS[x] for x in dict.fromkeys(("en", *_NEAR.get(lang, (lang,))))), re.I) for lang in REFUSALS}
 _YEAR = re.compile(r"\b(?:19|20)\d\d(?:[-/.]\d{1,2}[-/.]\d{1,2})?\b|\b\d{1,2}[-/.]\d{1,2}[-/.](?:19|20)\d\d\b|^\s*(?:step\s*)?\d{1,2}[:.)]", re.I | re.M)
 _NAMED = re.compile(r"\b(?:10-?[KQ]|8-?K|20-?F|S-1|Q[1-4]|[1-4]Q|FY\s?\d+|(?:note|item|page|table|exhibit|section|step|line|part)s?\s+\d+\w?)\b", re.I)
 #: Years, dates and step numbers, as in ``_YEAR``; one word is left in their place.
@@ -47,8 +66,9 @@ _LABEL = re.compile(r"^[\s>*_`#\"'“”«»\-•]*(?:question|the question (?:w
 _KEYS = re.compile(rf"^[\s>*_`#\"'“”«»\-•]*(?:{'|'.join(terminal.ANSWER_KEYS + terminal.PROGRAM_KEYS)})\s*(?:[:：\-–*_]\s*|$)", re.I | re.M)
 _WORDS = re.compile(r"[^\W_]+(?:[-./,]\d+)*", re.U)
 _ESCAPES = re.compile(r"\\+[nrt]")
-#: Compressed size with the question as dictionary, as a share of the size without, from which two texts cannot be near copies.
-COPY_RATIO = 0.75
+#: Distance by compression up to which an output is a copy of its question. Questions of other records keep 0.53 and more from each
+#: other (1 in 100 below 0.59), answers 0.73 and more from their own question, copies with one word changed at most 0.44.
+COPY_DISTANCE = 0.5
 DEFECTS = ("empty", "truncated", "refusal", "copies_question", "wrong_language")
 
 
@@ -70,15 +90,15 @@ def _concludes(piece: str, after: bool) -> bool:
     return after and any(c.isdigit() for c in piece) and not _SHOWN.search(piece)
 
 
-def is_refusal(text: str | None) -> bool:
-    """Declines by the dictionary and gives no figure as the answer: on an answer line, in a program, or in a sentence that concludes.
+def is_refusal(text: str | None, lang: str | None = None) -> bool:
+    """Declines by the dictionary (of English and of the language of the text, or of all languages where that is not known) and gives no figure as the answer: on an answer line, in a program, or in a sentence that concludes.
 
     Figures that are only mentioned (years, dates, steps, names of reports and notes, what the excerpt shows) do not matter.
     """
     if not text:
         return False
     text = text.replace("’", "'")
-    said = list(_REFUSAL.finditer(text))
+    said = list(_REFUSAL.get(lang, _ANY_REFUSAL).finditer(text))
     if not said or gives_figure(text):
         return False
     if not any(c.isdigit() for c in _YEAR.sub(" ", text)):
@@ -94,38 +114,37 @@ def bare_words(text: str) -> list[str]:
     return _WORDS.findall(_KEYS.sub(" ", _LABEL.sub(" ", _ESCAPES.sub(" ", text))).lower())
 
 
-def within_one_word(a: list[str], b: list[str]) -> bool:
-    """True if the lists are equal but for at most one word changed, added or left out."""
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    j = 0
-    while j < min(len(a), len(b)) - i and a[-1 - j] == b[-1 - j]:
-        j += 1
-    return max(len(a), len(b)) - i - j <= 1
-
-
-def copy_ratio(question: str, output: str) -> float:
-    """Size of ``output`` compressed with ``question`` as zstandard dictionary, by its size compressed alone."""
-    raw = output.encode()
-    if not raw:
+_ZSTD = zstandard.ZstdCompressionParameters(compression_level=19, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+
+def compressed(data: bytes, given: bytes | None = None) -> int:
+    """The size of ``data`` compressed by zstandard, with ``given`` as the dictionary."""
+    content = None if given is None else zstandard.ZstdCompressionDict(given, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    packer = zstandard.ZstdCompressor(compression_params=_ZSTD) if content is None else zstandard.ZstdCompressor(compression_params=_ZSTD, dict_data=content)
+    return len(packer.compress(data))
+
+
+def copy_distance(a: str, b: str) -> float:
+    """How much of two texts is left when each is compressed with the other as dictionary, by its size compressed alone: the greater share.
+
+    About 0.2 for equal texts of a sentence; both ways, since a text that holds more than a copy has words that the other lacks.
+    """
+    x, y = a.encode(), b.encode()
+    if not x or not y:
         return 1.0
-    plain = {"level": 3, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-    content = zstandard.ZstdCompressionDict(question.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    with_question = zstandard.ZstdCompressor(dict_data=content, **plain).compress(raw)
-    return len(with_question) / len(zstandard.ZstdCompressor(**plain).compress(raw))
+    return max(compressed(y, x) / compressed(y), compressed(x, y) / compressed(x))
 
 
 def copies_question(question: str | None, output: str | None) -> bool:
-    """The output is the question itself: it shrinks with the question as dictionary, and its words differ in one at most."""
+    """The output is the question itself: compressed with the question as dictionary next to nothing of it is left, nor of the question with it.
+
+    Labels, bare keys, quotes, case, spacing and punctuation are left out before; one word more or less is allowed. Equal words are
+    a copy at any length; of a question of fewer than about six words, in which one word is much, only those are.
+    """
     if not question or not output:
         return False
     q, o = bare_words(question), bare_words(output)
-    if not q or not o or len(o) > 2 * len(q) + 1:
-        return False
-    return copy_ratio(" ".join(q) + " ", " ".join(o)) <= COPY_RATIO and within_one_word(q, o)
+    return bool(q and o) and abs(len(q) - len(o)) <= 1 and (q == o or copy_distance(" ".join(q), " ".join(o)) <= COPY_DISTANCE)
 
 
 #: What outputs are grouped by to learn how often they end properly.
@@ -156,8 +175,9 @@ def signals(log: DataFrame, source: tuple[str, ...] = SOURCE, ends_only: bool =
                 "short": pa.array([t if s in asked and not gives_figure(t) else None for s, t in zip(state, texts)], pa.string()),
             }
             if not ends_only:
-                cols["refusal"] = pa.array([s != terminal.EMPTY and is_refusal(t) for s, t in zip(state, texts)])
-                cols["spoken"] = pa.array([None if s == terminal.EMPTY else languages.language(_KEYS.sub(" ", t)) for s, t in zip(state, texts)], pa.string())
+                spoken = [None if s == terminal.EMPTY else languages.language(_KEYS.sub(" ", t)) for s, t in zip(state, texts)]
+                cols["refusal"] = pa.array([s != terminal.EMPTY and is_refusal(t, lang) for s, t, lang in zip(state, texts, spoken)])
+                cols["spoken"] = pa.array(spoken, pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], *cols.values()], [*carried, *cols])
 
     return spread(src).mapInArrow(run, f"{schema}, state string, terminated boolean, midway boolean, context string, short string" + ("" if ends_only else ", refusal boolean, spoken string"))

@@ -96,7 +96,42 @@ def test_copies():
         assert pairs.copies_question(Q, o), o
     for o in (GOOD, "what was the ratio of net income to sales in 2019?", "It was " + Q, "", None, Q + " " + Q):
         assert not pairs.copies_question(Q, o), o
-    assert pairs.copy_ratio(Q, Q) < 0.5 < pairs.copy_ratio(Q, "zebra crossing by night, quite unlike it")
+    assert pairs.copy_distance(Q, Q) < 0.3 and pairs.copy_distance(Q, "zebra crossing by night, quite unlike it") > 0.9
+    assert pairs.copies_question("why?", "Why") and not pairs.copies_question("why?", "how")
+
+
+def test_other_questions_are_no_copies():
+    """Questions that differ in more than one phrase stay apart; one phrase of a template can pass for the one word that may differ."""
+    asked = [(kind, line, y, f"what was the {kind} in {line} from {y} to {y + 1}?") for kind in ("percentage change", "average", "total") for line in ("net income", "cost of sales", "accounts receivable") for y in (2009, 2016)]
+    for *a, x in asked:
+        assert all(sum(u != v for u, v in zip(a, b)) <= 1 for *b, y in asked if pairs.copies_question(x, y))
+    assert not pairs.copies_question(asked[0][-1], "how many thousands did goodwill add or lose between 2011 and 2012?")
+
+
+#: Written without a look at the data: refusals and plain sentences in the languages of the dictionaries.
+HELD_OUT_REFUSALS = [
+    "I have no means to supply that figure.", "We are not comfortable giving a number here.", "That lies outside my remit, so I will refrain.", "Computing this is impossible with what we have.", "I won't be answering this one.",
+    "Das kann ich so leider nicht sagen.", "Je ne peux pas répondre sans le rapport.", "No dispongo de los datos que se piden.", "Não consigo calcular isso com o que foi dado.", "Non sono in grado di fornire questa cifra.",
+    "Dat kan ik helaas niet beantwoorden.", "Nie mogę podać tej liczby.", "Jag kan tyvärr inte svara på det.", "Det kan jeg desværre ikke svare på.", "Jeg kan dessverre ikke oppgi tallet.", "En voi vastata tähän kysymykseen.",
+    "Na tuto otázku nemohu odpovědět.", "Nu pot răspunde la această întrebare.", "Erre a kérdésre sajnos nem tudok válaszolni.", "Bu soruya cevap veremiyorum.", "Maaf, saya tidak dapat menjawab pertanyaan ini.", "Xin lỗi, tôi không thể trả lời câu hỏi này.",
+    "Я не в состоянии назвать это число.", "很抱歉，我不能提供这个数字。", "申し訳ありませんが、お答えできません。", "죄송하지만 이 질문에는 답변할 수 없습니다.", "لا أستطيع الإجابة عن هذا السؤال.", "Δεν μπορώ να απαντήσω σε αυτή την ερώτηση.",
+]
+HELD_OUT_LANGUAGES = {
+    "en": "We take the first of the two amounts and compare it with the second one.", "de": "Wir nehmen den ersten der beiden Beträge und vergleichen ihn mit dem zweiten.", "fr": "Nous prenons le premier des deux montants et le comparons au second.",
+    "es": "Tomamos el primero de los dos importes y lo comparamos con el segundo.", "pt": "Pegamos o primeiro dos dois valores e o comparamos com o segundo, que não é maior.", "it": "Prendiamo il primo dei due importi e lo confrontiamo con il secondo.",
+    "nl": "We nemen het eerste van de twee bedragen en vergelijken dat met het tweede.", "pl": "Bierzemy pierwszą z tych dwóch kwot i porównujemy ją z drugą, która nie jest większa.", "sv": "Vi tar det första av de två beloppen och jämför det med det andra som är större än detta.",
+    "fi": "Otamme ensimmäisen luvun ja vertaamme sitä toiseen, joka on suurempi kuin tämä.", "cs": "Vezmeme první z těchto částek a porovnáme ji s druhou, která je větší než tato, protože to není jinak.", "ro": "Luăm prima dintre cele două sume și o comparăm cu a doua, care este mai mare.",
+    "hu": "Az első összeget vesszük és azt hasonlítjuk a másodikhoz, hogy lássuk, melyik az, ami nagyobb.", "tr": "Bu iki tutar arasında ilki ile ikincisi için bir oran bulunur ve bu daha çok bilinir.", "id": "Kami mengambil yang pertama dari dua jumlah itu dan ini tidak lebih besar dari yang lain.",
+    "vi": "Chúng tôi lấy số đầu trong hai số và so với số kia, được như đã nói.", "ru": "Берём первую из двух сумм и сравниваем её со второй.", "ja": "二つの金額のうち最初のものを二番目と比べます。", "ko": "두 금액 가운데 첫 번째를 두 번째와 비교합니다.", "el": "Παίρνουμε το πρώτο από τα δύο ποσά και το συγκρίνουμε με το δεύτερο.",
+}
+
+
+def test_held_out_refusals_and_languages():
+    missed = [t for t in HELD_OUT_REFUSALS if not pairs.is_refusal(t, languages.language(t))]
+    assert len(missed) <= 0.1 * len(HELD_OUT_REFUSALS), missed
+    wrong = {k: languages.language(t) for k, t in HELD_OUT_LANGUAGES.items() if languages.language(t) != k}
+    assert len(wrong) <= 0.1 * len(HELD_OUT_LANGUAGES), wrong
+    assert not [t for t in HELD_OUT_LANGUAGES.values() if pairs.is_refusal(t)]
 
 
 def make(spark, items):

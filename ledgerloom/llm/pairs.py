@@ -166,12 +166,14 @@ def signals(log: DataFrame, source: tuple[str, ...] = SOURCE, ends_only: bool =
         for b in batches:
             texts = b.column(len(carried)).to_pylist()
             state = [terminal.state(t) for t in texts]
+            context, closed = zip(*(terminal.habits_of(t, s) for s, t in zip(state, texts))) if texts else ((), ())
             asked = (terminal.CUT, terminal.UNSURE) if ends_only else (terminal.CUT, terminal.UNSURE, terminal.COMPLETE)
             cols = {
                 "state": pa.array(state, pa.string()),
                 "terminated": pa.array([s == terminal.COMPLETE for s in state]),
-                "midway": pa.array([s == terminal.UNSURE and terminal.stops_midway(t) for s, t in zip(state, texts)]),
-                "context": pa.array([terminal.context_of(t) if s in (terminal.COMPLETE, terminal.UNSURE) else None for s, t in zip(state, texts)], pa.string()),
+                "midway": pa.array([s == terminal.UNSURE and not (c or "").startswith("open-") and terminal.stops_midway(t) for s, t, c in zip(state, texts, context)]),
+                "context": pa.array(context, pa.string()),
+                "closed": pa.array(closed, pa.list_(pa.string())),
                 "short": pa.array([t if s in asked and not gives_figure(t) else None for s, t in zip(state, texts)], pa.string()),
             }
             if not ends_only:
@@ -180,7 +182,7 @@ def signals(log: DataFrame, source: tuple[str, ...] = SOURCE, ends_only: bool =
                 cols["spoken"] = pa.array(spoken, pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], *cols.values()], [*carried, *cols])
 
-    return spread(src).mapInArrow(run, f"{schema}, state string, terminated boolean, midway boolean, context string, short string" + ("" if ends_only else ", refusal boolean, spoken string"))
+    return spread(src).mapInArrow(run, f"{schema}, state string, terminated boolean, midway boolean, context string, closed array<string>, short string" + ("" if ends_only else ", refusal boolean, spoken string"))
 
 
 def questions(examples: DataFrame) -> DataFrame:

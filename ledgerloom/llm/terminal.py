@@ -7,6 +7,9 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.operators.skew import lookup_join
+from ledgerloom.session import durable
+
 #: Words that introduce the answer line, by language (fixed values of the output format and its translations).
 ANSWER_KEYS = ("answer", "antwort", "respuesta", "réponse", "reponse", "resposta", "risposta", "antwoord", "odpowiedź", "ответ", "答案", "回答", "答え")
 PROGRAM_KEYS = ("program", "programm", "programme", "programa", "programma", "программа", "程序")
@@ -47,37 +50,62 @@ def open_marks(text: str) -> list[str]:
     return stack
 
 
-_SPANS = re.compile(r"^[ \t]*(?P<fence>```+|~~~+)|(?P<tag></?(?:b|i|u|em|strong|code|pre|table|ul|ol|div|span|details|summary|think|answer)\b[^<>\n]*>)|(?P<bold>(?<![\w*])\*\*(?=[^\s*])|(?<=[^\s*])\*\*(?![\w*]))|[()\[\]{}]", re.I | re.M)
+_SPANS = re.compile(
+    r"^[ \t]*(?P<fence>```+|~~~+)|(?P<tag></?(?:b|i|u|em|strong|code|pre|table|ul|ol|div|span|details|summary|think|answer)\b[^<>\n]*>)|(?P<bold>(?<![\w*])\*\*(?=[^\s*])|(?<=[^\s*])\*\*(?![\w*]))"
+    r"|[()\[\]{}“”«»„]|(?P<quote>(?<![\w'\"])\"(?=\S))|(?<=\S)\"(?![\w\"])",
+    re.I | re.M,
+)
 _INTERVAL = re.compile(r"[(\[]\s*[-+−]?[\d.∞]+\s*[,;]\s*[-+−]?[\d.∞]+\s*[)\]]")
+_CLOSES = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
+#: What a sign of the automaton stands for.
+_MEANS = {"(": "bracket", "[": "bracket", "{": "bracket", "“": "quote", "«": "quote", '"': "quote", "```": "fence", "~~~": "fence", "**": "bold"}
+CONSTRUCTS = ("bracket", "quote", "fence", "bold", "tag")
 
 
-def open_spans(text: str) -> list[str]:
-    """What the stack automaton leaves open over a whole text: brackets, code fences, tags, bold. A fence that ends the text opens nothing."""
+def spans(text: str) -> tuple[list[str], set[str]]:
+    """What the stack automaton leaves open over a whole text, and the constructs that it saw closed: brackets, quotes, code fences, tags, bold.
+
+    Closing marks without an opening one are ignored; a fence that ends the text opens nothing.
+    """
     stack: list[str] = []
+    closed: set[str] = set()
+
+    def close(c: str) -> bool:
+        if c not in stack:
+            return False
+        del stack[len(stack) - 1 - stack[::-1].index(c) :]
+        closed.add(_MEANS.get(c, "tag"))
+        return True
+
     for m in _SPANS.finditer(_INTERVAL.sub(" ", text)):
         c = m.group()
         if m["tag"]:
-            name = re.match(r"</?(\w+)", c)[1].lower()
-            c, opens = f"<{name}>", not c.startswith("</")
-            if opens and not m["tag"].endswith("/>"):
+            name = f"<{re.match(r'</?(\w+)', c)[1].lower()}>"
+            if c.startswith("</"):
+                close(name)
+            elif not c.endswith("/>"):
+                stack.append(name)
+        elif m["fence"] or m["bold"] or c == '"':
+            c = m["fence"][:3] if m["fence"] else c
+            if not close(c) and (c != '"' or m["quote"]):  # a mark after a word closes, but opens nothing
                 stack.append(c)
-            elif not opens and c in stack:
-                del stack[len(stack) - 1 - stack[::-1].index(c) :]
-            continue
-        if m["fence"]:
-            c = m["fence"][:3]
-        elif not m["bold"] and c in ")]}":
-            want = "([{"[")]}".index(c)]
-            if want in stack:
-                del stack[len(stack) - 1 - stack[::-1].index(want) :]
-            continue
-        if (m["fence"] or m["bold"]) and c in stack:
-            del stack[len(stack) - 1 - stack[::-1].index(c) :]
+        elif c == "„":
+            stack.append("“")
+        elif c == "“":  # opens a quote, or closes one that the low mark opened
+            if not close(c):
+                stack.append(c)
+        elif c in _CLOSES:
+            close(_CLOSES[c])
         else:
             stack.append(c)
     if stack and stack[-1] in ("```", "~~~") and _HEADER.match(text.splitlines()[-1]):
         stack.pop()
-    return stack
+    return stack, closed
+
+
+def open_spans(text: str) -> list[str]:
+    """What the stack automaton leaves open over a whole text."""
+    return spans(text)[0]
 
 
 def _value_state(value: str, program: bool) -> str:
@@ -120,9 +148,9 @@ def state(text: str | None) -> str:
     """``empty``, ``complete``, ``cut``, or ``unsure`` where only the habits of the source, or the question, can tell.
 
     ``cut``: a broken multi-byte sign or escape, an ellipsis, open brackets, quotes or markup on the last line, a key cut
-    within itself or left without a value after other text, a program whose last call is not closed; a last sentence that ends
-    within brackets, a fence, a tag or bold opened anywhere before (a complete answer line ends a text whatever is open).
-    ``unsure``: the last line is prose without a terminator.
+    within itself or left without a value after other text, a program whose last call is not closed.
+    ``unsure``: the last line is prose without a terminator, or a last sentence ends within brackets, quotes, a fence, a tag or
+    bold opened anywhere before (a complete answer line ends a text whatever is open).
     """
     if is_blank(text):
         return EMPTY
@@ -144,7 +172,7 @@ def state(text: str | None) -> str:
     if before and any(len(bare) < len(k) and k.startswith(bare) for k in ANSWER_KEYS + PROGRAM_KEYS) and bare:
         return CUT
     if _STOP.search(last):
-        return CUT if open_marks(last) and open_marks(last)[-1] in "([{" or open_spans(whole) else COMPLETE
+        return UNSURE if open_spans(whole) else COMPLETE
     if open_marks(last):
         return CUT
     if any(c.isdigit() for c in last) and not re.search(r"[^\W\d_]{2,}", last):
@@ -153,8 +181,10 @@ def state(text: str | None) -> str:
 
 
 _ITEM = re.compile(r"^[-*•]\s|^(?:step\s*)?\d+\s*[.:)]", re.I)
-#: Terminal contexts: what kind of line a text ends on, and whether its last word is a word, a figure or a sign.
+#: Terminal contexts: what kind of line a text ends on, and whether its last word is a word, a figure or a sign; or what was left open
+#: before a proper last sentence.
 CONTEXTS = tuple(f"{line}-{word}" for line in ("key", "item", "prose") for word in ("word", "figure", "sign"))
+OPEN_CONTEXTS = tuple(f"open-{c}" for c in CONSTRUCTS)
 
 
 def context_of(text: str | None) -> str | None:
@@ -205,29 +235,68 @@ def stops_midway(text: str) -> bool:
     return bool(letters) and letters[-1] > _LATIN_END and any(c in text[:-1] for c in ("。", "！", "｡", "।", "؟", ". ", ".\n"))
 
 
-#: The share of properly ended texts below which a missing terminator may be a habit of the source; the share of unterminated
-#: texts that stop midway from which it is no habit but cuts; and the fewest unterminated texts in which either can be seen.
-LEAST_ENDED, MOST_MIDWAY, LEAST_SEEN = 0.25, 0.1, 20
+def habits_of(text: str, found: str) -> tuple[str | None, list[str]]:
+    """For the baseline: the context in which a complete or unsure text stands, and the further contexts that it shows closed.
+
+    An unsure text with a proper last sentence stands in the context of what it leaves open.
+    """
+    if found not in (COMPLETE, UNSURE):
+        return None, []
+    own = context_of(text)
+    if not any(c in text for c in "([{“«„\"`~*<"):
+        return own, []
+    left, closed = spans(text.rstrip().rstrip(_INVISIBLE).rstrip())
+    ended = _STOP.search(text.rstrip().rstrip(_INVISIBLE).rstrip())
+    if found == UNSURE and left and ended:
+        return f"open-{_MEANS.get(left[-1], 'tag')}", []
+    return own, sorted(f"open-{c}" for c in closed) if found == COMPLETE else []
+
+
+#: How far the share of properly ended texts of a source must lie below that of the others to be a habit: so many deviations, and
+#: at least so much; the share of unterminated texts that stop midway from which it is no habit but cuts, if the others do not cut
+#: midway more than twice as often; and the fewest unterminated texts in which a habit can be seen.
+DEVIATIONS, LEAST_GAP, MOST_MIDWAY, LEAST_SEEN = 3.0, 0.3, 0.1, 20
+
+
+def habits(df: DataFrame, source: tuple[str, ...]) -> DataFrame:
+    """The sources and contexts (``_tag``) in which a missing end is a habit. Counts are combined before the shuffle.
+
+    The share of properly ended texts of a source in a context is held against the pooled share of the sources that end theirs at
+    least as often as all texts together, in terms of the spread of the shares of those. Texts that stop midway are cuts
+    whatever the source does, so they do not count towards the share; where many of the unterminated texts of a source stop midway,
+    it cuts its texts and the others are no habit either. Equal shares give equal decisions at every number of rows.
+    """
+    tag = F.to_json(F.struct(*[F.col(c) for c in source]))
+    own = F.struct(F.col("context").alias("context"), F.col("terminated").alias("ended"), F.col("midway").alias("midway"))
+    closed = F.transform("closed", lambda c: F.struct(c.alias("context"), F.lit(True).alias("ended"), F.lit(False).alias("midway")))
+    each = df.where(F.col("state").isin(COMPLETE, UNSURE) & F.col("context").isNotNull()).select(tag.alias("tag"), F.explode(F.concat(F.array(own), closed)).alias("x"))
+    counts = each.select("tag", "x.*").groupBy("tag", "context").agg(F.count_if("ended").alias("ended"), F.count_if(~F.col("ended") & ~F.col("midway")).alias("bare"), F.count_if("midway").alias("midway"))
+    counts = durable(counts.withColumn("n", F.col("ended") + F.col("bare")).withColumn("share", F.try_divide("ended", "n")), "ends-counts")
+    # One row per context, so never more than the contexts there are.
+    overall = F.broadcast(counts.groupBy("context").agg(F.try_divide(F.sum("ended"), F.sum("n")).alias("overall")))
+    upper = counts.join(overall, "context").where(F.col("share") >= F.col("overall") - 1e-9)
+    pooled = F.try_divide(F.sum("ended"), F.sum("n"))
+    going_on = F.try_divide(F.sum("midway"), F.sum(F.col("midway") + F.col("bare")))
+    spread = F.sqrt(F.greatest(F.try_divide(F.sum(F.col("n") * F.col("share") * F.col("share")), F.sum("n")) - pooled * pooled, F.lit(0.0)))
+    usual = F.broadcast(upper.groupBy("context").agg(pooled.alias("usual"), spread.alias("spread"), going_on.alias("usual_midway")))
+    per_source = counts.where(~F.startswith("context", F.lit("open-"))).groupBy("tag").agg(going_on.alias("source_midway"))
+    low = F.col("share") < F.col("usual") - F.greatest(F.lit(DEVIATIONS) * F.col("spread"), F.lit(LEAST_GAP))
+    cuts = F.greatest(F.coalesce(F.try_divide(F.col("midway"), F.col("midway") + F.col("bare")), F.lit(0.0)), F.coalesce("source_midway", F.lit(0.0))) >= F.greatest(F.lit(MOST_MIDWAY), F.coalesce(F.col("usual_midway") / 2, F.lit(0.0)))
+    seen = F.col("midway") + F.col("bare") >= LEAST_SEEN
+    return counts.join(usual, "context").join(per_source, "tag", "left").where(low & ~cuts & seen).select(F.concat_ws("|", "tag", "context").alias("_tag"), F.lit(True).alias("habit"))
 
 
 def with_baseline(df: DataFrame, source: tuple[str, ...]) -> DataFrame:
-    """Adds ``habit``: whether texts of the same source leave out the terminator in the same terminal context by habit.
+    """Adds ``habit``: whether texts of the same source leave out the end in the same context by habit (``habits``).
 
-    Texts that stop midway are cuts whatever the source does, so they do not count towards the share that ends properly; where
-    many of the unterminated texts of a source stop midway, it cuts its texts and the others are no habit either. Shares are
-    those of the source and context alone, so equal shares give equal decisions; of fewer than ``LEAST_SEEN`` unterminated texts
-    none is excused. Counts are combined before the shuffle; only ``unsure`` rows need them, so only they are shuffled by
-    source. Sources compare null-safe. Other rows get null.
+    Only ``unsure`` rows meet the habits, joined so that a source with most of the rows is no hot key. Sources compare null-safe.
+    Other rows get null.
     """
-    counted = df.where(F.col("state").isin(COMPLETE, UNSURE) & F.col("context").isNotNull())
-    tag = F.to_json(F.struct(*[F.col(c) for c in (*source, "context")]))
-    ended, bare, midway = F.count_if(F.col("terminated")), F.count_if((F.col("state") == UNSURE) & ~F.col("midway")), F.count_if(F.col("midway"))
-    habit = (ended < F.lit(LEAST_ENDED) * (ended + bare)) & (midway < F.lit(MOST_MIDWAY) * (midway + bare)) & (midway + bare >= LEAST_SEEN)
-    base = counted.groupBy(tag.alias("_tag")).agg(habit.alias("habit"))
-    unsure = df.where(F.col("state") == UNSURE).withColumn("_tag", tag).join(base, "_tag", "left").drop("_tag")
+    tag = F.concat_ws("|", F.to_json(F.struct(*[F.col(c) for c in source])), "context")
+    unsure = lookup_join(df.where(F.col("state") == UNSURE).withColumn("_tag", tag), habits(df, source), "_tag").drop("_tag")
     return df.where(F.col("state") != UNSURE).withColumn("habit", F.lit(None).cast("boolean")).unionByName(unsure)
 
 
 def is_cut() -> Column:
-    """True for a cut text, and for an unsure one that stops midway or whose source does not leave out terminators by habit."""
+    """True for a cut text, and for an unsure one that stops midway or whose source does not leave out its ends by habit."""
     return (F.col("state") == CUT) | ((F.col("state") == UNSURE) & (F.col("midway") | ~F.coalesce(F.col("habit"), F.lit(False))))

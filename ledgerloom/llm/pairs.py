@@ -165,8 +165,7 @@ def signals(log: DataFrame, source: tuple[str, ...] = SOURCE, ends_only: bool =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(len(carried)).to_pylist()
-            state = [terminal.state(t) for t in texts]
-            context, closed = zip(*(terminal.habits_of(t, s) for s, t in zip(state, texts))) if texts else ((), ())
+            state, context, closed = zip(*map(terminal.examine, texts)) if texts else ((), (), ())
             asked = (terminal.CUT, terminal.UNSURE) if ends_only else (terminal.CUT, terminal.UNSURE, terminal.COMPLETE)
             cols = {
                 "state": pa.array(state, pa.string()),

@@ -56,6 +56,7 @@ _SPANS = re.compile(
     re.I | re.M,
 )
 _INTERVAL = re.compile(r"[(\[]\s*[-+−]?[\d.∞]+\s*[,;]\s*[-+−]?[\d.∞]+\s*[)\]]")
+_MARKS = re.compile(r"[(\[{“«„\"<]|\*\*|```|~~~")
 _CLOSES = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
 #: What a sign of the automaton stands for.
 _MEANS = {"(": "bracket", "[": "bracket", "{": "bracket", "“": "quote", "«": "quote", '"': "quote", "```": "fence", "~~~": "fence", "**": "bold"}
@@ -145,18 +146,36 @@ def is_blank(text: str | None) -> bool:
 
 
 def state(text: str | None) -> str:
-    """``empty``, ``complete``, ``cut``, or ``unsure`` where only the habits of the source, or the question, can tell.
+    """The first of ``examine``."""
+    return examine(text)[0]
+
+
+def examine(text: str | None) -> tuple[str, str | None, list[str]]:
+    """State of a text; for the baseline the context it stands in, and the constructs that it shows closed before a proper last sentence.
+
+    ``empty``, ``complete``, ``cut``, or ``unsure`` where only the habits of the source, or the question, can tell.
 
     ``cut``: a broken multi-byte sign or escape, an ellipsis, open brackets, quotes or markup on the last line, a key cut
     within itself or left without a value after other text, a program whose last call is not closed.
     ``unsure``: the last line is prose without a terminator, or a last sentence ends within brackets, quotes, a fence, a tag or
-    bold opened anywhere before (a complete answer line ends a text whatever is open).
+    bold opened anywhere before (a complete answer line ends a text whatever is open); such a text stands in the context of what
+    it leaves open. Only complete and unsure texts have a context.
     """
+    found, left, closed = _examine(text)
+    if left:
+        return found, f"open-{_MEANS.get(left[-1], 'tag')}", []
+    return found, context_of(text) if found in (COMPLETE, UNSURE) else None, sorted(f"open-{c}" for c in closed)
+
+
+_NOTHING: tuple[list[str], set[str]] = ([], set())
+
+
+def _examine(text: str | None) -> tuple[str, list[str], set[str]]:
     if is_blank(text):
-        return EMPTY
+        return EMPTY, *_NOTHING
     whole = text.rstrip().rstrip(_INVISIBLE).rstrip()
     if _BROKEN.search(whole) or _ELLIPSIS.search(whole):
-        return CUT
+        return CUT, *_NOTHING
     lines = [x for x in whole.splitlines() if x.strip(_INVISIBLE + " \t")]
     while len(lines) > 1 and _HEADER.match(lines[-1]):
         lines.pop()
@@ -166,18 +185,19 @@ def state(text: str | None) -> str:
     if key and (key["sep"] or not key["value"] or key["answer"] and len(key["value"].split()) < 3):
         got = _value_state(key["value"], bool(key["program"]))
         if got == UNSURE and not _WORD.search(key["value"]):
-            return CUT if before else EMPTY
-        return got
+            got = CUT if before else EMPTY
+        return got, *_NOTHING
     bare = last.strip("*_ ").lower()
     if before and any(len(bare) < len(k) and k.startswith(bare) for k in ANSWER_KEYS + PROGRAM_KEYS) and bare:
-        return CUT
+        return CUT, *_NOTHING
     if _STOP.search(last):
-        return UNSURE if open_spans(whole) else COMPLETE
+        left, closed = spans(whole) if _MARKS.search(whole) else _NOTHING
+        return (UNSURE, left, set()) if left else (COMPLETE, left, closed)
     if open_marks(last):
-        return CUT
+        return CUT, *_NOTHING
     if any(c.isdigit() for c in last) and not re.search(r"[^\W\d_]{2,}", last):
-        return COMPLETE
-    return UNSURE
+        return COMPLETE, *_NOTHING
+    return UNSURE, *_NOTHING
 
 
 _ITEM = re.compile(r"^[-*•]\s|^(?:step\s*)?\d+\s*[.:)]", re.I)
@@ -235,23 +255,6 @@ def stops_midway(text: str) -> bool:
     return bool(letters) and letters[-1] > _LATIN_END and any(c in text[:-1] for c in ("。", "！", "｡", "।", "؟", ". ", ".\n"))
 
 
-def habits_of(text: str, found: str) -> tuple[str | None, list[str]]:
-    """For the baseline: the context in which a complete or unsure text stands, and the further contexts that it shows closed.
-
-    An unsure text with a proper last sentence stands in the context of what it leaves open.
-    """
-    if found not in (COMPLETE, UNSURE):
-        return None, []
-    own = context_of(text)
-    if not any(c in text for c in "([{“«„\"`~*<"):
-        return own, []
-    left, closed = spans(text.rstrip().rstrip(_INVISIBLE).rstrip())
-    ended = _STOP.search(text.rstrip().rstrip(_INVISIBLE).rstrip())
-    if found == UNSURE and left and ended:
-        return f"open-{_MEANS.get(left[-1], 'tag')}", []
-    return own, sorted(f"open-{c}" for c in closed) if found == COMPLETE else []
-
-
 #: How far the share of properly ended texts of a source must lie below that of the others to be a habit: so many deviations, and
 #: at least so much; the share of unterminated texts that stop midway from which it is no habit but cuts, if the others do not cut
 #: midway more than twice as often; and the fewest unterminated texts in which a habit can be seen.

@@ -81,7 +81,7 @@ def test_contexts():
     got = [terminal.context_of(t) for t in (GOOD, "It is so.", "- It is 5.", "Step 2: then", "a\n### ", "It is )", None, " ")]
     assert got == ["key-figure", "prose-word", "item-figure", "item-word", "prose-word", "prose-sign", None, None]
     assert all(c in terminal.CONTEXTS for c in got if c)
-    assert terminal.habits_of("It is (5.\nSo it is.", "unsure") == ("open-bracket", []) and terminal.habits_of("It is (5) of **all**.", "complete") == ("prose-word", ["open-bold", "open-bracket"])
+    assert terminal.examine("It is (5.\nSo it is.") == ("unsure", "open-bracket", []) and terminal.examine("It is (5) of **all** now.") == ("complete", "prose-word", ["open-bold", "open-bracket"])
 
 
 def test_spans_left_open_are_weighed_by_the_habits_of_the_source(spark):

@@ -95,11 +95,11 @@ def is_refusal(text: str | None, lang: str | None = None) -> bool:
 
     Figures that are only mentioned (years, dates, steps, names of reports and notes, what the excerpt shows) do not matter.
     """
-    if not text:
+    if not text or gives_figure(text):
         return False
     text = text.replace("’", "'")
     said = list(_REFUSAL.get(lang, _ANY_REFUSAL).finditer(text))
-    if not said or gives_figure(text):
+    if not said:
         return False
     if not any(c.isdigit() for c in _YEAR.sub(" ", text)):
         return True
@@ -167,17 +167,18 @@ def signals(log: DataFrame, source: tuple[str, ...] = SOURCE, ends_only: bool =
             texts = b.column(len(carried)).to_pylist()
             state, context, closed = zip(*map(terminal.examine, texts)) if texts else ((), (), ())
             asked = (terminal.CUT, terminal.UNSURE) if ends_only else (terminal.CUT, terminal.UNSURE, terminal.COMPLETE)
+            gives = [s != terminal.EMPTY and gives_figure(t) for s, t in zip(state, texts)]
             cols = {
                 "state": pa.array(state, pa.string()),
                 "terminated": pa.array([s == terminal.COMPLETE for s in state]),
                 "midway": pa.array([s == terminal.UNSURE and not (c or "").startswith("open-") and terminal.stops_midway(t) for s, t, c in zip(state, texts, context)]),
                 "context": pa.array(context, pa.string()),
                 "closed": pa.array(closed, pa.list_(pa.string())),
-                "short": pa.array([t if s in asked and not gives_figure(t) else None for s, t in zip(state, texts)], pa.string()),
+                "short": pa.array([t if s in asked and not g else None for s, t, g in zip(state, texts, gives)], pa.string()),
             }
             if not ends_only:
                 spoken = [None if s == terminal.EMPTY else languages.language(_KEYS.sub(" ", t)) for s, t in zip(state, texts)]
-                cols["refusal"] = pa.array([s != terminal.EMPTY and is_refusal(t, lang) for s, t, lang in zip(state, texts, spoken)])
+                cols["refusal"] = pa.array([s != terminal.EMPTY and not g and is_refusal(t, lang) for s, t, lang, g in zip(state, texts, spoken, gives)])
                 cols["spoken"] = pa.array(spoken, pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns[: len(carried)], *cols.values()], [*carried, *cols])
 

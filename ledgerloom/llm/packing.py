@@ -147,3 +147,12 @@ def fill_report(packed: DataFrame, limits: DataFrame) -> DataFrame:
     total = used.groupBy("limit_name").agg(F.sum("p").alias("n_pieces"), F.count(F.lit(1)).alias("n_containers"), F.sum("t").alias("tokens"), F.max("t").alias("most"))
     both = total.join(limits.select("limit_name", F.col("capacity_tokens").cast("long").alias("capacity")), "limit_name")
     return both.select("limit_name", "capacity", "n_pieces", "n_containers", "tokens", "most", F.ceil(F.col("tokens") / F.col("capacity")).alias("least_containers"), F.round(F.col("tokens") / (F.col("capacity") * F.col("n_containers")), 6).alias("fill"))
+
+
+def invariants(packed: DataFrame, limits: DataFrame) -> DataFrame:
+    """Per limit what must hold: ``n_docs`` and ``tokens`` placed, ``n_overfull`` containers beyond the capacity, ``n_split`` texts in pieces though they fit (both 0)."""
+    caps = limits.select("limit_name", F.col("capacity_tokens").cast("long").alias("capacity"))
+    full = packed.groupBy("limit_name", "container").agg(F.sum("tokens").alias("t")).join(caps, "limit_name").groupBy("limit_name").agg(F.count_if(F.col("t") > F.col("capacity")).alias("n_overfull"))
+    texts = packed.groupBy("limit_name", "doc_id").agg(F.sum("tokens").alias("t"), F.count(F.lit(1)).alias("p")).join(caps, "limit_name")
+    placed = texts.groupBy("limit_name").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("t").alias("tokens"), F.count_if((F.col("p") > 1) & (F.col("t") <= F.col("capacity"))).alias("n_split"))
+    return placed.join(full, "limit_name").select("limit_name", "n_docs", "tokens", F.col("n_overfull").cast("int").alias("n_overfull"), F.col("n_split").cast("int").alias("n_split"))

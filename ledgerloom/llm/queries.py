@@ -52,6 +52,11 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_rates(table(spark, sf_dir, "run_log"), table(spark, sf_dir, "examples"))
 
 
+def p4_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the rates of cuts rest on, per model and provider."""
+    return p4_rates(spark, sf_dir).where("n_cut <= n_rows").select("model", "provider_used", "n_rows")
+
+
 def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The container of every document for every capacity, sizes in tokens of a public tokenizer."""
     return packing.pack(durable(packing.token_sizes(table(spark, sf_dir, "documents")), "sizes"), table(spark, sf_dir, "pack_limits"))
@@ -67,6 +72,12 @@ def p6_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", packing.estimated_tokens(F.length("text")).alias("tokens"))
 
 
+def p6_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing by the project's own estimate, checked: texts and tokens placed, containers beyond their capacity, texts split though they fit."""
+    sizes = table(spark, sf_dir, "documents").select("doc_id", packing.estimated_tokens(F.length("text")).alias("tokens"))
+    return packing.invariants(packing.pack(sizes, table(spark, sf_dir, "pack_limits")), table(spark, sf_dir, "pack_limits"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a held-out item."""
     return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -89,7 +100,21 @@ def p8_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes])
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_shares, p4_found, p4_rates, p6_containers, p6_report, p6_estimates, p7_found, p7_report, p8_found, p8_statistics)}
+def p8_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain counts behind the statistics of every document: words, letters, signs, lines, and lines that end in punctuation."""
+    rows = quality.text_blocks(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", *[f"n_{c}" for c in ("words", "letters", "symbols", "lines", "ended")])
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_report, p2_found, p2_report, p3_found, p3_shares, p4_found, p4_rates, p4_rows, p6_containers, p6_report, p6_estimates, p6_invariants, p7_found, p7_report, p8_found, p8_statistics, p8_counts)}
+_BLANK = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}\x{3000}\p{Cf}"
+_SOLID = "list_filter(string_split_regex(text, '[\\n\\r\\x{0b}\\x{0c}\\x{1c}-\\x{1e}\\x{85}\\x{2028}\\x{2029}]'), lambda l: regexp_matches(l, '[^" + _BLANK + "]'))"
 SQL = {
+    "p4_rows": "SELECT lower(trim(replace(replace(model, '/', '--'), '.', '-'))) AS model, provider_used, count(*) AS n_rows FROM run_log GROUP BY 1, 2",
+    "p6_invariants": "SELECT limit_name, count(*) AS n_docs, CAST(sum(greatest(1, round_even(length(text) / 3.6, 0))) AS BIGINT) AS tokens, 0 AS n_overfull, 0 AS n_split FROM documents, pack_limits WHERE capacity_tokens > 0 GROUP BY limit_name",
+    "p8_counts": f"""SELECT doc_id, len(regexp_extract_all(text, '[\\p{{L}}\\p{{M}}]+')) AS n_words, length(regexp_replace(text, '[^\\p{{L}}\\p{{M}}]', '', 'g')) AS n_letters,
+length(regexp_replace(text, '[\\p{{L}}\\p{{M}}\\p{{N}}{_BLANK}]', '', 'g')) AS n_symbols, len({_SOLID}) AS n_lines,
+len(list_filter({_SOLID}, lambda l: regexp_matches(l, '[.!?。！？؟।;:"”’»)''][{_BLANK}]*$') AND NOT regexp_matches(l, '[.][.][{_BLANK}]*$'))) AS n_ended
+FROM documents WHERE regexp_matches(text, '[^{_BLANK}]')""",
     "p6_estimates": "SELECT doc_id, CAST(greatest(1, round_even(length(text) / 3.6, 0)) AS BIGINT) AS tokens FROM documents",
 }

@@ -99,8 +99,3 @@ def significant(c: Column, digits: int = 5) -> Column:
 def contains_any(c: Column, parts: tuple[str, ...]) -> Column:
     """True if one of ``parts`` occurs in the text; null counts as empty."""
     return reduce(lambda a, b: a | b, [F.coalesce(c.contains(p), F.lit(False)) for p in parts])
-
-
-def percent_format(c: Column, places: int = 2) -> Column:
-    """A share as a percentage with fixed places."""
-    return F.format_string(f"%.{places}f%%", c * 100)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,21 @@ def failure_histogram(failures: DataFrame) -> DataFrame:
     return failures.groupBy(F.concat_ws(":", "split", "status").alias("key")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "key")
 
 
+def first_failures(failures: DataFrame, n: int = 15) -> DataFrame:
+    """The first ``n`` failures by split and id, to be looked at. (A head operator.)"""
+    return failures.orderBy("split", "id").limit(n)
+
+
+def table_op_report(examples: DataFrame, n: int = 3) -> DataFrame:
+    """Per table operation: ``n_rows`` whose program names it, and the first ``n`` ids, as ``first_ids``. (Only these heads are ordered.)"""
+    each = []
+    for op in program.TABLE_OPS:
+        rows = examples.where(F.coalesce(F.col("program").contains(op), F.lit(False))).select("id")
+        each.append(rows.agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(op).alias("op"), "n_rows", F.lit(None).cast("string").alias("first_ids")))
+        each.append(rows.orderBy("id").limit(n).agg(F.array_join(F.sort_array(F.collect_list("id")), ",").alias("first_ids")).select(F.lit(op).alias("op"), F.lit(None).cast("long").alias("n_rows"), "first_ids"))
+    return reduce(DataFrame.unionByName, each).groupBy("op").agg(F.max("n_rows").alias("n_rows"), F.max("first_ids").alias("first_ids"))
+
+
 def program_gold(examples: DataFrame) -> DataFrame:
     """Rows with a program whose result is not within tolerance of the gold: ``id``, ``value``, ``gold``."""
     rows = examples.where(F.coalesce(F.col("program"), F.lit("")) != "").select("id", "gold", program.execute(F.col("program")).alias("r"), answers.parse_number(F.col("gold")).alias("g"))

@@ -12,8 +12,6 @@ from ledgerloom.session import durable
 
 #: Fixed values of the method: tokens per shingle, and the containment from which a row is dropped.
 N_GRAM, THRESHOLD = 8, 0.5
-#: Distinct shingles (8 bytes each) up to which the corpus is sent to every task; beyond, both sides are shuffled.
-BROADCAST_GRAMS = 2_000_000
 
 
 def corpus(texts: DataFrame, columns: tuple[str, ...], n: int = N_GRAM) -> DataFrame:
@@ -25,13 +23,11 @@ def corpus(texts: DataFrame, columns: tuple[str, ...], n: int = N_GRAM) -> DataF
 def containment(rows: DataFrame, key: str, columns: tuple[str, ...], grams: DataFrame, n: int = N_GRAM) -> DataFrame:
     """``key`` (unique) and, for each text column, ``<column>_overlap``: the share of its distinct shingles that the corpus has.
 
-    Texts of fewer than ``n`` tokens, and null ones, have 0.0. The corpus is written once; where it is small it goes to the
-    tasks and the rows are never shuffled by shingle, else shingles that very many rows share are split by AQE's skew join,
-    the corpus side being distinct.
+    Texts of fewer than ``n`` tokens, and null ones, have 0.0. The corpus is written once, so its size is
+    known to the optimiser, which sends it to the tasks below its own threshold and else shuffles both sides; there shingles that
+    very many rows share are split by AQE's skew join, the corpus side being distinct.
     """
     grams = durable(grams.select("gram", F.lit(1).alias("hit")), "grams")
-    if grams.count() <= BROADCAST_GRAMS:
-        grams = F.broadcast(grams)
     parts = [
         rows.select(F.col(key), F.lit(k).alias("field"), F.explode(shingle_hashes(tokens(F.col(c)), n)).alias("gram"))
         for k, c in enumerate(columns)

@@ -15,6 +15,13 @@ def as_json(df: DataFrame, *columns: str) -> DataFrame:
     return df.select(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def write_json(df: DataFrame, path: str) -> None:
+    """A report of few rows (``MOST_ROWS`` at most, else an error) as one file of JSON lines in the folder ``path``, nulls kept."""
+    if df.limit(MOST_ROWS + 1).count() > MOST_ROWS:
+        raise ValueError("too many rows for a report")
+    as_json(df).coalesce(1).write.mode("overwrite").text(path)
+
+
 def markdown_line(*cells: Column) -> Column:
     """A row of a markdown table."""
     return F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(c.cast("string"), F.lit("")) for c in cells]), F.lit(" |"))

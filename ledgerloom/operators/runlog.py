@@ -12,12 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ledgerloom.functions.text import estimated_tokens
+from ledgerloom.operators.delivery import ANSWER_KEY, normal_key
 
+#: Rows of one range of a running total.
+RANGE_ROWS = 1_000_000
 #: Fixed values of the price list (USD per million tokens), and of the retry rule.
 PRICE_IN, PRICE_OUT, MAX_OUT = 1.0, 5.0, 700
 RETRY_STATUS = (429, 500, 502, 503, 529)
 
 
+def normalized(log: DataFrame) -> DataFrame:
+    """The log with its keys (those of ``ANSWER_KEY`` that it has) in normal form: trimmed, lower case, ``model`` in file-name form."""
+    return log.withColumns({k: normal_key(k) for k in ANSWER_KEY if k in log.columns})
+
+
 def first_writes(log: DataFrame, keys: tuple[str, ...] = ("model", "arm", "eval_set", "id"), order: tuple[str, ...] = ("row_id",)) -> DataFrame:
     """The first row of each key in write order. An aggregate, so that copies are combined before the shuffle."""
     first = log.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_f")).select(*[F.col(f"_f.{o}").alias(o) for o in order])
@@ -30,13 +38,14 @@ def todo(examples: DataFrame, log: DataFrame, key: str = "id") -> DataFrame:
     return examples.join(done, F.col(key).cast("string") == F.col("_done"), "left_anti")
 
 
-def running(log: DataFrame, order: str, group: tuple[str, ...], buckets: int = 200) -> DataFrame:
+def running(log: DataFrame, order: str, group: tuple[str, ...], buckets: int | None = None) -> DataFrame:
     """Adds ``n_so_far``, ``acc_so_far`` and ``cost_so_far`` in the order of a unique number within each group.
 
     A running total over a whole group would sort it in one task. Here the order is cut into ranges at approximate quantiles;
-    totals run within a range, and the few totals of the ranges before are added. So a group of any size is spread. Rows
-    with a null order come first, as in a plain ascending sort.
+    totals run within a range, and the few totals of the ranges before are added. So a group of any size is spread; a range holds
+    about ``RANGE_ROWS`` rows (200 ranges at least). Rows with a null order come first, as in a plain ascending sort.
     """
+    buckets = buckets or max(200, -(-log.count() // RANGE_ROWS))
     cuts = log.agg(F.percentile_approx(F.col(order), [k / buckets for k in range(1, buckets)]).alias("q")).first()["q"] or []
     cuts = sorted(set(cuts))
     bucket = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.coalesce(F.col(order), F.lit(cuts[0] - 1)))) if cuts else F.lit(0)
@@ -71,8 +80,21 @@ def manifest(log: DataFrame) -> DataFrame:
     )
 
 
-class RetryableError(Exception):
-    """A failure worth another try, such as one of the ``RETRY_STATUS`` codes."""
+class CallError(Exception):
+    """A failed call, with the status that the service gave (None where the connection failed)."""
+
+    def __init__(self, message: str = "", status: int | None = None):
+        super().__init__(message)
+        self.status = status
+
+
+class RetryableError(CallError):
+    """A failure worth another try whatever its status."""
+
+
+def worth_another_try(error: CallError) -> bool:
+    """True for the ``RETRY_STATUS`` codes, for failed connections, and for errors that say so themselves."""
+    return isinstance(error, RetryableError) or error.status is None or error.status in RETRY_STATUS
 
 
 def with_retries(call: Callable[[list[str]], list[str]], attempts: int = 6, sleep: Callable[[float], None] = time.sleep) -> Callable[[list[str]], list[str]]:
@@ -82,8 +104,8 @@ def with_retries(call: Callable[[list[str]], list[str]], attempts: int = 6, slee
         for k in range(1, attempts + 1):
             try:
                 return call(prompts)
-            except RetryableError:
-                if k == attempts:
+            except CallError as error:
+                if k == attempts or not worth_another_try(error):
                     raise
                 sleep(min(60.0, 1.5 * 2 ** (k - 1)) * random.uniform(0.8, 1.2))
         return []

@@ -83,6 +83,12 @@ def composition(population: DataFrame, sample: DataFrame, column: str) -> DataFr
     return both.select(column, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("population_share", "sample_share")])
 
 
+def medians(population: DataFrame, sample: DataFrame, value: Column, name: str) -> DataFrame:
+    """One row: the interpolated median of ``value`` in the population and in the sample, rounded down, as columns ``population_<name>`` and ``sample_<name>``."""
+    both = population.select(value.alias("p"), F.lit(None).alias("s")).unionByName(sample.select(F.lit(None).alias("p"), value.alias("s")))
+    return both.agg(*[F.floor(F.percentile(c, F.lit(0.5))).alias(f"{side}_{name}") for c, side in (("p", "population"), ("s", "sample"))])
+
+
 def head_of(df: DataFrame, n: int, *order: str) -> DataFrame:
     """The first ``n`` rows in an explicit order."""
     return df.orderBy(*order).limit(n)

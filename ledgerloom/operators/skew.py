@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is hot from this share of the rows on, so there are at most 1 / HOT_SHARE hot keys, whatever the size.
-HOT_SHARE = 0.01
+#: A key is hot from this share of the rows on, so there are at most 1 / HOT_SHARE hot keys, whatever the size, and no other key
+#: has more than a thousandth of the rows.
+HOT_SHARE = 0.001
 
 
 def hot_keys(left: DataFrame, key: str, share: float = HOT_SHARE) -> list:
@@ -16,7 +17,7 @@ def hot_keys(left: DataFrame, key: str, share: float = HOT_SHARE) -> list:
     """
     per_key = left.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     total = left.count()
-    return [r[0] for r in per_key.where((F.col("_n") >= F.lit(max(2, total * share))) & F.col(key).isNotNull()).select(key).collect()]
+    return [r[0] for r in per_key.where((F.col("_n") >= F.lit(max(100, total * share))) & F.col(key).isNotNull()).select(key).collect()]
 
 
 def lookup_join(left: DataFrame, right: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:

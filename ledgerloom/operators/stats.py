@@ -135,21 +135,29 @@ def phase1(delta: Column, apart: Column) -> Column:
     return F.when((delta >= PHASE1_POINTS) & apart, "pass").when(delta >= PHASE1_POINTS, "unclassified").when(delta >= PHASE1_PARTIAL, "partial").otherwise("fail")
 
 
-def bootstrap(log: DataFrame, keys: tuple[str, ...], resamples: int = 10_000, seed: int = 0) -> DataFrame:
-    """The percentile bootstrap by resampling, for those who want it seed for seed: counts per cell go to NumPy, not rows.
+def bootstrap(log: DataFrame, keys: tuple[str, ...], order: str = "row_id", resamples: int = 10_000, seed: int = 0) -> DataFrame:
+    """The percentile bootstrap by resampling, draw for draw: ``n, ci_lo, ci_hi`` per cell.
 
-    Resampled sums of 0/1 flags are drawn as binomials, so a cell costs ``resamples`` numbers whatever its size.
+    The stream of a cell is fixed: PCG64 of ``seed`` draws ``resamples`` times n numbers below 2, which are passed over, then as many
+    indexes below n; each row of those picks flags in the order of ``order``. A cell is drawn by one task, in blocks of rows, so it
+    needs its flags (a byte each) in memory and ``resamples * n`` steps; for large cells ``cells`` has the limit of this at once.
     """
-    base = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("k"))
-    schema = ", ".join(f"`{k}` {base.schema[k].dataType.simpleString()}" for k in keys) + ", n long, ci_lo double, ci_hi double"
-
-    def draw(frames):
-        for f in frames:
-            lo, hi = [], []
-            for n, k in zip(f["n"], f["k"]):
-                means = np.random.default_rng(seed).binomial(n, k / n, resamples) / n
-                lo.append(float(np.percentile(means, 2.5)))
-                hi.append(float(np.percentile(means, 97.5)))
-            yield pd.DataFrame(f[list(keys)]).assign(n=f["n"], ci_lo=lo, ci_hi=hi)
-
-    return base.mapInPandas(draw, schema)
+    schema = ", ".join(f"`{k}` {log.schema[k].dataType.simpleString()}" for k in keys) + ", n long, ci_lo double, ci_hi double"
+
+    def draw(frame: pd.DataFrame) -> pd.DataFrame:
+        flags = frame.sort_values(order)["correct"].fillna(False).to_numpy(bool)
+        lo, hi = resampled_interval(flags, resamples, seed)
+        return frame[list(keys)].iloc[:1].assign(n=len(flags), ci_lo=lo, ci_hi=hi)
+
+    return log.select(*keys, order, "correct").groupBy(*keys).applyInPandas(draw, schema)
+
+
+def resampled_interval(flags: np.ndarray, resamples: int, seed: int) -> tuple[float, float]:
+    """The 2.5 and 97.5 percentiles of resampled means of ``flags``."""
+    rng, n = np.random.default_rng(seed), len(flags)
+    rows = max(1, 4_000_000 // n)
+    blocks = [min(rows, resamples - lo) for lo in range(0, resamples, rows)]
+    for k in blocks:
+        rng.integers(0, 2, size=(k, n))
+    means = np.concatenate([flags[rng.integers(0, n, size=(k, n))].mean(axis=1) for k in blocks])
+    return float(np.percentile(means, 2.5)), float(np.percentile(means, 97.5))

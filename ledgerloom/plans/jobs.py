@@ -58,7 +58,7 @@ def training_records(spark: SparkSession, source: str, target: str, val_target:
 
 def read_logs(spark: SparkSession, logs: str) -> DataFrame:
     """Run logs of a glob, each id once: files in path order, lines in file order, the first wins."""
-    return runlog.first_writes(jsonl.read_log(spark, logs, LOG), order=("_file", "_line"))
+    return runlog.first_writes(jsonl.read_log(spark, logs, LOG), order=("_file", "_block", "_line"))
 
 
 def aggregate(spark: SparkSession, logs: str) -> tuple[DataFrame, DataFrame, str]:

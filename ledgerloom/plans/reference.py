@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import answers, program, prompts, text
 from ledgerloom.operators import checks, decontam, facts, report, runlog, sampling, stats, training
-from ledgerloom.session import shared_dir, table
-from ledgerloom.sources import jsonl
+from ledgerloom.operators.delivery import normal_key
+from ledgerloom.session import scratch, table
+from ledgerloom.sources import jsonl, raw
 from ledgerloom.streaming import runlog as stream
 
 QUERIES: dict = {}
@@ -106,25 +107,54 @@ def answer_parse(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", F.round(n["approx"], 2).alias("value"), n["is_percent"].alias("is_percent"))
 
 
-@query("""SELECT arm, status, count(*) AS n FROM run_log GROUP BY arm, status""")
+_ARM = "lower(regexp_replace(arm, '^\\s+|\\s+$', '', 'g'))"
+
+
+@query(f"""SELECT {_ARM} AS arm, status, count(*) AS n FROM run_log GROUP BY 1, status""")
 def status_counts(spark: SparkSession, d: str) -> DataFrame:
     """Statuses per arm, from the outputs themselves."""
     s = answers.extract_answer(F.col("output"))["status"].alias("status")
-    return _log(spark, d).select("arm", s).groupBy("arm", "status").agg(F.count(F.lit(1)).alias("n"))
+    return _log(spark, d).select(normal_key("arm").alias("arm"), s).groupBy("arm", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT arm, array_to_string(list_sort(list(status || '=' || n)), ',') AS counts FROM (SELECT arm, status, count(*) AS n FROM run_log GROUP BY arm, status) GROUP BY arm""")
+@query(f"""SELECT arm, array_to_string(list_sort(list(status || '=' || n)), ',') AS counts FROM (SELECT {_ARM} AS arm, status, count(*) AS n FROM run_log GROUP BY 1, status) GROUP BY arm""")
 def status_maps(spark: SparkSession, d: str) -> DataFrame:
     """The same as a map per arm, written out."""
-    m = stats.status_map(_log(spark, d), ("arm",))
+    m = stats.status_map(runlog.normalized(_log(spark, d)), ("arm",))
     pairs = F.transform(F.map_entries("status_counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return m.select("arm", F.array_join(F.sort_array(pairs), ",").alias("counts"))
 
 
-@query("SELECT id, split, gold, 'non_numeric_answer' AS status FROM examples WHERE gold IS NULL OR NOT regexp_matches(gold, '[0-9]')")
+_FAULTY = """faulty AS (SELECT id, split, question, context, CASE WHEN starts_with(md5(id), '0') THEN 'not meaningful' ELSE gold END AS gold,
+CASE WHEN starts_with(md5(id), '1') THEN 'table_max(sales, none)' WHEN starts_with(md5(id), '2') THEN 'add(987654321, 1)' ELSE program END AS program FROM examples)"""
+
+
+def _faulty(spark: SparkSession, d: str) -> DataFrame:
+    """All examples, some with faults planted by rule: golds without a figure, table operations, figures that no context shows."""
+    h = F.md5("id")
+    program_ = F.when(h.startswith("1"), "table_max(sales, none)").when(h.startswith("2"), "add(987654321, 1)").otherwise(F.col("program"))
+    return _examples(spark, d).withColumns({"gold": F.when(h.startswith("0"), "not meaningful").otherwise(F.col("gold")), "program": program_})
+
+
+_BAD_GOLD = "bad AS (SELECT id, split, gold, 'non_numeric_answer' AS status FROM faulty WHERE gold IS NULL OR NOT regexp_matches(gold, '[0-9]'))"
+
+
+@query(f"WITH {_FAULTY}, {_BAD_GOLD} SELECT * FROM bad")
 def gold_smoke(spark: SparkSession, d: str) -> DataFrame:
-    """Golds that do not score themselves as correct."""
-    return checks.gold_self_score(_examples(spark, d))
+    """Golds that do not score themselves as correct, with faults planted."""
+    return checks.gold_self_score(_faulty(spark, d))
+
+
+@query(f"WITH {_FAULTY}, {_BAD_GOLD} SELECT split || ':' || status AS key, count(*) AS n FROM bad GROUP BY ALL")
+def gold_failures(spark: SparkSession, d: str) -> DataFrame:
+    """How many golds fail, by split and status."""
+    return checks.failure_histogram(checks.gold_self_score(_faulty(spark, d)))
+
+
+@query(f"WITH {_FAULTY}, {_BAD_GOLD} SELECT * FROM bad ORDER BY split, id LIMIT 15")
+def gold_failures_head(spark: SparkSession, d: str) -> DataFrame:
+    """The first fifteen failures. (A head operator.)"""
+    return checks.first_failures(checks.gold_self_score(_faulty(spark, d)))
 
 
 @query("""SELECT split, count(*) AS n_raw, CAST(count_if(regexp_matches(gold, '[0-9]')) AS BIGINT) AS n_kept, CAST(count_if(gold_source = 'answer_fallback') AS BIGINT) AS n_fallback FROM examples GROUP BY split""")
@@ -185,7 +215,7 @@ def _prompt_sql(arm: str, shown: str = "") -> str:
 
 
 _FIVE = "CASE WHEN {v} = 0 THEN '0' ELSE regexp_replace(regexp_replace(printf('%.5g', {v}), '(\\.[0-9]*?)0+(e|$)', '\\1\\2'), '\\.(e|$)', '\\1') END"
-_STEP = "'Step {k}: ' || CASE ops[{k}] WHEN 'add' THEN 'add ' || {a} || ' and ' || {b} WHEN 'subtract' THEN 'subtract ' || {b} || ' from ' || {a} WHEN 'multiply' THEN 'multiply ' || {a} || ' by ' || {b} WHEN 'divide' THEN 'divide ' || {a} || ' by ' || {b} END || ' to get ' || {v} || ' (#{i}).'"
+_STEP = "'Step {k}: ' || CASE ops[{k}] WHEN 'add' THEN 'take ' || {a} || ' plus ' || {b} WHEN 'subtract' THEN 'take ' || {a} || ' less ' || {b} WHEN 'multiply' THEN 'take ' || {a} || ' times ' || {b} WHEN 'divide' THEN 'take ' || {a} || ' over ' || {b} END || '; that is ' || {v} || ' (#{i}).'"
 
 
 def _arg_sql(k: int, j: int) -> str:
@@ -325,6 +355,13 @@ def composition(spark: SparkSession, d: str) -> DataFrame:
     return sampling.composition(rows, sampling.stratified(rows, ("op_group", "bin"), "id", 90), "op_group")
 
 
+@query(f"WITH {_SAMPLE} SELECT CAST(floor((SELECT quantile_cont(n, 0.5) FROM b)) AS BIGINT) AS population_chars, CAST(floor((SELECT quantile_cont(n, 0.5) FROM b WHERE id IN (SELECT id FROM s))) AS BIGINT) AS sample_chars")
+def sample_medians(spark: SparkSession, d: str) -> DataFrame:
+    """Median context length of the population and of the sample."""
+    rows = _binned(spark, d)
+    return sampling.medians(rows, sampling.stratified(rows, ("op_group", "bin"), "id", 90), F.col("n"), "chars")
+
+
 @query("""SELECT id, CASE WHEN row_number() OVER (ORDER BY md5('42|' || id), id) <= round_even(count(*) OVER () * 0.05, 0) THEN 'val' ELSE 'train' END AS part FROM examples WHERE split = 'train'""")
 def train_val_split(spark: SparkSession, d: str) -> DataFrame:
     """Five percent of the training rows for validation, exactly."""
@@ -380,10 +417,23 @@ def portion_join(spark: SparkSession, d: str) -> DataFrame:
     return got.select("cik", "end", F.round("ratio", 6).alias("portion"), "filed")
 
 
-@query()
+_NUM = "printf('%.0f', {x})"
+_LINE = "{label} || ' | ' || {end} || ' | ' || " + _NUM
+_ENDS = [_LINE.format(label="label", end="a_end", x="a"), _LINE.format(label="label", end='"end"', x="val")]
+_PARTS = [_LINE.format(label=f"'{facts.CONCEPTS[c]}'", end='c."end"', x=f"{k}.val") for k, c in (("c", "CashAndCashEquivalentsAtCarryingValue"), ("a", "Assets"))]
+
+
+@query(f"""WITH {_FACTS}, chosen AS (SELECT cik_str FROM company_facts ORDER BY md5('7|' || cik_str), cik_str LIMIT 60),
+cands AS (SELECT cik, title, 'by what percentage did ' || label || ' change between the period to ' || a_end || ' and the period to ' || "end" || '?' AS question,
+'subtract(' || {_NUM.format(x="val")} || ', ' || {_NUM.format(x="a")} || '), divide(#0, ' || {_NUM.format(x="abs(a)")} || ')' AS program, round(g, 5) AS gold, filed, {_ENDS[0]} || chr(10) || {_ENDS[1]} AS lines FROM changed
+UNION ALL SELECT c.cik, f.title, 'which share of {facts.CONCEPTS["Assets"]} was {facts.CONCEPTS["CashAndCashEquivalentsAtCarryingValue"]} at ' || c."end" || '?', 'divide(' || {_NUM.format(x="c.val")} || ', ' || {_NUM.format(x="a.val")} || ')',
+round(c.val / nullif(a.val, 0), 5), c.filed, {_PARTS[0]} || chr(10) || {_PARTS[1]} FROM latest c JOIN latest a ON a.cik = c.cik AND a."end" = c."end" JOIN company_facts f ON f.cik_str = c.cik
+WHERE c.concept = 'CashAndCashEquivalentsAtCarryingValue' AND a.concept = 'Assets' AND c.val / nullif(a.val, 0) > 0.001 AND c.val / nullif(a.val, 0) < 0.95),
+top AS (SELECT *, row_number() OVER (ORDER BY md5('7|' || cik || '|' || question), cik || '|' || question) AS rn FROM cands WHERE cik IN (SELECT cik_str FROM chosen))
+SELECT 'facts-' || (rn - 1) AS id, 'time_split' AS split, question, 'figures from the tagged report of ' || title || chr(10) || 'line | period end | usd' || chr(10) || lines AS context, gold, 'xbrl_computed' AS gold_source, program, title AS company, filed FROM top WHERE rn <= 180""")
 def fact_eval_set(spark: SparkSession, d: str) -> DataFrame:
-    """The time-split evaluation table, whose programs give their golds."""
-    return facts.build_eval(table(spark, d, "company_facts"))
+    """The time-split evaluation table, whose programs give their golds. (A sampling operator: 180 rows of 60 companies.)"""
+    return facts.build_eval(table(spark, d, "company_facts")).withColumn("gold", F.col("gold").cast("double"))
 
 
 # ---- prompts and exemplars ----------------------------------------------------------------------------------------
@@ -414,26 +464,34 @@ def message_parts(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- run log and statistics -----------------------------------------------------------------------------------------
 
-_FIRST = "first AS (SELECT * FROM run_log QUALIFY row_number() OVER (PARTITION BY model, arm, eval_set, id ORDER BY row_id) = 1)"
+_PLAIN = "lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))"
+_NORMAL = f"""log AS (SELECT * REPLACE ({_PLAIN.format(c="id")} AS id, {_PLAIN.format(c="arm")} AS arm, {_PLAIN.format(c="eval_set")} AS eval_set,
+replace(replace({_PLAIN.format(c="model")}, '/', '--'), '.', '-') AS model) FROM run_log)"""
+_FIRST = f"{_NORMAL}, first AS (SELECT * FROM log QUALIFY row_number() OVER (PARTITION BY model, arm, eval_set, id ORDER BY row_id) = 1)"
+
+
+def _keyed(spark: SparkSession, d: str) -> DataFrame:
+    """The run log with its keys in normal form."""
+    return runlog.normalized(_log(spark, d))
 
 
 @query(f"WITH {_FIRST} SELECT row_id FROM first")
 def runlog_first_writes(spark: SparkSession, d: str) -> DataFrame:
     """The first row of each id within model, arm and evaluation set."""
-    return runlog.first_writes(_log(spark, d)).select("row_id")
+    return runlog.first_writes(_keyed(spark, d)).select("row_id")
 
 
-@query("SELECT id FROM examples WHERE id NOT IN (SELECT id FROM run_log WHERE id IS NOT NULL)")
+@query(f"WITH {_NORMAL} SELECT id FROM examples WHERE id NOT IN (SELECT id FROM log WHERE id IS NOT NULL)")
 def resume_todo(spark: SparkSession, d: str) -> DataFrame:
     """Examples without an answer yet."""
-    return runlog.todo(_examples(spark, d), _log(spark, d)).select("id")
+    return runlog.todo(_examples(spark, d), _keyed(spark, d)).select("id")
 
 
-@query("""SELECT row_id, count(*) OVER w AS n_so_far, round(sum(CAST(correct AS INT)) OVER w / count(*) OVER w, 6) AS acc_so_far, round(sum(coalesce(cost_usd, 0)) OVER w, 6) AS cost_so_far
-FROM run_log WINDOW w AS (PARTITION BY model, arm, eval_set ORDER BY row_id)""")
+@query(f"""WITH {_NORMAL} SELECT row_id, count(*) OVER w AS n_so_far, round(sum(CAST(correct AS INT)) OVER w / count(*) OVER w, 6) AS acc_so_far, round(sum(coalesce(cost_usd, 0)) OVER w, 6) AS cost_so_far
+FROM log WINDOW w AS (PARTITION BY model, arm, eval_set ORDER BY row_id)""")
 def running_totals(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy and cost as a run goes on."""
-    got = runlog.running(_log(spark, d), "row_id", ("model", "arm", "eval_set"))
+    got = runlog.running(_keyed(spark, d), "row_id", ("model", "arm", "eval_set"))
     return got.select("row_id", "n_so_far", F.round("acc_so_far", 6).alias("acc_so_far"), F.round("cost_so_far", 6).alias("cost_so_far"))
 
 
@@ -452,70 +510,77 @@ def call_cost(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("row_id", F.round(runlog.token_cost(F.col("n_prompt_tokens"), F.col("completion_tokens")), 9).alias("usd"))
 
 
-@query("SELECT model, eval_set, count(DISTINCT id) AS n_done, round(sum(coalesce(cost_usd, 0)), 6) AS cost_usd, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM run_log GROUP BY model, eval_set")
+@query(f"WITH {_NORMAL} SELECT model, eval_set, count(DISTINCT id) AS n_done, round(sum(coalesce(cost_usd, 0)), 6) AS cost_usd, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us FROM log GROUP BY model, eval_set")
 def run_manifest(spark: SparkSession, d: str) -> DataFrame:
     """Progress per model and evaluation set."""
-    return runlog.manifest(_log(spark, d)).select("model", "eval_set", "n_done", "cost_usd", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
+    return runlog.manifest(_keyed(spark, d)).select("model", "eval_set", "n_done", "cost_usd", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"))
 
 
 _LG = "lgamma({n} + 1) - lgamma({k} + 1) - lgamma({n} - {k} + 1)"
 _CELLS = f"""{_FIRST}, cell AS (SELECT model, arm, eval_set, count(*) AS n, CAST(count_if(correct) AS BIGINT) AS k, CAST(count_if(status = 'ok') AS BIGINT) AS n_ok, CAST(count_if(status = 'no_answer_line') AS BIGINT) AS n_none, CAST(count_if(status = 'non_numeric_answer') AS BIGINT) AS n_bad
-FROM first WHERE eval_set <> 'smoke' GROUP BY ALL),
+FROM first GROUP BY ALL),
 mass AS (SELECT model, arm, eval_set, n, k, i, sum(CASE WHEN k = 0 THEN CAST(i = 0 AS DOUBLE) WHEN k = n THEN CAST(i = n AS DOUBLE) ELSE exp({_LG.format(n='n', k='i')} + i * ln(k / n) + (n - i) * ln(1 - k / n)) END) OVER (PARTITION BY model, arm, eval_set ORDER BY i) AS cdf
 FROM (SELECT *, unnest(range(0, n + 1)) AS i FROM cell)),
 ci AS (SELECT model, arm, eval_set, min(CASE WHEN cdf >= 0.025 THEN i END) AS lo, min(CASE WHEN cdf >= 0.975 THEN i END) AS hi FROM mass GROUP BY ALL)"""
 
 
 def _first_log(spark: SparkSession, d: str) -> DataFrame:
-    return runlog.first_writes(_log(spark, d).select("row_id", "id", "model", "arm", "eval_set", "correct", "status"))
+    return runlog.first_writes(_keyed(spark, d).select("row_id", "id", "model", "arm", "eval_set", "correct", "status"))
 
 
 @query(f"WITH {_CELLS} SELECT c.model, c.arm, c.eval_set, n, round(k / n, 4) AS acc, round(lo / n, 4) AS ci_lo, round(hi / n, 4) AS ci_hi, n_ok, n_none AS n_no_answer_line, n_bad AS n_non_numeric_answer FROM cell c JOIN ci ON ci.model = c.model AND ci.arm = c.arm AND ci.eval_set = c.eval_set")
 def cell_accuracy(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy, interval and statuses of every cell."""
-    return stats.cells(_first_log(spark, d).where("eval_set <> 'smoke'"))
+    return stats.cells(_first_log(spark, d))
 
 
 _P = f"CASE WHEN b = c THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(b, c) + 1), lambda i: exp({_LG.format(n='(b + c)', k='i')} - (b + c) * ln(2))))) END"
 
 
 @query(f"""WITH {_FIRST}, pairs AS (SELECT x.model, x.eval_set, x.arm AS arm_a, y.arm AS arm_b, CAST(count_if(x.correct AND NOT y.correct) AS BIGINT) AS b, CAST(count_if(NOT x.correct AND y.correct) AS BIGINT) AS c, count(*) AS n_shared
-FROM first x JOIN first y ON y.model = x.model AND y.eval_set = x.eval_set AND y.id = x.id AND x.arm < y.arm WHERE x.eval_set <> 'smoke' GROUP BY ALL)
+FROM first x JOIN first y ON y.model = x.model AND y.eval_set = x.eval_set AND y.id = x.id AND x.arm < y.arm GROUP BY ALL)
 SELECT model, eval_set, arm_a, arm_b, b, c, n_shared, b + c AS discordant, round({_P} + 1e-12, 9) AS p FROM pairs""")
 def mcnemar_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Exact McNemar test of every two arms."""
-    got = stats.arm_pairs(_first_log(spark, d).where("eval_set <> 'smoke'"))
+    got = stats.arm_pairs(_first_log(spark, d))
     return got.select("model", "eval_set", "arm_a", "arm_b", "b", "c", "n_shared", "discordant", F.round(F.col("p") + F.lit(1e-12), 9).alias("p"))
 
 
-@query(f"""WITH {_FIRST}, f AS (SELECT eval_set, id, max(CASE WHEN model = 'pelican/atlas-large' THEN CAST(correct AS INT) END) AS a, max(CASE WHEN model = 'quillmark/ledger-8b' THEN CAST(correct AS INT) END) AS b FROM first
-WHERE arm = 'cot' AND model IN ('pelican/atlas-large', 'quillmark/ledger-8b') GROUP BY eval_set, id),
+@query(f"""WITH {_FIRST}, f AS (SELECT eval_set, id, max(CASE WHEN model = 'pelican--atlas-large' THEN CAST(correct AS INT) END) AS a, max(CASE WHEN model = 'quillmark--ledger-8b' THEN CAST(correct AS INT) END) AS b FROM first
+WHERE arm = 'cot' AND model IN ('pelican--atlas-large', 'quillmark--ledger-8b') GROUP BY eval_set, id),
 g AS (SELECT eval_set, CAST(count_if(a IS NOT NULL AND b IS NOT NULL) AS BIGINT) AS n, CAST(count_if(a = 1 AND b IS NOT NULL) AS BIGINT) AS ka, CAST(count_if(b = 1 AND a IS NOT NULL) AS BIGINT) AS kb, CAST(count_if(a = 1 AND b = 0) AS BIGINT) AS b, CAST(count_if(a = 0 AND b = 1) AS BIGINT) AS c,
 CAST(count_if(a IS NOT NULL AND b IS NULL) AS BIGINT) AS only_a, CAST(count_if(a IS NULL AND b IS NOT NULL) AS BIGINT) AS only_b FROM f GROUP BY eval_set)
 SELECT eval_set, n, only_a, only_b, b, c, round({_P} + 1e-12, 9) AS p, round(ka / n, 4) AS acc_a, round(kb / n, 4) AS acc_b, round((ka - kb) / n * 100, 4) AS delta_points FROM g WHERE n > 0""")
 def model_comparison(spark: SparkSession, d: str) -> DataFrame:
     """One model against another on the ids both answered."""
-    got = stats.compare_models(_first_log(spark, d), "pelican/atlas-large", "quillmark/ledger-8b", "cot")
+    got = stats.compare_models(_first_log(spark, d), "pelican--atlas-large", "quillmark--ledger-8b", "cot")
     return got.select("eval_set", "n", "only_a", "only_b", "b", "c", F.round(F.col("p") + F.lit(1e-12), 9).alias("p"), "acc_a", "acc_b", "delta_points")
 
 
-@query()
+@query(f"""WITH {_FIRST}, f AS (SELECT eval_set, id, max(CASE WHEN model = 'pelican--atlas-large' THEN CAST(correct AS INT) END) AS a, max(CASE WHEN model = 'quillmark--ledger-8b' THEN CAST(correct AS INT) END) AS b FROM first WHERE arm = 'cot' GROUP BY eval_set, id),
+g AS (SELECT eval_set, count(*) AS n, sum(a) AS ka, sum(b) AS kb FROM f WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY eval_set),
+h AS (SELECT eval_set, 'a' AS side, n, ka AS k FROM g UNION ALL SELECT eval_set, 'b', n, kb FROM g),
+m AS (SELECT eval_set, side, n, i, sum(CASE WHEN k = 0 THEN CAST(i = 0 AS DOUBLE) WHEN k = n THEN CAST(i = n AS DOUBLE) ELSE exp({_LG.format(n='n', k='i')} + i * ln(k / n) + (n - i) * ln(1 - k / n)) END) OVER (PARTITION BY eval_set, side ORDER BY i) AS cdf FROM (SELECT *, unnest(range(0, CAST(n AS BIGINT) + 1)) AS i FROM h)),
+c AS (SELECT eval_set, side, round(min(CASE WHEN cdf >= 0.025 THEN i END) / any_value(n), 4) AS lo, round(min(CASE WHEN cdf >= 0.975 THEN i END) / any_value(n), 4) AS hi FROM m GROUP BY ALL),
+r AS (SELECT g.eval_set, round((ka - kb) / n * 100, 4) AS delta_points, x.lo AS lo_a, x.hi AS hi_a, y.lo AS lo_b, y.hi AS hi_b, x.lo > y.hi OR y.lo > x.hi AS apart FROM g JOIN c x ON x.eval_set = g.eval_set AND x.side = 'a' JOIN c y ON y.eval_set = g.eval_set AND y.side = 'b')
+SELECT eval_set, delta_points, lo_a, hi_a, lo_b, hi_b, CASE WHEN delta_points >= 8 AND apart THEN 'PASS' ELSE 'FAIL' END AS gate,
+CASE WHEN delta_points >= 3.5 AND apart THEN 'pass' WHEN delta_points >= 3.5 THEN 'unclassified' WHEN delta_points >= 1 THEN 'partial' ELSE 'fail' END AS phase1 FROM r""")
 def gate_decision(spark: SparkSession, d: str) -> DataFrame:
     """The two gates for every evaluation set, with the intervals they rest on."""
-    got = stats.compare_models(_first_log(spark, d), "pelican/atlas-large", "quillmark/ledger-8b", "cot")
+    got = stats.compare_models(_first_log(spark, d), "pelican--atlas-large", "quillmark--ledger-8b", "cot")
     return got.select("eval_set", "delta_points", "lo_a", "hi_a", "lo_b", "hi_b", "gate", "phase1")
 
 
 @query()
 def bootstrap_intervals(spark: SparkSession, d: str) -> DataFrame:
     """Percentile bootstrap intervals by resampling, beside the exact ones of ``cell_accuracy``."""
-    return stats.bootstrap(_first_log(spark, d).where("eval_set <> 'smoke'"), ("model", "arm", "eval_set"))
+    return stats.bootstrap(_first_log(spark, d), ("model", "arm", "eval_set"))
 
 
-@query("""SELECT '| ' || arm || ' | ' || n || ' | ' || printf('%.4f', acc) || ' |' AS line FROM (SELECT arm, count(*) AS n, avg(CAST(correct AS INT)) AS acc FROM run_log GROUP BY arm)""")
+@query(f"""SELECT '| ' || arm || ' | ' || n || ' | ' || printf('%.4f', acc) || ' |' AS line FROM (SELECT {_ARM} AS arm, count(*) AS n, avg(CAST(correct AS INT)) AS acc FROM run_log GROUP BY 1)""")
 def accuracy_table(spark: SparkSession, d: str) -> DataFrame:
     """Accuracy per arm as lines of a markdown table."""
-    got = _log(spark, d).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("correct").cast("int")).alias("acc"))
+    got = _keyed(spark, d).groupBy("arm").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("correct").cast("int")).alias("acc"))
     return got.select(report.markdown_line(F.col("arm"), F.col("n"), F.format_string("%.4f", "acc")).alias("line"))
 
 
@@ -528,23 +593,31 @@ def constant_programs(spark: SparkSession, d: str) -> DataFrame:
     return checks.programs_like(_examples(spark, d), r"const_[0-9]")
 
 
-@query("SELECT id FROM examples WHERE regexp_matches(coalesce(program, ''), 'table_(average|max|min|sum)')")
+@query(f"WITH {_FAULTY} SELECT id FROM faulty WHERE regexp_matches(coalesce(program, ''), 'table_(average|max|min|sum)')")
 def table_op_programs(spark: SparkSession, d: str) -> DataFrame:
-    """Programs that name a table operation."""
-    return _examples(spark, d).where(program.uses_table_op(F.col("program"))).select("id")
+    """Programs that name a table operation, with faults planted."""
+    return _faulty(spark, d).where(program.uses_table_op(F.col("program"))).select("id")
 
 
-@query()
+@query(f"""WITH {_FAULTY}, hits AS (SELECT op, id, row_number() OVER (PARTITION BY op ORDER BY id) AS rn FROM faulty, (SELECT unnest(['table_average', 'table_max', 'table_min', 'table_sum']) AS op) WHERE contains(program, op))
+SELECT o.op, count(h.id) AS n_rows, coalesce(string_agg(h.id, ',' ORDER BY h.id) FILTER (WHERE rn <= 3), '') AS first_ids FROM (SELECT unnest(['table_average', 'table_max', 'table_min', 'table_sum']) AS op) o LEFT JOIN hits h ON h.op = o.op GROUP BY o.op""")
+def table_op_report(spark: SparkSession, d: str) -> DataFrame:
+    """Per table operation the rows that name it and the first three. (The ids are a head.)"""
+    return checks.table_op_report(_faulty(spark, d))
+
+
+@query(f"""WITH {_FAULTY}, {_RUN.replace("FROM examples", "FROM faulty")} SELECT id, round(value, 6) AS value, gold FROM run
+WHERE coalesce(program, '') <> '' AND (starts_with(md5(id), '0') OR starts_with(md5(id), '1') OR starts_with(md5(id), '2'))""")
 def program_gold_check(spark: SparkSession, d: str) -> DataFrame:
-    """Programs whose result is not their gold."""
-    return checks.program_gold(_examples(spark, d))
+    """Programs whose result is not their gold, with faults planted; the other programs give theirs."""
+    return checks.program_gold(_faulty(spark, d)).withColumn("value", F.round("value", 6))
 
 
-@query("""WITH a AS (SELECT id, regexp_replace(context, '([0-9]),([0-9])', '\\1\\2', 'g') AS ctx, trim(unnest(string_split(array_to_string(regexp_extract_all(coalesce(program, ''), '\\w+\\(([^)]*)\\)', 1), ','), ','))) AS figure FROM examples)
+@query(f"""WITH {_FAULTY}, a AS (SELECT id, regexp_replace(context, '([0-9]),([0-9])', '\\1\\2', 'g') AS ctx, trim(unnest(string_split(array_to_string(regexp_extract_all(coalesce(program, ''), '\\w+\\(([^)]*)\\)', 1), ','), ','))) AS figure FROM faulty)
 SELECT DISTINCT id, figure FROM a WHERE figure <> '' AND NOT starts_with(figure, '#') AND NOT starts_with(figure, 'const_') AND NOT contains(ctx, ltrim(replace(figure, ',', ''), '-'))""")
 def figure_provenance(spark: SparkSession, d: str) -> DataFrame:
-    """Figures of programs that their context does not show."""
-    return checks.figures_in_context(_examples(spark, d))
+    """Figures of programs that their context does not show, with faults planted."""
+    return checks.figures_in_context(_faulty(spark, d))
 
 
 @query("SELECT gold_source, count(*) AS n FROM examples GROUP BY gold_source")
@@ -559,18 +632,108 @@ def source_counts(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT id, count(*) AS n_records, CAST(sum(len(messages)) AS BIGINT) AS n_messages FROM train_records GROUP BY id")
 def jsonl_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Training records written as JSON lines to the shared folder and read back."""
-    path = f"{shared_dir(spark)}/round-trip-{abs(hash(d))}"
+    path = scratch(spark, "round-trip")
     jsonl.write_records(table(spark, d, "train_records"), path)
     rows = jsonl.read_log(spark, path, jsonl.MESSAGES, strict=True)
     return rows.groupBy("id").agg(F.count(F.lit(1)).alias("n_records"), F.sum(F.size("messages")).alias("n_messages"))
 
 
-@query()
+@query(f"""WITH {_NORMAL}, kept AS (SELECT row_id FROM log QUALIFY row_number() OVER (PARTITION BY id, model, arm, eval_set ORDER BY ts ASC NULLS LAST, row_id) = 1)
+SELECT arm, status, count(*) AS n FROM run_log WHERE row_id IN (SELECT row_id FROM kept) GROUP BY arm, status""")
 def stream_score(spark: SparkSession, d: str) -> DataFrame:
     """The run log scored as a stream, each answer appended once."""
-    import uuid
-
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = scratch(spark, "stream")
     schema = _log(spark, d).schema
     stream.score_stream(spark, f"{d}/run_log.parquet*", schema, f"{base}/scored", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/scored").groupBy("arm", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+_CLEANED = f"regexp_replace(regexp_replace(regexp_replace(@, '\\\\{{1,2}}[nt]', ' ', 'g'), '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g')"
+
+
+def _raw_lines(spark: SparkSession, d: str) -> DataFrame:
+    """All examples written as raw records, one JSON object a line, and scanned back."""
+    path = scratch(spark, "raw")
+    text_of = lambda c: F.col(c).cast("string")
+    exe = F.when(F.col("gold_source") != "answer_fallback", text_of("gold"))
+    qa = F.struct(text_of("question").alias("question"), text_of("program").alias("program"), exe.alias("exe_ans"), text_of("gold").alias("answer"))
+    rows = _examples(spark, d).select(F.array("context").alias("pre_text"), F.array(F.lit(" ")).alias("post_text"), F.array(F.array("company", "filed")).alias("table"), qa.alias("qa"))
+    jsonl.write_records(rows, path)
+    return raw.read_raw_lines(spark, path)
+
+
+@query(f"""SELECT md5({_CLEANED.replace("@", "question")}) AS q, count(*) AS n, CAST(sum(length(program)) AS BIGINT) AS program_chars FROM examples GROUP BY 1""")
+def raw_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Raw records to examples: cleaned questions and programs, by question."""
+    rows = raw.build_examples(_raw_lines(spark, d), "train")
+    return rows.groupBy(F.md5("question").alias("q")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("program")).alias("program_chars"))
+
+
+@query("SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS least, count(*) - 1 AS most, count(*) AS n_places FROM examples")
+def raw_places(spark: SparkSession, d: str) -> DataFrame:
+    """The places of raw records: every number from 0 on, once."""
+    rows = _raw_lines(spark, d)
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.min("pos").cast("long").alias("least"), F.max("pos").cast("long").alias("most"), F.countDistinct("pos").alias("n_places"))
+
+
+@query(f"""SELECT md5({_CLEANED.replace("@", "context")} || CASE WHEN trim(coalesce(company, 'None') || coalesce(filed, 'None')) = '' THEN '' ELSE chr(10) || {_CLEANED.replace("@", "coalesce(company, 'None')")} || ' | ' || {_CLEANED.replace("@", "coalesce(filed, 'None')")} END) AS c, count(*) AS n FROM examples GROUP BY 1""")
+def raw_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts put together from text and table; the blank text after them adds nothing."""
+    rows = raw.build_examples(_raw_lines(spark, d), "train")
+    return rows.groupBy(F.md5("context").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'train' AS split, count(*) AS n_raw, CAST(count_if(regexp_matches(gold, '[0-9]')) AS BIGINT) AS n_kept, CAST(count_if(gold_source = 'answer_fallback') AS BIGINT) AS gold_answer_fallback FROM examples""")
+def raw_report(spark: SparkSession, d: str) -> DataFrame:
+    """The report of a raw scan: rows kept, and golds that came from the second field."""
+    return raw.split_report(raw.build_examples(_raw_lines(spark, d), "train")).select("split", "n_raw", "n_kept", "gold_answer_fallback")
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY CAST(cik_str AS VARCHAR)) - 1 AS INT) AS pos, cik_str AS cik, 'T' || cik_str AS ticker, title, 'CIK' || lpad(CAST(cik_str AS VARCHAR), 10, '0') || '.json' AS file FROM company_facts")
+def ticker_universe(spark: SparkSession, d: str) -> DataFrame:
+    """The companies written as a ticker file (one object, keys that say nothing) and read by its values."""
+    path = scratch(spark, "tickers")
+    entry = F.struct("cik_str", F.concat(F.lit("T"), F.col("cik_str").cast("string")).alias("ticker"), "title")
+    docs = table(spark, d, "company_facts").select(F.struct(F.col("cik_str").cast("string").alias("key"), entry.alias("value")).alias("e"))
+    docs.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list("e"))), {"ignoreNullFields": "false"}).alias("json")).write.text(path)
+    return jsonl.universe(spark, path)
+
+
+@query("SELECT cik_str AS cik, title, coalesce(cardinality(map_keys(facts['us-gaap'])), 0) AS n_concepts FROM company_facts WHERE facts IS NOT NULL")
+def facts_files(spark: SparkSession, d: str) -> DataFrame:
+    """Company-facts documents written as files and read back."""
+    path = scratch(spark, "facts")
+    docs = table(spark, d, "company_facts").where("facts is not null").select(F.col("cik_str").alias("cik"), F.col("title").alias("entityName"), "facts")
+    jsonl.write_records(docs, path)
+    rows = jsonl.facts_dir(spark, path, lines=True)
+    return rows.select(F.col("cik_str").alias("cik"), "title", F.coalesce(F.size(F.map_keys(F.col("facts")["us-gaap"])), F.lit(0)).alias("n_concepts"))
+
+
+@query("SELECT DISTINCT id FROM run_log WHERE id IS NOT NULL")
+def logged_ids(spark: SparkSession, d: str) -> DataFrame:
+    """The run log written as JSON lines, and the ids that it has answers for."""
+    path = scratch(spark, "log")
+    jsonl.write_records(_log(spark, d).select("id", "model", "output"), path)
+    return jsonl.done_ids(spark, path)
+
+
+@query(f"WITH {_FACTS} SELECT cik, concept, \"end\", 'by what percentage did ' || label || ' change between the period to ' || a_end || ' and the period to ' || \"end\" || '?' AS question, round(g, 5) AS gold FROM changed")
+def fact_questions(spark: SparkSession, d: str) -> DataFrame:
+    """The question and gold of every change of a concept."""
+    got = facts.changes(facts.entries(table(spark, d, "company_facts")))
+    return got.select("cik", "concept", "end", "question", "gold")
+
+
+@query(f"WITH {_FACTS} SELECT cik, concept, \"end\", 'subtract(' || printf('%.0f', val) || ', ' || printf('%.0f', a) || '), divide(#0, ' || printf('%.0f', abs(a)) || ')' AS program FROM changed")
+def fact_programs(spark: SparkSession, d: str) -> DataFrame:
+    """The program of every change of a concept."""
+    got = facts.changes(facts.entries(table(spark, d, "company_facts")))
+    return got.select("cik", "concept", "end", "program")
+
+
+@query("SELECT split, gold_source, count(*) AS n FROM examples GROUP BY split, gold_source")
+def report_file(spark: SparkSession, d: str) -> DataFrame:
+    """A report written as a file of JSON lines, and read back."""
+    path = scratch(spark, "report")
+    report.write_json(_examples(spark, d).groupBy("split", "gold_source").agg(F.count(F.lit(1)).alias("n")), path)
+    return spark.read.schema("split string, gold_source string, n long").json(path)

@@ -36,12 +36,18 @@ def durable(df: DataFrame, label: str = "table") -> DataFrame:
     The written table survives the loss of executors, cuts the lineage, and gives the next plan exact sizes.
     """
     spark = df.sparkSession
+    path = scratch(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, deleted at exit like the tables of ``durable``."""
     path = f"{shared_dir(spark)}/ledgerloom-{label}-{uuid.uuid4().hex}"
     if not _WRITTEN:
         atexit.register(release)
     _WRITTEN.append((spark, path))
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def release() -> None:
@@ -55,12 +61,16 @@ def release() -> None:
             shutil.rmtree(path.removeprefix("file://"), True)
 
 
+#: Most partitions that a small input is spread over.
+MOST_SPREAD = 32
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` in as many partitions as there are cores where it has fewer than half of that, for work that is bound by the CPU.
+    """``df`` in as many partitions as there are cores, ``MOST_SPREAD`` at most, where it has fewer than half of that, for work that is bound by the CPU.
 
-    Inputs of so few partitions are small (a partition is 128 MB at most), so only small inputs are ever moved.
+    Inputs of so few partitions are small (a partition is 128 MB at most), so only small inputs are ever moved, and never into many tasks.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
+    cores = min(df.sparkSession.sparkContext.defaultParallelism, MOST_SPREAD)
     return df if 2 * df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import _parse_datatype_string
 
 from ledgerloom.functions.answers import select_gold
 from ledgerloom.functions.text import clean_text, strip
@@ -12,11 +14,27 @@ RAW = "array<struct<pre_text:array<string>,post_text:array<string>,table:array<a
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
-    """Records of a file that holds one JSON array: ``pos`` (place in the array) and the record's fields."""
+    """Records of a file that holds one JSON array (read whole by one task, so below 2 GB; larger splits as JSON lines, see ``read_raw_lines``): ``pos`` (place in the array) and the record's fields."""
     rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", RAW)).alias("pos", "r"))
     return rows.select("pos", "r.*")
 
 
+def read_raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The same from JSON lines, for splits that are too large for one array: files are read in parts, ``pos`` counts in file order.
+
+    Places come from the rows of the parts before (one number per part), so no task sees more than its part. Lines that hold no
+    record are left out.
+    """
+    record = _parse_datatype_string(RAW).elementType
+    part = ("_file", "_block")
+    rows = spark.read.text(path).select(F.from_json("value", record).alias("r"), F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    rows = rows.where(F.col("r.qa").isNotNull())
+    sizes = rows.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = F.row_number().over(Window.partitionBy(*part).orderBy("_line")) - 1
+    return rows.withColumn("_rank", ranked).join(sizes.withColumn("_before", before).select(*part, "_before"), list(part)).select((F.col("_before") + F.col("_rank")).cast("int").alias("pos"), "r.*")
+
+
 def _prose(items: Column) -> Column:
     """Non-blank items, cleaned, joined by a space; the blank test comes before the cleaning."""
     return F.array_join(F.transform(F.filter(items, lambda x: strip(F.coalesce(x, F.lit(""))) != ""), clean_text), " ")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.answers import score
-from ledgerloom.operators.delivery import ANSWER_KEY, deduplicate, new_messages
+from ledgerloom.operators.delivery import ANSWER_KEY, deduplicate, new_messages, normal_key
 
 
 def read_stream(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -19,14 +19,24 @@ def scored(stream: DataFrame) -> DataFrame:
     return stream.select("row_id", *ANSWER_KEY, "ts", score(F.col("output"), F.col("gold")).alias("s")).select("row_id", *ANSWER_KEY, "ts", F.col("s.correct").alias("correct"), F.col("s.status").alias("status"))
 
 
+#: Parts of a target table, by a hash of the key; a micro-batch reads only the parts that its keys are in.
+PARTS = 256
+
+
 def append_new(batch: DataFrame, path: str) -> None:
-    """Append the messages of a micro-batch that the table at ``path`` has not got, exactly one copy each."""
+    """Append the messages of a micro-batch that the table at ``path`` has not got, exactly one copy each.
+
+    The table is kept in folders ``key_part=k`` by a hash of the normal key, so a small batch is held against few of them.
+    """
     spark = batch.sparkSession
+    batch = batch.withColumn("key_part", F.pmod(F.xxhash64(*map(normal_key, ANSWER_KEY)), F.lit(PARTS)).cast("int"))
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     if hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        new_messages(batch, spark.read.schema(batch.schema).parquet(path)).write.mode("append").parquet(path)
+        touched = [r[0] for r in batch.select("key_part").distinct().collect()]  # PARTS at most
+        had = spark.read.schema(batch.schema).parquet(path).where(F.col("key_part").isin(touched))
+        new_messages(batch, had).write.mode("append").partitionBy("key_part").parquet(path)
     else:
-        deduplicate(batch).write.parquet(path)
+        deduplicate(batch).write.partitionBy("key_part").parquet(path)
 
 
 def _append_stream(stream: DataFrame, target: str, checkpoint: str) -> None:

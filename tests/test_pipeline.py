@@ -1,11 +1,13 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import prompts
 from ledgerloom.operators import decontam, facts, report, runlog, sampling, stats, training
+from ledgerloom.plans import jobs
 from ledgerloom.sources import jsonl, raw
 from ledgerloom.streaming import runlog as stream
 
@@ -95,7 +97,7 @@ def test_training(spark):
     got = {r.id: r.disposition for r in training.dispositions(df).collect()}
     assert got == {"1": "kept", "2": "mismatch", "3": "table_op", "4": "parse_error", "5": "parse_error", "6": "parse_error"}
     rec = training.records(training.dispositions(df)).collect()
-    assert len(rec) == 1 and rec[0].messages[1].content == "Step 1: add 1 and 2 to get 3 (#0).\nProgram: add(1, 2)\nANSWER: 3"
+    assert len(rec) == 1 and rec[0].messages[1].content == "Step 1: take 1 plus 2; that is 3 (#0).\nProgram: add(1, 2)\nANSWER: 3"
     v = spark.createDataFrame([(x,) for x in range(1, 11)], "v int")
     assert {r.share: r.value for r in training.index_percentiles(v, F.col("v")).collect()} == {0.5: 6, 0.9: 10, 0.95: 10, 0.99: 10}
 
@@ -120,10 +122,19 @@ def test_runlog(spark, tmp_path):
     def flaky(p):
         tries.append(1)
         if len(tries) < 3:
-            raise runlog.RetryableError
+            raise runlog.CallError("busy", 429) if len(tries) == 1 else runlog.RetryableError
         return ["ok"] * len(p)
 
     assert runlog.with_retries(flaky, sleep=lambda s: None)(["a"]) == ["ok"]
+
+    def refused(p):
+        tries.append(1)
+        raise runlog.CallError("not allowed", 403)
+
+    tries.clear()
+    with pytest.raises(runlog.CallError):
+        runlog.with_retries(refused, sleep=lambda s: None)(["a"])
+    assert len(tries) == 1
     out = runlog.complete(ex.withColumn("prompt", F.lit("hi")), "prompt", lambda p: [x.upper() for x in p]).collect()
     assert {r.output for r in out} == {"HI"}
 
@@ -185,3 +196,59 @@ def test_gate_report_of_too_many_sets_is_an_error(spark, monkeypatch):
     assert "s1" in report.gate_report(sets.where("eval_set < 's2'"), "a", "b", "s1")
     with pytest.raises(ValueError):
         report.gate_report(sets, "a", "b", "s2")
+
+
+#: Published cells: n, right answers, and the interval by 10,000 resamples of seed 0.
+PUBLISHED = [(450, 0.6289, 0.5844, 0.6733), (1127, 0.6557, 0.6282, 0.6832), (180, 0.7333, 0.6667, 0.7944), (450, 0.6, 0.5533, 0.6444), (180, 0.4944, 0.4222, 0.5667), (450, 0.4533, 0.4088, 0.5), (1127, 0.4747, 0.4454, 0.504), (180, 0.5833, 0.5111, 0.6556)]
+
+
+def test_resampled_intervals_are_the_published_ones():
+    """The draw does not know which answers were right, so each end may be one answer beside the published one."""
+    for n, acc, lo, hi in PUBLISHED:
+        flags = np.zeros(n, bool)
+        flags[np.random.default_rng(1).permutation(n)[: round(acc * n)]] = True
+        got = stats.resampled_interval(flags, 10_000, 0)
+        assert abs(got[0] - lo) <= 1.01 / n + 1e-4 and abs(got[1] - hi) <= 1.01 / n + 1e-4
+
+
+def test_bootstrap_reads_rows_in_their_order(spark):
+    df = spark.range(90).selectExpr("id as row_id", "'m' as model", "id % 3 = 0 as correct").repartition(7)
+    r = stats.bootstrap(df, ("model",), resamples=500).first()
+    assert (r.n, r.ci_lo, r.ci_hi) == (90, *stats.resampled_interval(np.arange(90) % 3 == 0, 500, 0))
+
+
+def test_lines_of_a_file_read_in_several_parts_keep_their_order(spark, tmp_path):
+    """The first write wins, whichever part of the file a task reads."""
+    rows = [json.dumps({"id": str(k % 500), "model": "m", "arm": "a", "eval_set": "e", "correct": k < 500, "status": "ok"}) for k in range(20_000)]
+    (tmp_path / "a.jsonl").write_text("\n".join(rows))
+    items = [json.dumps({"pre_text": ["a"], "qa": {"question": f"q {k}", "exe_ans": str(k)}}) for k in range(5_000)]
+    (tmp_path / "raw.json").write_text("\n".join(items) + "\nnot json\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        log = jobs.read_logs(spark, str(tmp_path / "a.jsonl"))
+        assert jsonl.read_log(spark, str(tmp_path / "a.jsonl"), "id string").rdd.getNumPartitions() > 4
+        assert log.count() == 500 and log.where("correct").count() == 500
+        got = raw.read_raw_lines(spark, str(tmp_path / "raw.json")).select("pos", "qa.question").collect()
+        assert len(got) == 5_000 and all(r.question == f"q {r.pos}" for r in got)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_keys_in_normal_form(spark):
+    log = spark.createDataFrame([(1, " A ", "x/y.z", "CoT", "e", True), (2, "a", "x--y-z", "cot", "E", False)], "row_id long, id string, model string, arm string, eval_set string, correct boolean")
+    assert [r.row_id for r in runlog.first_writes(runlog.normalized(log)).collect()] == [1]
+
+
+def test_universe_and_missing_folders(spark, tmp_path):
+    (tmp_path / "t.json").write_text(json.dumps({"0": {"cik_str": 320193, "ticker": "AB", "title": "A B Inc."}, "x": {"cik_str": 5, "ticker": "C", "title": "C"}, "2": {"ticker": "D"}}))
+    assert [(r.cik, r.ticker, r.file) for r in jsonl.universe(spark, str(tmp_path / "t.json")).orderBy("pos").collect()] == [(320193, "AB", "CIK0000320193.json"), (5, "C", "CIK0000000005.json")]
+    assert jsonl.facts_dir(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_report_file_and_lengths_by_a_tokenizer(spark, tmp_path):
+    rows = spark.createDataFrame([("1", [("user", "a b c"), ("assistant", "d")]), ("2", [("user", None)])], "id string, messages array<struct<role:string,content:string>>")
+    sized = training.token_lengths(rows, lambda texts: [len(t.split()) for t in texts], 1)
+    assert {r.id: r.n_tokens for r in sized.collect()} == {"1": 4, "2": 0}
+    report.write_json(sized.select("id", "n_tokens"), str(tmp_path / "r"))
+    assert spark.read.json(str(tmp_path / "r")).count() == 2

@@ -92,7 +92,7 @@ def test_many_tables_against_all_pairs():
         vec = vectors(rows)
         side = np.array([r[1] == "train" for r in rows])
         count = {t: (sum(t in v for v, s in zip(vec, side) if s), sum(t in v for v, s in zip(vec, side) if not s)) for v in vec for t in v}
-        flat = [(i, t, w) for i, v in enumerate(vec) for t, w in sorted(v.items(), key=lambda x: (x[0][0] >= splits.IN_CONTEXT, sum(count[x[0]]), x[0]))]
+        flat = [(i, t, w) for i, v in enumerate(vec) for t, w in sorted(v.items(), key=lambda x: (splits._ORDER[x[0][0]], sum(count[x[0]]), x[0]))]
         ids = {t: k for k, t in enumerate(sorted(count))}
         rec, terms, w = np.array([x[0] for x in flat]), np.array([ids[x[1]] for x in flat]), np.array([x[2] for x in flat])
         nt, ne, blocks = np.array([count[x[1]][0] for x in flat]), np.array([count[x[1]][1] for x in flat]), np.array([x[1][0] for x in flat])

@@ -303,7 +303,8 @@ def class_pairs(examples: DataFrame, least: float = MIN_COSINE, cap: int = FREQU
     # What both have of the context in the lists is counted; what either has outside them is bounded.
     bound = F.sum(F.col("w_t") * F.col("w_e")) + F.greatest(F.max("rest_t"), F.max("rest_e"))
     met = here.join(there, ["list", "asked", "part"]).groupBy("cls_t", "cls_e", "asked").agg(bound.alias("bound"))
-    cand = met.where(F.col("bound") >= least - 1e-6).select("cls_t", "cls_e").distinct()
+    # Written, so that their size is known and few candidates go to the vectors rather than all vectors to them.
+    cand = durable(met.where(F.col("bound") >= least - 1e-6).select("cls_t", "cls_e").distinct(), "candidates")
     left, right = (vectors.select(F.col("cls").alias(f"cls_{x}"), *[F.col(f).alias(f"{f}_{x}") for f in ("gold", "terms", "w", "blocks")]) for x in ("t", "e"))
     both = cand.join(left, "cls_t").join(right, "cls_e")
     # Exact check: answers that can both be read must not contradict, as those of a ratio and its inverse do; otherwise figures are compared.

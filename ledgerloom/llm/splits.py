@@ -115,6 +115,25 @@ def _lists(column: pa.Array) -> tuple:
     return values if pa.types.is_struct(values.type) else values.to_numpy(zero_copy_only=False), np.repeat(np.arange(len(column)), sizes)
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Rows of which none before in the same partition has the same ``cls``: run before a shuffle by class and after, since rows of a class are equal.
+
+    An aggregate would sort the lists that the rows carry. A task remembers the classes of its part, a number each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            new = np.zeros(b.num_rows, bool)
+            for k, c in enumerate(b.column(0).to_pylist()):
+                if c not in seen:
+                    seen.add(c)
+                    new[k] = True
+            yield b.filter(pa.array(new))
+
+    return rows.mapInArrow(run, rows.schema)
+
+
 class Frequent:
     """Of the frequent terms: how many records of either side have them, and the greatest weight on either side."""
 
@@ -141,13 +160,28 @@ def _weighted(reps: DataFrame, cap: int) -> tuple[DataFrame, Frequent]:
     a table of bounded size, the others from a join on the term, in which no key has more than one class in ``cap``.
     """
     n = max(reps.count(), 1)
-    df = reps.select("train", F.explode("terms").alias("t")).groupBy("t").agg(F.count_if("train").alias("nt"), F.count_if(~F.col("train")).alias("ne")).where(F.col("nt") + F.col("ne") > 1)
-    df = durable(df, "terms")
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms, rec = _lists(b.column(1))
+            found, at = np.unique(terms, return_inverse=True)
+            train = np.bincount(at, b.column(0).to_numpy(zero_copy_only=False)[rec], minlength=len(found)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(train), pa.array(np.bincount(at, minlength=len(found)) - train)], ["t", "nt", "ne"])
+
+    df = reps.select("train", "terms").mapInArrow(counted, "t long, nt long, ne long").groupBy("t").agg(F.sum("nt").alias("nt"), F.sum("ne").alias("ne"))
+    df = durable(df.where(F.col("nt") + F.col("ne") > 1), "terms")
     often = F.col("nt") + F.col("ne") > F.lit(n / cap)
     top = df.where(often).toArrow()
     frequent = Frequent(n, *(top[c].to_numpy() for c in ("t", "nt", "ne")))
     shared = reps.sparkSession.sparkContext.broadcast(frequent)
-    rare = reps.select("cls", F.explode("terms").alias("t")).join(df.where(~often), "t").groupBy("cls").agg(F.collect_list(F.struct("t", "nt", "ne")).alias("rare"))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            terms, rec = _lists(b.column(1))
+            use = ~shared.value.places(terms)[0]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rec[use])), pa.array(terms[use])], ["cls", "t"])
+
+    rare = reps.select("cls", "terms").mapInArrow(others, "cls long, t long").join(df.where(~often), "t").groupBy("cls").agg(F.collect_list(F.struct("t", "nt", "ne")).alias("rare"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
@@ -294,8 +328,8 @@ def class_pairs(examples: DataFrame, least: float = MIN_COSINE, cap: int = FREQU
     records = durable(_records(examples, eval_splits), "records")
     train = F.col("split") == "train"
     records = records.withColumn("cls", F.xxhash64(train, F.col("terms"), F.col("counts"), F.coalesce(F.col("gold").cast("string"), F.lit(""))))
-    one = F.min_by(F.struct(train.alias("train"), "gold", "terms", "counts", "blocks"), "id").alias("r")
-    reps = durable(records.groupBy("cls").agg(one).select("cls", "r.*"), "classes")
+    rows = records.select("cls", train.alias("train"), "gold", "terms", "counts", "blocks")
+    reps = durable(_once(_once(rows).repartition("cls")), "classes")
     vectors, frequent = _weighted(reps, cap)
     posts = _postings(vectors, frequent, least)
     here = posts.where("train").select("list", "asked", F.pmod(F.xxhash64("cls"), "parts").alias("part"), *[F.col(c).alias(f"{c}_t") for c in ("cls", "w", "rest")])

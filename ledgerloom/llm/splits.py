@@ -276,7 +276,7 @@ def _postings(vectors: DataFrame, frequent: Frequent, least: float) -> DataFrame
     A pair that reaches ``least`` shares a term of either prefix. Lists of both keep records of one page apart by what they ask.
     """
     shared = vectors.sparkSession.sparkContext.broadcast(frequent)
-    names = ["list", "asked", "parts", "cls", "w", "rest", "train"]
+    names = ["list", "asked", "parts", "cls", "w", "rest"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -291,10 +291,10 @@ def _postings(vectors: DataFrame, frequent: Frequent, least: float) -> DataFrame
             q = asked[np.repeat(first[rec[said]], times) + np.arange(len(c)) - np.repeat(np.cumsum(times) - times, times)]
             key = kernel.mix(kernel.mix(terms[c].view(np.uint64)) ^ terms[q].view(np.uint64)).view(np.int64)
             r = rec[c]
-            cols = (key, terms[q], np.maximum(-(-np.minimum(nt[c], nt[q]) // LIST_ROWS), 1), cls[r], w[c], rest[r], train[r])
+            cols = (key, terms[q], np.maximum(-(-np.minimum(nt[c], nt[q]) // LIST_ROWS), 1), cls[r], w[c], rest[r])
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names)
 
-    return vectors.select("cls", "train", "terms", "w", "nt", "ne", "blocks").mapInArrow(run, "list long, asked long, parts long, cls long, w double, rest double, train boolean")
+    return vectors.select("cls", "train", "terms", "w", "nt", "ne", "blocks").mapInArrow(run, "list long, asked long, parts long, cls long, w double, rest double")
 
 
 def _exact(pairs: DataFrame) -> DataFrame:
@@ -331,9 +331,8 @@ def class_pairs(examples: DataFrame, least: float = MIN_COSINE, cap: int = FREQU
     rows = records.select("cls", train.alias("train"), "gold", "terms", "counts", "blocks")
     reps = durable(_once(_once(rows).repartition("cls")), "classes")
     vectors, frequent = _weighted(reps, cap)
-    posts = _postings(vectors, frequent, least)
-    here = posts.where("train").select("list", "asked", F.pmod(F.xxhash64("cls"), "parts").alias("part"), *[F.col(c).alias(f"{c}_t") for c in ("cls", "w", "rest")])
-    there = posts.where(~F.col("train")).select("list", "asked", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_e") for c in ("cls", "w", "rest")])
+    here = _postings(vectors.where("train"), frequent, least).select("list", "asked", F.pmod(F.xxhash64("cls"), "parts").alias("part"), *[F.col(c).alias(f"{c}_t") for c in ("cls", "w", "rest")])
+    there = _postings(vectors.where(~F.col("train")), frequent, least).select("list", "asked", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_e") for c in ("cls", "w", "rest")])
     # What both have of the context in the lists is counted; what either has outside them is bounded.
     bound = F.sum(F.col("w_t") * F.col("w_e")) + F.greatest(F.max("rest_t"), F.max("rest_e"))
     met = here.join(there, ["list", "asked", "part"]).groupBy("cls_t", "cls_e", "asked").agg(bound.alias("bound"))

@@ -15,6 +15,7 @@ def parser() -> argparse.ArgumentParser:
         c = sub.add_parser(name)
         for x in paths:
             c.add_argument(x)
+        c.add_argument("--report", default="", help="folder for the step's report, as a file of JSON lines")
         for k, v in options.items():
             c.add_argument(f"--{k.replace('_', '-')}", default=v, type=type(v))
         return c
@@ -34,11 +35,15 @@ def main(args: list[str] | None = None) -> int:
     a = vars(parser().parse_args(args))
     from pyspark.sql import SparkSession
 
+    from ledgerloom.operators import report
     from ledgerloom.plans import jobs
 
-    spark, command = SparkSession.builder.appName("ledgerloom").getOrCreate(), a.pop("command")
+    spark, command, folder = SparkSession.builder.appName("ledgerloom").getOrCreate(), a.pop("command"), a.pop("report")
     if command == "aggregate":
-        out, text = a["out"], jobs.aggregate(spark, a["logs"])[2]
+        cells, pairs, text = jobs.aggregate(spark, a["logs"])
+        out = a["out"]
+        for df, name in ((cells, "cells"), (pairs, "pairs")) if folder else ():
+            report.write_json(df, f"{folder}/{name}")
         Path(out).write_text(text) if out else print(text)
     elif command == "compare":
         path = a["append_to"]
@@ -47,8 +52,12 @@ def main(args: list[str] | None = None) -> int:
         Path(path).write_text(text) if path else print(text)
     else:
         a = {k: tuple(v) if isinstance(v, list) else v for k, v in a.items()}
-        for row in getattr(jobs, command.replace("-", "_"))(spark, **a).toJSON().collect():
-            print(row)
+        got = getattr(jobs, command.replace("-", "_"))(spark, **a)
+        if folder:
+            report.write_json(got, folder)
+        else:
+            for row in report.as_json(got).collect():
+                print(row.json)
     return 0
 
 

@@ -44,6 +44,8 @@ def test_logs(spark, tmp_path, capsys):
     (logs / "b.jsonl").write_text("\n".join([line("1", "n", False), line("2", "n", False), line("3", "n", True), line("2", "m", False)]))
     cells, _, text = jobs.aggregate(spark, f"{logs}/*.jsonl")
     assert {r.model: (r.n, r.acc) for r in cells.collect()} == {"m": (2, 1.0), "n": (3, 0.3333)} and "| m | cot |" in text
+    assert main(["aggregate", f"{logs}/*.jsonl", "--out", str(tmp_path / "cells.md"), "--report", str(tmp_path / "report")]) == 0
+    assert spark.read.json(str(tmp_path / "report" / "cells")).count() == 2
     target = tmp_path / "gate.md"
     for _ in range(2):
         assert main(["compare", f"{logs}/*.jsonl", "m", "n", "--append-to", str(target)]) == 0

@@ -36,6 +36,7 @@ def load_exemplars(spark: SparkSession, path: str, most: int = 100) -> list[dict
     return [r.asDict() for r in rows]
 
 
+#: The layout of a worked example is a fixed format of the prompts.
 def exemplar_block(exemplars: list[dict]) -> str:
     """Worked examples as one text, separated by a rule."""
     return "\n\n---\n\n".join(f"### Context\n{e['context']}\n\n### Question\n{e['question']}\n\n### Response\n{e['solution']}" for e in exemplars)

@@ -54,7 +54,11 @@ def kept(train: DataFrame, scores: DataFrame, key: str = "id", threshold: float
 
 
 def report(scores: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """One row: rows, dropped and kept rows, and interpolated quantiles (4 places) of both overlaps."""
+    """One row: rows, dropped and kept rows, and interpolated quantiles (4 places) of both overlaps.
+
+    The quantiles are exact: one task holds the distinct shares with their counts. A share is a ratio of two shingle counts of one
+    text, so there are as many as such ratios, not as rows.
+    """
     at = [0.5, 0.9, 0.95, 0.99]
     dropped = F.count_if(F.col("question_overlap") >= threshold)
     base = scores.agg(F.count(F.lit(1)).alias("n_rows"), dropped.alias("n_dropped"), (F.count(F.lit(1)) - dropped).alias("n_kept"), *[F.percentile(f"{c}_overlap", F.array(*map(F.lit, at))).alias(c) for c in ("question", "context")])

@@ -93,7 +93,7 @@ def length_report(records_: DataFrame, most: int = 3072, per_token: float = 3.6)
 def index_percentiles(df: DataFrame, value: Column, at: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
     """One row per wanted share: the sorted value at ``min(int(n * share), n - 1)``, without interpolation.
 
-    Values are counted first, so what is ranked is one row per distinct value, not per row.
+    Values are counted first, so what is ranked is one row per distinct value, not per row; it is for values such as lengths.
     """
     counts = df.select(value.alias("v")).where("v is not null").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
     ordered = F.sort_array(F.collect_list(F.struct("v", "c")))

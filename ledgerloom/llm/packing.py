@@ -93,20 +93,20 @@ class BestFit:
         self.open -= 1
 
 
-def pack(sizes: DataFrame, limits: DataFrame, open_bins: int = OPEN_BINS, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def pack(sizes: DataFrame, limits: DataFrame, open_bins: int = OPEN_BINS, shard_rows: int = SHARD_ROWS, most_limits: int = MOST_LIMITS) -> DataFrame:
     """The container of every text for every capacity: ``limit_name``, ``doc_id``, ``piece``, ``container``, ``tokens``.
 
-    ``sizes`` has ``doc_id`` and ``tokens``; ``limits`` has ``limit_name`` and ``capacity_tokens`` (at most ``MOST_LIMITS``
-    rows, checked). Texts go to streams of about ``shard_rows`` by a hash of their id and size, and each stream is packed in
+    ``sizes`` has ``doc_id`` and ``tokens``; ``limits`` has ``limit_name`` and ``capacity_tokens`` (at most ``most_limits``
+    rows, checked, since every text is packed for each). Texts go to streams of about ``shard_rows`` by a hash of their id and size, and each stream is packed in
     hash order as it is read: a task keeps ``open_bins`` containers, not the texts, so no group can grow too large, and the
     result is the same however often a task is run. Only ids and sizes are shuffled, never texts. A text beyond the capacity
     fills whole containers of its own with pieces of that size; its rest is packed like a text. Container numbers are
     unique within a limit. Texts of 0 tokens take no space but have a container; a null size counts as 0; capacities that are
     null or below 1 are left out; repeated rows are packed each.
     """
-    caps = [(r["limit_name"], int(r["capacity_tokens"])) for r in limits.where("capacity_tokens > 0").select("limit_name", "capacity_tokens").limit(MOST_LIMITS + 1).collect()]
-    if len(caps) > MOST_LIMITS:
-        raise ValueError(f"more than {MOST_LIMITS} capacities")
+    caps = [(r["limit_name"], int(r["capacity_tokens"])) for r in limits.where("capacity_tokens > 0").select("limit_name", "capacity_tokens").limit(most_limits + 1).collect()]
+    if len(caps) > most_limits:
+        raise ValueError(f"more than {most_limits} capacities")
     schema = f"limit_name string, doc_id {sizes.schema['doc_id'].dataType.simpleString()}, piece int, container long, tokens long"
     if not caps:
         return sizes.sparkSession.createDataFrame([], schema)

@@ -651,13 +651,14 @@ def stream_score(spark: SparkSession, d: str) -> DataFrame:
 _CLEANED = f"regexp_replace(regexp_replace(regexp_replace(@, '\\\\{{1,2}}[nt]', ' ', 'g'), '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g')"
 
 
-def _raw_lines(spark: SparkSession, d: str) -> DataFrame:
-    """All examples written as raw records, one JSON object a line, and scanned back."""
+def _raw_lines(spark: SparkSession, d: str, examples: DataFrame | None = None) -> DataFrame:
+    """All examples (or those given) written as raw records, one JSON object a line, and scanned back."""
+    examples = _examples(spark, d) if examples is None else examples
     path = scratch(spark, "raw")
     text_of = lambda c: F.col(c).cast("string")
     exe = F.when(F.col("gold_source") != "answer_fallback", text_of("gold"))
     qa = F.struct(text_of("question").alias("question"), text_of("program").alias("program"), exe.alias("exe_ans"), text_of("gold").alias("answer"))
-    rows = _examples(spark, d).select(F.array("context").alias("pre_text"), F.array(F.lit(" ")).alias("post_text"), F.array(F.array("company", "filed")).alias("table"), qa.alias("qa"))
+    rows = examples.select(F.array("context").alias("pre_text"), F.array(F.lit(" ")).alias("post_text"), F.array(F.array("company", "filed")).alias("table"), qa.alias("qa"))
     jsonl.write_records(rows, path)
     return raw.read_raw_lines(spark, path)
 
@@ -737,3 +738,26 @@ def report_file(spark: SparkSession, d: str) -> DataFrame:
     path = scratch(spark, "report")
     report.write_json(_examples(spark, d).groupBy("split", "gold_source").agg(F.count(F.lit(1)).alias("n")), path)
     return spark.read.schema("split string, gold_source string, n long").json(path)
+
+
+@query(f"WITH {_FAULTY} SELECT CASE WHEN starts_with(md5(id), '0') THEN 'non_numeric_gold' ELSE 'none' END AS reason, count(*) AS n FROM faulty GROUP BY 1")
+def raw_drops(spark: SparkSession, d: str) -> DataFrame:
+    """Why raw records are left out, with faults planted."""
+    rows = raw.build_examples(_raw_lines(spark, d, _faulty(spark, d)), "train")
+    return rows.groupBy(F.coalesce("drop_reason", F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT id, md5(CASE WHEN length(context) > 200 THEN left(context, 200) || '...' ELSE context END) AS head FROM examples")
+def context_heads(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts as a listing shows them. (A head of each text is the feature.)"""
+    return _examples(spark, d).select("id", F.md5(text.head(F.col("context"), 200)).alias("head"))
+
+
+@query("SELECT e.id, md5(e.context) AS context, md5(e.question) AS question, '' AS solution FROM exemplars x JOIN examples e ON e.id = x.id")
+def exemplar_skeletons(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen examples with a blank solution, written as JSON lines to be filled in by hand, and read back."""
+    path = scratch(spark, "skeletons")
+    ids = tuple(x["id"] for x in prompts.load_exemplars(spark, f"{d}/exemplars.parquet"))
+    jsonl.write_records(prompts.exemplar_skeletons(_examples(spark, d), ids), path)
+    rows = jsonl.read_log(spark, path, "id string, context string, question string, solution string", strict=True)
+    return rows.select("id", F.md5("context").alias("context"), F.md5("question").alias("question"), "solution")

@@ -32,7 +32,7 @@ STATS = (
 )
 #: Characters from which a block is closed at the next line end, and of a line from which it is broken at white space.
 BLOCK_CHARS = 300
-#: Characters whose arrays are built at a time; a longer text is taken alone.
+#: Characters whose arrays (about 90 bytes each) are built at a time; a longer text is read in slices.
 CHUNK_CHARS = 1_500_000
 
 #: Share of function words from which a text counts as of their language.
@@ -240,6 +240,26 @@ def blocks(texts: list[str]) -> Blocks:
     return Blocks(text[some], chars[some], stats[some], lang, plain_counts)
 
 
+def blocks_of_long(text: str, size: int = CHUNK_CHARS) -> Blocks:
+    """``blocks`` of one text of any length, read in slices of about ``size`` characters that end at a line end or white space, so memory is bounded.
+
+    Common words are those of the language of each slice; the language of the text is that of most of its characters.
+    """
+    found, weight, lo = [], {}, 0
+    while lo < len(text):
+        hi = lo + size
+        if hi < len(text):
+            cut = max(text.rfind("\n", lo + size // 2, hi), -1)
+            cut = cut if cut >= 0 else text.rfind(" ", lo + size // 2, hi)
+            hi = cut + 1 if cut >= 0 else hi
+        found.append(blocks([text[lo:hi]]))
+        lang = found[-1].lang[0]
+        weight[lang] = weight.get(lang, 0) + found[-1].chars.sum()
+        lo = hi
+    chars, stats = (np.concatenate(x) for x in ([f.chars for f in found], [f.stats for f in found]))
+    return Blocks(np.zeros(len(chars), np.int64), chars, stats, [max(weight, key=weight.get)], sum(f.plain for f in found))
+
+
 def _pieces(line_start: np.ndarray, line_end: np.ndarray, space: np.ndarray) -> np.ndarray:
     """Where pieces begin: at every line, and in a long line after the next white space beyond each ``BLOCK_CHARS`` characters."""
     extra = np.maximum((line_end - line_start - 1) // BLOCK_CHARS, 0)

@@ -57,10 +57,10 @@ def text_blocks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
             lo = 0
             while lo < len(texts):
                 hi, chars = lo, 0
-                while hi < len(texts) and (hi == lo or chars + len(texts[hi]) < prose.CHUNK_CHARS):
+                while hi < len(texts) and (hi == lo or chars + len(texts[hi]) <= prose.CHUNK_CHARS):
                     chars += len(texts[hi])
                     hi += 1
-                got = prose.blocks(texts[lo:hi])
+                got = prose.blocks(texts[lo:hi]) if len(texts[lo]) <= prose.CHUNK_CHARS else prose.blocks_of_long(texts[lo])
                 ends = np.searchsorted(got.text, np.arange(hi - lo + 1))
                 use = np.flatnonzero(np.diff(ends))
                 stats, sizes = got.stats.astype(_DTYPE), got.chars.astype(np.int32)

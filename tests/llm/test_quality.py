@@ -30,6 +30,18 @@ def test_blocks_cover_whole_texts():
     assert np.allclose(got.stats, np.concatenate([x.stats for x in alone])) and got.lang == [x.lang[0] for x in alone]
 
 
+def test_long_texts_are_read_whole_in_slices(spark, monkeypatch):
+    text = (PROSE + "\n") * 50 + TABLE * 60
+    whole, sliced = prose.blocks([text]), prose.blocks_of_long(text, 2000)
+    assert sliced.chars.sum() == whole.chars.sum() and (sliced.plain[:, :-1] == whole.plain[:, :-1]).all()
+    assert prose.blocks_of_long(PROSE * 50, 2000).lang == ["en"]
+    assert prose.blocks_of_long("x" * 5000, 2000).chars.sum() == 5000
+    monkeypatch.setattr(prose, "CHUNK_CHARS", 5000)
+    df = spark.createDataFrame(BASE + [(900, text, "x", "k"), (901, TABLE * 60, "x", "k")], SCHEMA)
+    got = {r.doc_id: r.n_chars for r in quality.text_blocks(df).where("doc_id >= 900").selectExpr("doc_id", "length(sizes) n_chars").collect()}
+    assert set(got) == {900, 901} and [(r.doc_id, r.kind) for r in quality.not_prose(df).where("doc_id = 901").collect()] == [(901, "table")]
+
+
 def test_statistics_against_plain_counts():
     s = dict(zip(prose.STATS, prose.blocks(["The net income of 2016 was $5, and it rose. See x3."]).stats[0]))
     assert np.isclose(s["symbol_ratio"], 4 / 40) and np.isclose(s["digit_ratio"], 6 / 40) and np.isclose(s["stop_rate"], 2 / 12) and s["ended_lines"] == 1

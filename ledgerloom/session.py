@@ -30,15 +30,36 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _OWN["dir"]
 
 
-def durable(df: DataFrame, label: str = "table") -> DataFrame:
+def durable(df: DataFrame, label: str = "table", tidy: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and return it as read from there.
 
-    The written table survives the loss of executors, cuts the lineage, and gives the next plan exact sizes.
+    The written table survives the loss of executors, cuts the lineage, and gives the next plan exact sizes. With ``tidy`` it is
+    written in the denser codec, and the shuffle files of its making go at once and not when the driver next collects its garbage.
     """
     spark = df.sparkSession
     path = scratch(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN, None)
+    if tidy:
+        spark.conf.set(_CLEAN, "true")
+    try:
+        (df.write.option("compression", "zstd") if tidy else df.write).parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._ledgerloom_path = path
+    return written
+
+
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``durable`` that no result reads any more."""
+    path = df._ledgerloom_path
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+    _WRITTEN.remove((df.sparkSession, path))
 
 
 def scratch(spark: SparkSession, label: str) -> str:

@@ -1,7 +1,9 @@
 import random
+from pathlib import Path
 
 import numpy as np
 
+from ledgerloom import session
 from ledgerloom.llm import kernel, splits
 
 SCHEMA = "id string, split string, gold_source string, question string, context string, program string, gold string, cls int, terms string"
@@ -178,3 +180,45 @@ def test_records_without_program_and_readable_question_meet(spark):
     ]
     got = sorted((r.train_id, r.eval_id) for r in splits.overlaps(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == [("t1", "d1"), ("t1", "d2"), ("t2", "d1"), ("t2", "d2"), ("t3", "d5")]
+
+
+def moved(spark) -> int:
+    """Bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_the_disk_stays_a_small_multiple_of_the_input(spark, tmp_path, monkeypatch):
+    """Pages with figures in common and the same questions are many candidates, but neither they nor vectors of all records may be written or moved."""
+    rnd, rows = random.Random(3), []
+    for k in range(3000):
+        figures = " | ".join(str(rnd.randint(1000, 1600)) for _ in range(16))
+        q, s = f"what was the ratio of {WORDS[k % 5]} to {WORDS[k % 5 + 1]} in 2020?", ("train", "train", "dev")[k % 3]
+        rows.append(record(f"r{k}", s, q, " ".join(rnd.sample(WORDS, 40)) + "\n" + figures, gold=None))
+    rows += [record(f"c{k}", "train", *r[3:5], gold=None) for k, r in enumerate(rows[2:300:30])]
+    path = str(tmp_path / "examples")
+    spark.createDataFrame(rows, SCHEMA).coalesce(2).write.parquet(path)
+    size = sum(p.stat().st_size for p in (tmp_path / "examples").glob("*.parquet"))
+    written, before, durable = [0], moved(spark), splits.durable
+
+    def spy(df, *args, **how):
+        out = durable(df, *args, **how)
+        path = session._WRITTEN[-1][1].removeprefix("file://")
+        written[0] += sum(p.stat().st_size for p in Path(path).glob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(splits, "durable", spy)
+    got = {(r.train_id, r.eval_id) for r in splits.overlaps(spark.read.parquet(path)).collect()}
+    assert got == {(f"c{k}", f"r{2 + 30 * k}") for k in range(10)}
+    total = moved(spark) - before + written[0]
+    assert total < 4 * size, (total, size)
+
+
+def test_rounds_lose_nothing(spark, monkeypatch):
+    rows = table(1)
+    monkeypatch.setattr(splits, "ROOM", 1)
+    monkeypatch.setattr(splits, "MOVED", 0.5)
+    got = {(r.train_id, r.eval_id) for r in splits.overlaps(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows, splits.MIN_COSINE) and got
